@@ -63,3 +63,9 @@ def numbered(df: DataFrame, group: str, order: list[Column], name: str, salts: i
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def drawn(rows: DataFrame, at_most: int, seed: int, id_col: str = "doc_id") -> DataFrame:
+    """About ``at_most`` rows of ``rows``, the same in every run, chosen by a hash of ``id_col``; all if there are fewer."""
+    share = min(1.0, at_most / max(1, rows.count()))
+    return rows.where(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from tessera.llm.language_id import op6_language_id
+from tessera.llm.mixing import OP8_SQL, op8_mixing
+from tessera.llm.packing import op4_packing
 from tessera.llm.sharding import op1_sharding
+from tessera.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op4_packing": op4_packing,
+    "op6_language_id": op6_language_id,
+    "op7_toxicity": op7_toxicity,
+    "op8_mixing": op8_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_mixing": OP8_SQL,
+}
