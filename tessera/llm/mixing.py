@@ -184,3 +184,14 @@ SELECT doc_id, size, source_size, target,
             + greatest(0, least(start + size, quota % source_size) - start) END AS BIGINT) AS taken
 FROM placed p JOIN quotas q ON p.source IS NOT DISTINCT FROM q.source
 """
+
+
+def repeat_by_mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with their own columns, as often as the mix takes their words, to the nearest whole number.
+
+    Documents that the mix leaves, and those without words, are left out. Rows that share a doc_id share its count.
+    """
+    mixed = mix_documents(docs, **options).groupBy(F.col("doc_id").alias("mixed_id"))
+    mixed = mixed.agg(F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("mixed_times")).where("mixed_times > 0")
+    joined = docs.join(mixed, docs["doc_id"].eqNullSafe(F.col("mixed_id")))
+    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), "mixed_times")).alias("mixed_turn")).drop("mixed_turn")
