@@ -8,6 +8,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tessera.functions.redact import Redaction, redact
 
@@ -55,7 +56,7 @@ def bare_url(url: Column, config: Redaction = Redaction()) -> Column:
     return redact(bare, config)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _blocked_address(hosts: pd.Series) -> pd.Series:
     """Only for hosts that are IP addresses; a mapped IPv4 address counts as itself."""
 

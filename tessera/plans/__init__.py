@@ -1,0 +1,9 @@
+"""Registered queries over the given tables, with SQL that tells their results."""
+
+from __future__ import annotations
+
+from tessera.plans import search, state
+
+_REGISTRIES = (search.registry, state.registry)
+QUERIES = {name: query for r in _REGISTRIES for name, query in r.queries.items()}
+ORACLE_SQL = {name: sql for r in _REGISTRIES for name, sql in r.sql.items()}

@@ -6,20 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNKS = T.StructType.fromDDL(
+#: Types by the names that the schemas below use.
+_TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(), "array<float>": T.ArrayType(T.FloatType()),
+}
+
+
+def _schema(fields: str) -> T.StructType:
+    """Known without a session, unlike a parsed DDL string."""
+    return T.StructType([T.StructField(*named[:1], _TYPES[named[1]]) for named in (f.split() for f in fields.split(","))])
+
+
+CHUNKS = _schema(
     "text string, vector array<float>, document_name string, document_path string, collection string, page_number int,"
     " total_pages int, chunk_index int, page_raw_text string, page_type string, source_format string,"
     " ingestion_timestamp timestamp, agent_handle string, memory_type string, summary string"
 )
-PAGES = T.StructType.fromDDL("document_name string, document_path string, page_number int, total_pages int, text string, page_type string")
-DIRECTORIES = T.StructType.fromDDL("directory string, collection string, registered_at string")
-FILES = T.StructType.fromDDL(
+PAGES = _schema("document_name string, document_path string, page_number int, total_pages int, text string, page_type string")
+DIRECTORIES = _schema("directory string, collection string, registered_at string")
+FILES = _schema(
     "path string, collection string, document_name string, mtime double, size long, ingested_at string, content_hash string,"
     " chunks_committed int, partial_hash string"
 )
-RETAINED = T.StructType.fromDDL("collection string, retained_at string, original_directory string")
-PENDING = T.StructType.fromDDL("collection string, marked_at string")
-EVENTS = T.StructType.fromDDL("database string, collection string, path string, deleted boolean, ts timestamp, seq long")
+RETAINED = _schema("collection string, retained_at string, original_directory string")
+PENDING = _schema("collection string, marked_at string")
+EVENTS = _schema("database string, collection string, path string, deleted boolean, ts timestamp, seq long")
 
 #: Columns that later versions of the chunk table added, all with '' for older rows.
 ADDED = ("agent_handle", "memory_type", "summary")
