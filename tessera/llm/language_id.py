@@ -132,15 +132,19 @@ def train(
                             bins += np.bincount(ids, minlength=buckets)
                     if bins.any():
                         used = np.nonzero(bins)[0]
-                        rows.append((lang, used.tolist(), (bins[used] / bins.sum()).tolist()))
+                        rows.append((lang, used.astype("<u4").tobytes(), (bins[used] / bins.sum()).astype("<f4").tobytes()))
             yield pd.DataFrame(rows, columns=["lang", "ids", "weights"])
 
-    got = chosen.mapInPandas(counted, "lang string, ids array<int>, weights array<float>").toPandas()
-    languages = sorted(set(got["lang"])) or [UNKNOWN]
+    # Packed bytes, a row at a time: as lists of numbers the rows would take the driver several times the memory.
+    names, ids, weights = [], [], []
+    for lang, own, share in chosen.mapInPandas(counted, "lang string, ids binary, weights binary").toLocalIterator():
+        names.append(lang)
+        ids.append(np.frombuffer(own, "<u4").astype(np.uint16 if buckets <= 1 << 16 else np.uint32))
+        weights.append(np.frombuffer(share, "<f4"))
+    languages = sorted(set(names)) or [UNKNOWN]
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(got))
-    ids, weights = got["ids"].to_numpy(), got["weights"].to_numpy()
-    label = np.array([languages.index(x) for x in got["lang"]], dtype=int)
+    order = rng.permutation(len(names))
+    label = np.array([languages.index(x) for x in names], dtype=int)
     aside, fit = order[: len(order) // 5], order[len(order) // 5 :]
     embed = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
     out, bias = np.zeros((dim, len(languages)), np.float32), np.zeros(len(languages), np.float32)
