@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -124,6 +125,15 @@ def redact(text: Column, config: Redaction = Redaction()) -> Column:
     return text
 
 
+def _counted_step(category: str, pattern: str, replacement: str, by_line: bool) -> Callable[[Column], Column]:
+    def step(s: Column) -> Column:
+        n = _count(s["text"], pattern, by_line)
+        counts = F.map_concat(s["counts"], F.create_map(F.lit(category), n.cast("int")))
+        return F.when(n > 0, F.struct(_apply(s["text"], pattern, replacement, by_line).alias("text"), counts.alias("counts"))).otherwise(s)
+
+    return step
+
+
 def with_redaction(df: DataFrame, column: str, out: str = "redacted", counts: str = "redactions", config: Redaction = Redaction()) -> DataFrame:
     """``df`` with the redacted text and a map of category to hits (those that hit only).
 
@@ -132,14 +142,7 @@ def with_redaction(df: DataFrame, column: str, out: str = "redacted", counts: st
     state = F.struct(F.col(column).alias("text"), F.create_map().cast("map<string,int>").alias("counts"))
     value = F.array(state)
     for category, pattern, replacement, by_line in _steps(config):
-        def step(s, category=category, pattern=pattern, replacement=replacement, by_line=by_line):  # noqa: ANN001
-            n = _count(s["text"], pattern, by_line)
-            found = F.map_concat(s["counts"], F.create_map(F.lit(category), n.cast("int")))
-            return F.when(
-                n > 0, F.struct(_apply(s["text"], pattern, replacement, by_line).alias("text"), found.alias("counts"))
-            ).otherwise(s)
-
-        value = F.transform(value, step)
+        value = F.transform(value, _counted_step(category, pattern, replacement, by_line))
     return df.withColumn("_redaction", value[0]).withColumns({out: F.col("_redaction.text"), counts: F.col("_redaction.counts")}).drop("_redaction")
 
 
