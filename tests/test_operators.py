@@ -17,6 +17,7 @@ from tessera.operators.store import ChunkStore
 from tessera.schema import CHUNKS
 from tessera.sources import discovery, extract, trec
 
+
 def one(spark, value, make):
     return spark.createDataFrame([(value,)], "t string").select(make(F.col("t")).alias("r")).first()["r"]
 
@@ -84,15 +85,17 @@ def test_limits():
         retrieval.strict_limit(0)
 
 
-def test_direct_scores_are_those_of_the_index(spark, sf_dir):
+def test_bm25_edges(spark, sf_dir, tmp_path):
     from tessera.plans.tables import chunk_rows
 
     rows = chunk_rows(spark, sf_dir)
+    terms, stats = retrieval.postings(rows)
+    terms.write.partitionBy("page_number").parquet(str(tmp_path / "postings"))
+    stored = (spark.read.parquet(str(tmp_path / "postings")), stats)
     words = "that the it is of und der le"
-    direct = retrieval.bm25_top_k(rows, words, 40).select("document_name", "chunk_index", "score").collect()
-    indexed = retrieval.bm25_top_k(rows, words, 40, index=retrieval.postings(rows)).select("document_name", "chunk_index", "score").collect()
-    assert direct == indexed and len(direct) == 40
-    assert retrieval.bm25_top_k(rows, "", 5).count() == 0
+    fresh = retrieval.bm25_top_k(rows, words, 40).select("document_name", "chunk_index", "score").collect()
+    assert len(fresh) == 40 and fresh == retrieval.bm25_top_k(rows, words, 40, index=stored).select("document_name", "chunk_index", "score").collect()
+    assert retrieval.bm25_top_k(rows, "", 5).count() == 0 == retrieval.bm25_top_k(rows.limit(0), words, 5).count()
 
 
 @pytest.mark.parametrize(
@@ -150,7 +153,8 @@ def test_extract(spark, tmp_path):
         "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>', "xl/sharedStrings.xml": f'<sst xmlns="{m}"><si><t>x</t></si></sst>',
     }))
     d, s = "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/presentationml/2006/main"
-    sp = lambda t, ph="": f"<p:sp><p:nvSpPr><p:nvPr>{f'<p:ph type=''{chr(34)}{ph}{chr(34)}/>' if ph else ''}</p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>"
+    mark = lambda ph: f'<p:ph type="{ph}"/>' if ph else ""
+    sp = lambda t, ph="": f"<p:sp><p:nvSpPr><p:nvPr>{mark(ph)}</p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>"
     slide = lambda body: f'<p:sld xmlns:p="{s}" xmlns:a="{d}"><p:cSld><p:spTree>{body}</p:spTree></p:cSld></p:sld>'
     (tmp_path / "c.pptx").write_bytes(_zip({"ppt/slides/slide2.xml": slide(sp("T", "title") + sp("b_c")), "ppt/slides/slide1.xml": slide("")}))
     (tmp_path / "d.py").write_text("import os\n# c\n@dec\ndef f():\n    pass\nx = 1\nclass A: pass\n")
@@ -227,19 +231,15 @@ def test_resume(spark):
     assert tuple(row) == (2, 0, 0, 0)
 
 
-def test_discovery(spark, tmp_path):
+def test_discovery(spark, tmp_path, monkeypatch):
     for name in ("a.md", "b.log.md", "sub/c.md", "sub/skip.md", "sub/deep/skip.md", "node_modules/x.md", ".hid/x.md", "e.exe", "out/z.md"):
         (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "r" / name).write_text("x")
     (tmp_path / "r/.gitignore").write_text("# c\n*.log.md\nout/\n")
     (tmp_path / "r/sub/.gitignore").write_text("skip.md\n")
     assert discovery.refuses_root(str(tmp_path / "r")) and discovery.refuses_root("/Repo/.TMP/x") and not discovery.refuses_root("/home/x")
-    original = discovery.refuses_root
-    try:
-        discovery.refuses_root = lambda root: False
-        found = [r["relative"] for r in discovery.discover(spark, str(tmp_path / "r")).collect()]
-    finally:
-        discovery.refuses_root = original
+    monkeypatch.setattr(discovery, "refuses_root", lambda *_: False)  # the test's own folder is a temporary one
+    found = [r["relative"] for r in discovery.discover(spark, str(tmp_path / "r")).collect()]
     assert found == ["a.md", "sub/c.md", "sub/deep/skip.md"]
 
 
