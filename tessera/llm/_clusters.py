@@ -49,22 +49,32 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-def blocks(grouped: DataFrame, weight: str, rows_per_block: int, weight_per_block: int) -> DataFrame:
-    """``grouped`` (id, root, ``weight``, ...) with columns p, q, block: a group is cut into blocks by a hash of id, and
-    a row goes to each pair of blocks that its own block is in. A group of one block gives each row once.
+def blocks(members: DataFrame, rows_per_block: int, weight_per_block: int, salts: int = 64) -> DataFrame:
+    """``members`` (id, root, weight, ...) with n_blocks and block: a group is cut into blocks by a hash of id.
+
+    Rows here are small; what the comparison reads is joined to them by id afterwards, so that it is never shuffled by
+    group. Groups of more than one block meet their size over ``salts`` keys, so no task reads a whole large group.
+    """
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(salts)).cast("int"))
+    wanted = F.greatest(F.ceil(F.count(F.lit(1)) / rows_per_block), F.ceil(F.sum("weight") / weight_per_block)).cast("int")
+    large = members.groupBy("root").agg(wanted.alias("n_blocks")).where(F.col("n_blocks") > 1)
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    n_blocks = F.coalesce("n_blocks", F.lit(1))
+    dealt = salted.join(large, ["root", "salt"], "left").withColumn("n_blocks", n_blocks).drop("salt")
+    return dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+
+
+def paired(dealt: DataFrame) -> DataFrame:
+    """``dealt`` (with block, n_blocks) with p and q: a row goes to each pair of blocks that its own block is in. A group
+    of one block gives each row once.
     """
-    sizes = grouped.groupBy("root").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / rows_per_block), F.ceil(F.sum(weight) / weight_per_block)).cast("int").alias("n_blocks")
-    )
-    dealt = grouped.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.greatest("n_blocks", F.lit(1))).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.greatest("n_blocks", F.lit(1)) - 1))
-    return dealt.select("*", other.alias("other")).select(
-        *grouped.columns, "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")
-    )
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    dealt = dealt.select("*", other.alias("other"))
+    return dealt.select("*", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).drop("other", "n_blocks")
 
 
 def linked(dealt: DataFrame, matches: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]) -> tuple[DataFrame, DataFrame]:
-    """(id, links) and edges (a, b) of links that keep what is connected connected, from ``blocks``.
+    """(id, links) and edges (a, b) of links that keep what is connected connected, from ``paired``.
 
     ``matches(left, right)`` says for each pair of rows of two frames whether they link. Each pair of blocks is one
     call and gives at most one edge for each row, and for each row the copies (column ``copies``) it links to there.

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._clusters import blocks, components, linked, star_edges
+from tessera.llm._clusters import blocks, components, linked, paired, star_edges
 from tessera.llm._common import written
 
 
@@ -115,14 +115,14 @@ def link_vectors(
     )
     classes = written(classes, "lattice-classes")
     near = components(star_edges(classes.select(F.col("rep").alias("id"), F.explode(F.array_distinct("keys")).alias("key"))), "lattice-groups")
-    members = classes.join(near, F.col("rep") == F.col("id")).select("rep", "copies", "root")
+    members = classes.join(near, F.col("rep") == F.col("id")).select("id", "root", "copies", F.lit(1).alias("weight"))
     vectors_of = rows.where(F.col("vector").isNotNull()).select("id", "vector").dropDuplicates(["id"])
-    grouped = members.join(vectors_of, F.col("rep") == F.col("id")).select("id", "root", "copies", "vector", F.lit(1).alias("weight"))
+    dealt = blocks(members, rows_per_block, rows_per_block).drop("weight").join(vectors_of, "id")
 
     def close(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
         return _units(left) @ _units(right).T >= least_cosine
 
-    counts, edges = linked(blocks(grouped, "weight", rows_per_block, rows_per_block), close)
+    counts, edges = linked(paired(dealt), close)
     found = components(edges, "lattice-components").withColumnRenamed("id", "node")
     result = marked.select("id", "print").join(classes.select("print", "rep", "copies"), "print", "left")
     result = result.join(counts.withColumnRenamed("id", "counted"), F.col("rep") == F.col("counted"), "left")

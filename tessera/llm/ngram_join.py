@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._clusters import blocks, components, linked, star_edges
+from tessera.llm._clusters import blocks, components, linked, paired, star_edges
 from tessera.llm._common import documents, written
 from tessera.llm._words import batches, mixed, shingles, word_hashes
 
@@ -102,19 +102,19 @@ def link_documents(
         "forest-classes",
     )
     near = components(star_edges(classes.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))), "forest-groups")
-    members = classes.join(near, F.col("rep") == F.col("id")).select("id", "root", "copies", "size")
+    members = classes.join(near, F.col("rep") == F.col("id")).select("id", "root", "copies", F.col("size").alias("weight"))
 
     def as_sets(frames):
         for frame in frames:
             yield pd.DataFrame({"id": frame["id"], "shingles": [s.tobytes() for s in shingled(frame)]})
 
     wanted = rows.join(members.select("id"), "id", "left_semi").mapInPandas(as_sets, "id long, shingles binary").dropDuplicates(["id"])
-    grouped = members.join(wanted, "id").withColumnRenamed("size", "weight")
+    dealt = blocks(members, rows_per_block, 1 << 21).drop("weight").join(wanted, "id")
 
     def similar(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
         return jaccard(left["shingles"].tolist(), right["shingles"].tolist()) >= least - 1e-12
 
-    counts, edges = linked(blocks(grouped, "weight", rows_per_block, 1 << 21), similar)
+    counts, edges = linked(paired(dealt), similar)
     found = components(edges, "forest-classes").withColumnRenamed("id", "node")
     result = marked.select("id", "print").join(classes.select("print", "rep", "copies"), "print", "left")
     result = result.join(counts.withColumnRenamed("id", "counted"), F.col("rep") == F.col("counted"), "left")
