@@ -30,8 +30,7 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     state = _fingerprint(now)
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(lowest, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = _with_lowest(both).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where(F.col("a") != F.col("b"))
         now = written(small.unionByName(least.select("a", F.col("low").alias("b"))).distinct(), name)
@@ -44,6 +43,31 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     return member.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
+def _with_lowest(edges: DataFrame, salts: int = 32) -> DataFrame:
+    """``edges`` (a, b) with low, the smallest b of the same a. What a hub leads to is split over ``salts`` keys."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
+    parts = salted.groupBy("a", "salt").agg(F.min("b").alias("low"))
+    lowest = parts.groupBy("a").agg(F.min("low").alias("low"))
+    return salted.join(parts.select("a", "salt").join(lowest, "a"), ["a", "salt"]).drop("salt")
+
+
+def told(marked: DataFrame, classes: DataFrame, counts: DataFrame, found: DataFrame) -> DataFrame:
+    """id, rep, class_id, n_links, kept of each row of ``marked`` (id, print).
+
+    Counts of links and roots are joined to the classes, which have one row each, so that the rows are joined once.
+    """
+    zero = F.lit(0).cast("long")
+    known = classes.select("print", "rep", "copies").join(counts.withColumnRenamed("id", "counted"), F.col("rep") == F.col("counted"), "left")
+    known = known.join(found.withColumnRenamed("id", "node"), F.col("rep") == F.col("node"), "left")
+    known = known.select("print", "rep", F.coalesce("root", "rep").alias("class"), (F.coalesce("links", zero) + F.col("copies") - 1).alias("n_links"))
+    owner = F.coalesce("class", "id")
+    return (
+        marked.select("id", "print")
+        .join(known, "print", "left")
+        .select("id", F.coalesce("rep", "id").alias("rep"), owner.alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.col("id").eqNullSafe(owner).alias("kept"))
+    )
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     return row["n"], row["x"]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._clusters import blocks, components, linked, paired, star_edges
+from tessera.llm._clusters import blocks, components, linked, paired, star_edges, told
 from tessera.llm._common import written
 
 
@@ -123,16 +123,8 @@ def link_vectors(
         return _units(left) @ _units(right).T >= least_cosine
 
     counts, edges = linked(paired(dealt), close)
-    found = components(edges, "lattice-components").withColumnRenamed("id", "node")
-    result = marked.select("id", "print").join(classes.select("print", "rep", "copies"), "print", "left")
-    result = result.join(counts.withColumnRenamed("id", "counted"), F.col("rep") == F.col("counted"), "left")
-    result = result.join(found, F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("root", "rep", "id")
-    return result.select(
-        "id",
-        (F.coalesce("links", F.lit(0).cast("long")) + F.coalesce(F.col("copies") - 1, F.lit(0).cast("long"))).alias("n_links"),
-        component.alias("component_id"),
-        (F.col("id").eqNullSafe(component)).alias("kept"),
+    return told(marked, classes, counts, components(edges, "lattice-components")).select(
+        "id", "n_links", F.col("class_id").alias("component_id"), "kept"
     )
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._clusters import blocks, components, linked, paired, star_edges
+from tessera.llm._clusters import blocks, components, linked, paired, star_edges, told
 from tessera.llm._common import documents, written
 from tessera.llm._words import batches, mixed, shingles, word_hashes
 
@@ -115,19 +115,7 @@ def link_documents(
         return jaccard(left["shingles"].tolist(), right["shingles"].tolist()) >= least - 1e-12
 
     counts, edges = linked(paired(dealt), similar)
-    found = components(edges, "forest-classes").withColumnRenamed("id", "node")
-    result = marked.select("id", "print").join(classes.select("print", "rep", "copies"), "print", "left")
-    result = result.join(counts.withColumnRenamed("id", "counted"), F.col("rep") == F.col("counted"), "left")
-    result = result.join(found, F.col("rep") == F.col("node"), "left")
-    owner = F.coalesce("root", "rep", "id")
-    zero = F.lit(0).cast("long")
-    return result.select(
-        "id",
-        F.coalesce("rep", "id").alias("rep_id"),
-        owner.alias("class_id"),
-        (F.coalesce("links", zero) + F.coalesce(F.col("copies") - 1, zero)).alias("n_links"),
-        F.col("id").eqNullSafe(owner).alias("kept"),
-    )
+    return told(marked, classes, counts, components(edges, "forest-links")).withColumnRenamed("rep", "rep_id")
 
 
 def jaccard(left: list[bytes], right: list[bytes], columns: int = 4096) -> np.ndarray:
