@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import documents, drawn, written
+from tessera.llm._common import documents, written
 from tessera.llm.language_id import held_out
 
 #: The end of a document as a token: no word is empty.
@@ -160,38 +160,110 @@ class Network:
         return total / LOG10
 
 
-def fit(texts: list[np.ndarray], net: Network, rng: np.random.Generator, epochs: int, streams: int, window: int, rate: float) -> Network:
-    """Truncated backpropagation through time: ``streams`` streams of whole documents, ``window`` steps at a time, the
-    state carried from window to window and set to zero after a document's end. Adam, with a falling rate.
+WEIGHTS = ("table", "gates", "change", "classes", "class_bias", "inner", "inner_bias")
+
+
+class Fitter:
+    """Truncated backpropagation through time: streams of whole documents, ``window`` steps at a time, the state carried
+    from window to window and set to zero after a document's end. Adam; a token's row moves only in steps that have it.
     """
-    names = ("table", "gates", "change", "classes", "class_bias", "inner", "inner_bias")
-    moment = {k: (np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))) for k in names}
-    if not texts:
-        return net
-    n = 0
-    total = sum(map(len, texts))
-    streams = max(1, min(streams, total // window))
-    steps = max(1, -(-total // streams) // window) * epochs
-    for _ in range(epochs):
-        tokens = np.concatenate([texts[i] for i in rng.permutation(len(texts))])
+
+    def __init__(self, net: Network, window: int = 20, most_streams: int = 256):
+        self.net, self.window, self.most_streams, self.n = net, window, most_streams, 0
+        self.moment = {k: (np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))) for k in WEIGHTS}
+
+    def run(self, tokens: np.ndarray, rate) -> None:
+        """One pass over all of ``tokens``, texts one after another; ``rate`` of the share that is done."""
+        if not len(tokens):
+            return
+        streams = max(1, min(self.most_streams, len(tokens) // (100 * self.window)))
         length = len(tokens) // streams
-        grid = tokens[: length * streams].reshape(streams, length)
-        state = np.zeros((streams, len(net.change)), np.float32)
-        before = np.full(streams, net.end)
-        for at in range(0, length, window):
-            target = grid[:, at : at + window]
-            slope, state = _slopes(net, before, state, target)
-            before = target[:, -1]
-            n += 1
-            step = rate * max(0.05, 1 - n / steps)
-            norm = np.sqrt(sum(float((g * g).sum()) for g in slope.values()))
-            for k, g in slope.items():
-                g = g * np.float32(min(1.0, 5.0 / (norm + 1e-9)))
-                m, v = moment[k]
-                m += np.float32(0.1) * (g - m)
-                v += np.float32(0.005) * (g * g - v)
-                value = getattr(net, k)
-                value -= np.float32(step / (1 - 0.9**n)) * m / (np.sqrt(v / np.float32(1 - 0.995**n)) + np.float32(1e-6))
+        grid, rest = tokens[: length * streams].reshape(streams, length), tokens[length * streams :]
+        for part, wide, step in ((grid, self.window, lambda at: rate(at / length)), (rest[None, :], max(1, len(rest)), lambda at: rate(1.0))):
+            state = np.zeros((len(part), len(self.net.change)), np.float32)
+            before = np.full(len(part), self.net.end)
+            for at in range(0, part.shape[1], wide):
+                target = part[:, at : at + wide]
+                slope, state = _slopes(self.net, before, state, target)
+                self._move(slope, np.unique(np.concatenate([before, target.ravel()])), step(at))
+                before = target[:, -1]
+
+    def _move(self, slope: dict[str, np.ndarray], seen: np.ndarray, rate: float) -> None:
+        self.n += 1
+        slope["table"] = slope["table"][seen]
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in slope.values()))
+        for k, g in slope.items():
+            g = g * np.float32(min(1.0, 5.0 / (norm + 1e-9)))
+            rows = seen if k == "table" else slice(None)
+            m, v = self.moment[k]
+            m[rows] += np.float32(0.1) * (g - m[rows])
+            v[rows] += np.float32(0.005) * (g * g - v[rows])
+            getattr(self.net, k)[rows] -= np.float32(rate / (1 - 0.9**self.n)) * m[rows] / (np.sqrt(v[rows] / np.float32(1 - 0.995**self.n)) + np.float32(1e-6))
+
+
+def flat(net: Network) -> np.ndarray:
+    return np.concatenate([getattr(net, k).ravel() for k in WEIGHTS])
+
+
+def with_weights(net: Network, values: np.ndarray) -> Network:
+    """A network of the same shape that has ``values``, as ``flat`` puts them."""
+    new, at = {}, 0
+    for k in WEIGHTS:
+        old = getattr(net, k)
+        new[k] = values[at : at + old.size].reshape(old.shape).copy()
+        at += old.size
+    return replace(net, **new)
+
+
+def train(ids: DataFrame, net: Network, n_blocks: int, passes: int, rate: float = 0.01, at_most: int = 64, piece: int = 1 << 16) -> Network:
+    """``net`` trained on every row of ``ids`` (block, key, ids as int32 bytes), one block after another in rounds of 1,
+    2, 4, ... blocks and ``at_most`` at the end, so that weights agree before many are averaged.
+
+    A block starts from the round's weights and goes through its rows in the order of ``key``, a batch of them at a
+    time; the new weights are the mean of the blocks', weighed by tokens, taken piece by piece in Spark and written to
+    the shared folder. So the driver holds one set of weights, and the result hangs on no partitioning.
+    """
+    import pandas as pd
+
+    spark = ids.sparkSession
+    rounds, first = [], 0
+    while first < n_blocks:
+        n = min(1 << len(rounds), at_most, n_blocks - first)
+        rounds.append((first, n))
+        first += n
+    for turn, (first, n) in enumerate([r for _ in range(passes) for r in rounds]):
+        done, share = turn / (passes * len(rounds)), 1 / (passes * len(rounds))
+
+        def learned(frames, net=net, done=done, share=share):
+            block, tokens, fitter = None, 0, None
+
+            def out():
+                made = flat(fitter.net)
+                at = range(0, len(made), piece)
+                return pd.DataFrame({"piece": range(len(at)), "block": block, "n": tokens, "weights": [made[k : k + piece].tobytes() for k in at]})
+
+            for frame in frames:
+                for own, rows in frame.groupby("block", sort=True):
+                    if own != block:
+                        if fitter:
+                            yield out()
+                        block, tokens, fitter = own, 0, Fitter(with_weights(net, flat(net)))
+                    run = np.frombuffer(b"".join(rows["ids"]), np.int32).astype(np.int64)
+                    fitter.run(run, lambda x: rate * max(0.05, 1 - done - share * x))
+                    tokens += len(run)
+            if fitter:
+                yield out()
+
+        def mean(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("block")
+            total = sum(np.frombuffer(w, np.float32).astype(np.float64) * k for w, k in zip(frame["weights"], frame["n"]))
+            return pd.DataFrame({"piece": frame["piece"].iloc[:1], "n": int(frame["n"].sum()), "weights": [(total / frame["n"].sum()).astype(np.float32).tobytes()]})
+
+        dealt = ids.where(F.col("block").between(first, first + n - 1)).repartition(n, "block").sortWithinPartitions("block", "key", "ids")
+        made = dealt.select("block", "ids").mapInPandas(learned, "piece int, block int, n long, weights binary")
+        made = written(made.groupBy("piece").applyInPandas(mean, "piece int, n long, weights binary"), "weights").toPandas().sort_values("piece")
+        if len(made):
+            net = with_weights(net, np.frombuffer(b"".join(made["weights"]), np.float32))
     return net
 
 
@@ -260,8 +332,10 @@ class Lexicon:
         return {t: k for k, t in enumerate(self.tokens)}
 
 
-def frequent(counts: DataFrame, most: int, neural: int) -> Lexicon:
-    """The words from that count on from which there are at most ``most``: no more reach the driver or a worker."""
+def frequent(counts: DataFrame, most: int, neural: int, neural_least: int) -> Lexicon:
+    """The words from that count on from which there are at most ``most``: no more reach the driver or a worker. The
+    network's are those of ``neural_least`` or more, at most ``neural``.
+    """
     bins = F.floor(F.log2("c") * 8)
     tally = counts.where(F.length("token") > 0).groupBy(bins.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).collect()
     total, least = 0, 1 << 62
@@ -275,7 +349,7 @@ def frequent(counts: DataFrame, most: int, neural: int) -> Lexicon:
         return Lexicon([], np.zeros(0, np.int64), 0, least)
     rows["token"] = rows["token"].map(bytes)
     rows = rows.sort_values(["c", "token"], ascending=[False, True])
-    return Lexicon(rows["token"].tolist(), rows["c"].to_numpy(np.int64), min(neural, len(rows)), least)
+    return Lexicon(rows["token"].tolist(), rows["c"].to_numpy(np.int64), min(neural, int((rows["c"] >= neural_least).sum())), least)
 
 
 SCORED = (
@@ -289,19 +363,23 @@ def score_documents(
     is_held_out,
     id_col: str = "doc_id",
     text_col: str = "text",
-    max_documents: int = 1200,
     most_frequent: int = 1 << 18,
-    vocabulary: int = 2048,
-    per_class: int = 64,
+    vocabulary: int = 1 << 14,
+    per_class: int = 128,
     hidden: int = 24,
     epochs: int = 3,
     seed: int = 13,
+    word_least: int = 8,
+    block_tokens: int = 2_000_000,
+    most_blocks: int = 256,
 ) -> DataFrame:
     """Log10 probability of every whole text, and that of the smoothed unigram counts (``base_score``).
 
-    Counts are over all rows that aren't held out. The network knows the ``vocabulary`` most frequent words, ordered
-    into classes by frequency, an unknown word and the end of a document; its output starts from the log counts, and it
-    is trained on about ``max_documents`` of the rows that aren't held out, drawn by a hash of the id. An unknown word
+    Counts are over all rows that aren't held out. The network knows the words counted ``word_least`` times or
+    more, at most the ``vocabulary`` most frequent (a bound on memory), ordered into classes by frequency, an unknown
+    word and the end of a document; its output starts from the log counts, and it is trained on all rows that aren't
+    held out: ``epochs`` passes over few tokens, one over many. They are dealt by a hash of the id into blocks of about
+    ``block_tokens`` tokens, which grow once there are ``most_blocks``; see ``train``. An unknown word
     has the network's probability of one, times its share (c + 1) of the smoothed counts outside of the vocabulary, so
     that the whole is a probability over all tokens. Texts run through the network whole, the state going on from
     window to window.
@@ -311,11 +389,11 @@ def score_documents(
     0. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; rows that repeat are scored each.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), is_held_out.alias("held_out"))
-    train = rows.where(~F.col("held_out"))
-    counts = written(count_words(train), "word-counts")
+    learning = rows.where(~F.col("held_out"))
+    counts = written(count_words(learning), "word-counts")
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.length("token") == 0, F.col("c"))).alias("ends")).first()
     n_train, distinct, ends = sums["n"] or 0, sums["v"], sums["ends"] or 0
-    known = frequent(counts, most_frequent, vocabulary)
+    known = frequent(counts, most_frequent, vocabulary, word_least)
     whole = float(n_train + distinct + 1)
     outside = max(whole - float((known.counts[: known.neural] + 1).sum()) - (ends + 1), 1.0)
     rng = np.random.default_rng(seed)
@@ -323,15 +401,17 @@ def score_documents(
     net = Network.new(top, per_class, hidden, rng)
     place = {t: k for k, t in enumerate(known.tokens[: known.neural])}
 
-    def as_ids(frames):
-        import pandas as pd
-
-        for frame in frames:
-            yield pd.DataFrame({"ids": [[*(place.get(w, net.unknown) for w in words(t)), net.end] for t in frame["text"]]})
-
-    chosen = drawn(train, max_documents, seed).select("doc_id", "text").mapInPandas(as_ids, "ids array<int>")
-    texts = sorted((np.asarray(r, dtype=np.int64) for r in chosen.toPandas()["ids"]), key=lambda a: (len(a), a.tobytes()))
-    net = fit(texts, net, rng, epochs, streams=64, window=20, rate=0.01)
+    def as_ids(batches):
+        for batch in batches:
+            made = [np.array([*(place.get(w, net.unknown) for w in words(t.as_py())), net.end], np.int32).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["block", "key", "ids"])
+
+    n_blocks = int(min(max(1, n_train // block_tokens), most_blocks))
+    dealt = learning.select(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n_blocks)).cast("int").alias("block"), F.xxhash64("doc_id", F.lit(seed + 1)).alias("key"), "text")
+    start = net
+    if n_train:
+        ids = written(dealt.mapInArrow(as_ids, "block int, key long, ids binary"), "ids")
+        net = train(ids, start, n_blocks, int(min(epochs, max(1, -(-3 * block_tokens // n_train)))))
     logs = np.log10(known.counts + 1.0)
     end_log = float(np.log10(ends + 1.0))
 

@@ -328,3 +328,38 @@ def test_pipeline_stages(spark, sf_dir, monkeypatch):
         held = after
     last = corpus_pipeline.STAGES[-1][1](spark, held, sf_dir)
     assert last.select("doc_id").distinct().count() == held.select("doc_id").distinct().count()
+
+
+def test_language_model_learns_from_every_row(spark, monkeypatch):
+    texts = [f"w{k} w{k} w{(k * 7) % 500}" for k in range(500)] * 4
+    given = docs(spark, texts)
+    held = F.col("doc_id") < 0
+    seen = {}
+    whole = language_model.train
+
+    def told(ids, net, n_blocks, passes, **more):
+        seen.update(rows=ids.count(), blocks=ids.select("block").distinct().count(), n_blocks=n_blocks, n_words=net.n_words)
+        return whole(ids, net, n_blocks, passes, **more)
+
+    monkeypatch.setattr(language_model, "train", told)
+    rows = language_model.score_documents(given, held, hidden=4, per_class=32, block_tokens=1000, word_least=4).collect()
+    assert len(rows) == len(texts) and seen == {"rows": len(texts), "blocks": 8, "n_blocks": 8, "n_words": 500}
+
+
+def test_training_reads_each_block_and_averages_by_tokens(spark):
+    rng = np.random.default_rng(1)
+    net = language_model.Network.new(np.zeros(6), 3, 4, rng)
+    texts = [[*rng.integers(0, 6, 5 + k % 7).tolist(), net.end] for k in range(60)]
+    rows = [(k % 3, k, bytearray(np.array(t, np.int32).tobytes())) for k, t in enumerate(texts)]
+    made = language_model.train(spark.createDataFrame(rows, "block int, key long, ids binary"), net, 3, 1)
+
+    def block(k, start, done):
+        fitter = language_model.Fitter(language_model.with_weights(start, language_model.flat(start)))
+        run = np.array([w for at, t in enumerate(texts) if at % 3 == k for w in t], np.int64)
+        fitter.run(run, lambda x: 0.01 * max(0.05, 1 - done - x / 2))
+        return language_model.flat(fitter.net), len(run)
+
+    first = language_model.with_weights(net, block(0, net, 0.0)[0])
+    (a, n), (b, m) = block(1, first, 0.5), block(2, first, 0.5)
+    assert np.allclose(language_model.flat(made), (a.astype(float) * n + b.astype(float) * m) / (n + m), atol=1e-6)
+    assert not np.allclose(language_model.flat(first), language_model.flat(net))
