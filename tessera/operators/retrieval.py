@@ -191,26 +191,38 @@ def hybrid_search(
     return hit_columns(fused.orderBy(F.desc("rrf"), "seen"))
 
 
-def batch_search(chunks: DataFrame, queries: DataFrame, k: int, fetch: int | None = None, rrf_k: int = 60) -> DataFrame:
+def batch_search(chunks: DataFrame, queries: DataFrame, k: int, fetch: int | None = None, rrf_k: int = 60, block: int | None = None) -> DataFrame:
     """Hits of many queries at once: ``queries`` has query_id, text, vector, a set whose size the caller knows to be
     small, so it is broadcast. Rows stream by it; a (query, row) pair is a struct of a distance and a key until ranked,
     and partial top-k per task keeps what is shuffled at queries x tasks x fetch.
+
+    With ``block``, ``queries`` may be large: each ``block`` of them by id is broadcast against all rows, and the words'
+    weights are joined as Spark chooses. The driver then holds the ids.
     """
     fetch = fetch or 3 * k
-    pairs = chunks.select(*KEY, "vector").join(F.broadcast(queries.select("query_id", F.col("vector").alias("asked"))), F.lit(True), "inner")
-    near = pairs.select("query_id", *KEY, pair_distance(F.col("vector"), F.col("asked")).alias("distance"))
-    nearest = _top_per_query(near, [F.col("distance"), *map(F.col, KEY)], fetch)
+    parts = [queries]
+    if block:
+        ids = sorted(r["query_id"] for r in queries.select("query_id").distinct().collect())
+        parts = [queries.where(F.col("query_id").between(ids[a], ids[min(a + block, len(ids)) - 1])) for a in range(0, len(ids), block)] or parts
+    nearest = reduce(DataFrame.unionByName, [_nearest_of_each(chunks, part, fetch) for part in parts])
+    few = F.broadcast if not block else lambda rows: rows
     terms, stats = postings(chunks)
     asked = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)))).alias("term"))
-    df = terms.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = terms.join(few(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
     weights = asked.join(df, "term").join(F.broadcast(stats), F.lit(True), "inner")
-    scores = terms.join(F.broadcast(weights), "term").groupBy("query_id", *KEY).agg(F.round(F.sum(part), 9).alias("score"))
+    scores = terms.join(few(weights), "term").groupBy("query_id", *KEY).agg(F.round(F.sum(part), 9).alias("score"))
     worded = _top_per_query(scores, [F.desc("score"), *map(F.col, KEY)], fetch).drop("score")
     return fuse([nearest.drop("distance"), worded], k, rrf_k, group=("query_id",))
 
 
+def _nearest_of_each(chunks: DataFrame, queries: DataFrame, fetch: int) -> DataFrame:
+    pairs = chunks.select(*KEY, "vector").join(F.broadcast(queries.select("query_id", F.col("vector").alias("asked"))), F.lit(True), "inner")
+    near = pairs.select("query_id", *KEY, pair_distance(F.col("vector"), F.col("asked")).alias("distance"))
+    return _top_per_query(near, [F.col("distance"), *map(F.col, KEY)], fetch)
+
+
 def _top_per_query(rows: DataFrame, order: list[Column], fetch: int) -> DataFrame:
     """``rank`` from 0 per query; Spark keeps the first ``fetch`` of each query in each task before it shuffles."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1).where(F.col("rank") < fetch)

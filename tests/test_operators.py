@@ -271,3 +271,31 @@ def test_debounced_stream(spark, sf_dir, tmp_path):
     end = events.agg(F.unix_millis(F.max("ts"))).first()[0]
     assert got and got <= whole
     assert {r for r in whole if r[5] < end} <= got
+
+
+def test_batch_search_covers_all_items(spark, sf_dir):
+    from tessera.plans import QUERIES
+    from tessera.plans.tables import table
+
+    items = table(spark, sf_dir, "benchmark").join(table(spark, sf_dir, "embeddings"), F.col("item_id") == F.col("vec_id"))
+    wanted = {r["item_id"] for r in items.select("item_id").collect()}
+    found = QUERIES["batch_search_all"](spark, sf_dir).collect()
+    assert len(wanted) > 8 and {r["query_id"] for r in found} == wanted
+    assert sorted(r for r in found if r["query_id"] < 8) == sorted(QUERIES["batch_search"](spark, sf_dir).collect())
+
+
+def test_batch_search_blocks(spark):
+    rows = [(f"d{k}", 1, 0, f"w{k % 3} all", [float(k), 1.0]) for k in range(12)]
+    chunks = spark.createDataFrame(rows, "document_name string, page_number int, chunk_index int, text string, vector array<float>")
+    asked = [(k, f"w{k % 4}", [float(k), 2.0]) for k in range(7)]
+    queries = spark.createDataFrame(asked, "query_id long, text string, vector array<float>")
+    whole = retrieval.batch_search(chunks, queries, 3, 12).collect()
+    found = retrieval.batch_search(chunks, queries, 3, 12, block=2).collect()
+    assert len(found) == 21 and sorted(map(str, found)) == sorted(map(str, whole))
+    for key, word, v in asked:
+        cosine = lambda w: sum(a * b for a, b in zip(v, w)) / (sum(a * a for a in v) * sum(b * b for b in w)) ** 0.5
+        near = sorted(rows, key=lambda r: (-cosine(r[4]), r[0]))
+        worded = sorted((r for r in rows if word in r[3].split()), key=lambda r: r[0])
+        score = {r[0]: 1 / (60 + near.index(r)) + (1 / (60 + worded.index(r)) if r in worded else 0) for r in rows}
+        best = sorted(score, key=lambda d: (-round(score[d], 12), near.index(next(r for r in rows if r[0] == d))))[:3]
+        assert [r["document_name"] for r in sorted(found, key=lambda r: r["position"]) if r["query_id"] == key] == best
