@@ -78,6 +78,12 @@ def unclean_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unclean(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "text").select("doc_id")
 
 
+@registry.add()
+def unclean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D16 over whole texts. The rules look around, which the SQL engine's patterns can't; tested by cases."""
+    return unclean(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id")
+
+
 @registry.add("""SELECT * FROM (VALUES ('http://example.org/a', true), ('ftp://example.org', false), ('http://169.254.169.254/x', false), ('https://10.0.0.1/', false),
 ('https://[::ffff:127.0.0.1]/', false), ('http://100.64.1.1/', false), ('http://printer.local/', false), ('https://8.8.8.8/', true), ('nothing', false)) v(url, safe)""")
 def safe_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +112,13 @@ def artifact_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", transcripts.artifact_header(transcripts.artifacts(sha)).alias("header"))
 
 
+@registry.add()
+def conversation_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T15 over the whole texts of all turns. Tested by cases."""
+    header = transcripts.artifact_header(transcripts.artifacts(F.col("text")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", header.alias("header"))
+
+
 @registry.add(f"{RUN} SELECT CAST(query_id AS VARCHAR) AS query_id, docid, CAST(row_number() OVER (PARTITION BY query_id ORDER BY position, docid) AS INTEGER) AS rank, 't' AS tag FROM run")
 def trec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run written as lines and read again."""

@@ -381,6 +381,14 @@ def session_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registry.add()
+def conversation_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T14, W7 over the whole texts of all turns. Tested by cases."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", transcripts.artifacts(F.col("text")).alias("found")).select(
+        "conv_id", "turn", "role", "found.*"
+    )
+
+
 @registry.add(f"""{DIRECTORIES}, t AS (
     SELECT d.doc_id, d.text, x.collection || '-captures' AS collection FROM documents d
     LEFT JOIN directories x ON replace(x.directory, '/', '-') = '-w-' || CASE WHEN d.doc_id % 4 = 0 THEN 'none' ELSE d.source END)
@@ -477,6 +485,12 @@ def pollution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.pollution(rows)
 
 
+@registry.add()
+def document_pollution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F9 over the whole texts of the hits. Tested by cases."""
+    return evaluation.pollution(ranked_hits(spark, sf_dir))
+
+
 @registry.add("""SELECT substr(sha256(string_agg(CAST(item_id AS VARCHAR) || chr(0) || sha256(text), chr(10) ORDER BY CAST(item_id AS VARCHAR))), 1, 16) AS signature
 FROM benchmark""")
 def corpus_signature(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -299,3 +299,20 @@ def test_batch_search_blocks(spark):
         score = {r[0]: 1 / (60 + near.index(r)) + (1 / (60 + worded.index(r)) if r in worded else 0) for r in rows}
         best = sorted(score, key=lambda d: (-round(score[d], 12), near.index(next(r for r in rows if r[0] == d))))[:3]
         assert [r["document_name"] for r in sorted(found, key=lambda r: r["position"]) if r["query_id"] == key] == best
+
+
+def test_queries_read_whole_texts(spark, tmp_path):
+    from tessera.plans import QUERIES
+
+    deep = "plain words. " * 2000
+    texts = [deep, deep + "mail ann@site.example now", "---\na: b\n---\n", deep + "commit abc1234 in PR #7"]
+    rows = [(40 * k, t, "s", "en", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(1, k, "user", t) for k, t in enumerate(texts)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r["doc_id"] for r in QUERIES["unclean_documents"](spark, str(tmp_path)).collect()] == [40]
+    assert [tuple(r) for r in QUERIES["document_pollution"](spark, str(tmp_path)).collect()] == [(0, 0.25)]
+    found = {r["turn"]: r for r in QUERIES["conversation_artifacts"](spark, str(tmp_path)).collect()}
+    assert found[3]["commit_shas"] == ["abc1234"] and found[3]["pr_numbers"] == [7] and not found[0]["commit_shas"]
+    headers = {r["turn"]: r["header"] for r in QUERIES["conversation_headers"](spark, str(tmp_path)).collect()}
+    assert headers[3] == "## Session Artifacts\nCommits: abc1234\nPRs: #7" and not headers[0]
