@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of a power of two tokens, none across documents."""
-    return pack_documents(docs, vocabulary(), vocabulary("byte_bpe_50k.tiktoken"))
+    """Sequences of a power of two tokens with their ids, none across documents."""
+    return pack_documents(docs, vocabulary(), vocabulary("byte_bpe_50k.tiktoken"), with_ids=True)
 
 
 STAGES = [

@@ -363,3 +363,12 @@ def test_training_reads_each_block_and_averages_by_tokens(spark):
     (a, n), (b, m) = block(1, first, 0.5), block(2, first, 0.5)
     assert np.allclose(language_model.flat(made), (a.astype(float) * n + b.astype(float) * m) / (n + m), atol=1e-6)
     assert not np.allclose(language_model.flat(first), language_model.flat(net))
+
+
+def test_pipeline_packs_token_ids(spark):
+    import corpus_pipeline
+
+    texts = ["one two three " * 50, "", "a"]
+    rows = corpus_pipeline.pack(spark, docs(spark, texts), "").collect()
+    assert all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
+    assert {r["doc_id"] for r in rows} == {0, 1, 2}
