@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def rotate_perspectives(
@@ -43,6 +44,63 @@ def rotate_perspectives(
     parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("said")).alias("turns"))
     names = rows.where(~F.col("said.speaker").isin(*context)).select(F.col("conv_id").alias("whose"), F.col("said.speaker").alias("perspective"))
     views = parts.join(names.distinct(), F.col("conv_id").eqNullSafe(F.col("whose"))).drop("whose")
+    return _rendered(views.withColumn("n_turns", F.size("turns")), context)
+
+
+def rotate_dialogues(
+    turns: DataFrame,
+    conv_col: str = "conv_id",
+    turn_col: str = "turn",
+    speaker_col: str = "role",
+    text_col: str = "text",
+    context: tuple[str, ...] = ("system",),
+    rows_per_part: int = 64,
+    slots: int = 32,
+) -> DataFrame:
+    """As ``rotate_perspectives``, for dialogues of any length: parts are cut by row position, ``rows_per_part`` in each.
+
+    Ties, null turns and a null conversation are cut like other rows. A later part starts with the context turns of all
+    earlier parts, each different one once; ``n_turns`` counts a part's own. A part has a rendering for each participant
+    who speaks in it. Turns of one number are dealt to parts by ``slots`` of a hash, and are in order of speaker and text
+    within a part; so positions come from counts, and no task ranks a whole dialogue.
+    """
+    at = F.coalesce(F.col(turn_col).cast("long"), F.lit(-1).cast("long"))
+    rows = turns.select(
+        F.struct(F.col(conv_col).alias("id")).alias("conv"),
+        at.alias("turn"),
+        F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown")).alias("speaker"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("said"),
+    ).withColumn("slot", F.pmod(F.xxhash64("speaker", "said"), F.lit(slots)))
+    cells = rows.groupBy("conv", "turn", "slot").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.floor(F.col("turn") / rows_per_part))
+    buckets = cells.groupBy("conv", "bucket").agg(F.sum("n").alias("n"))
+    earlier = lambda group, order: Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda window: F.coalesce(F.sum("n").over(window), F.lit(0))
+    buckets = buckets.select("conv", "bucket", before(earlier(["conv"], ["bucket"])).alias("start"))
+    cells = cells.withColumn("inside", before(earlier(["conv", "bucket"], ["turn", "slot"]))).join(buckets, ["conv", "bucket"])
+    rank = F.row_number().over(Window.partitionBy("conv", "turn", "slot").orderBy("speaker", "said")) - 1
+    placed = rows.withColumn("rank", rank).join(cells.select("conv", "turn", "slot", (F.col("start") + F.col("inside")).alias("first")), ["conv", "turn", "slot"])
+    part = F.floor((F.col("first") + F.col("rank")) / rows_per_part).cast("long")
+    placed = placed.select("conv", part.alias("part"), F.struct("turn", "speaker", F.col("said").alias("text")).alias("said"))
+
+    parts = placed.groupBy("conv", "part").agg(F.sort_array(F.collect_list("said")).alias("own"))
+    carried = placed.where(F.col("said.speaker").isin(*context)).groupBy("conv", "said.speaker", "said.text")
+    carried = carried.agg(F.min(F.struct("part", "said")).alias("seen")).select("conv", F.col("seen.part").alias("since"), "seen.said")
+    carried = carried.join(parts.where("part > 0").select("conv", "part"), "conv").where("since < part")
+    carried = carried.groupBy("conv", "part").agg(F.sort_array(F.collect_list("said")).alias("carried"))
+    whole = parts.join(carried, ["conv", "part"], "left")
+    speakers = F.filter(F.array_distinct(F.col("own.speaker")), lambda s: ~s.isin(*context))
+    views = whole.select(
+        F.col("conv.id").alias("conv_id"),
+        "part",
+        F.size("own").alias("n_turns"),
+        F.when(F.col("carried").isNull(), F.col("own")).otherwise(F.concat("carried", "own")).alias("turns"),
+        F.explode(speakers).alias("perspective"),
+    )
+    return _rendered(views, context)
+
+
+def _rendered(views: DataFrame, context: tuple[str, ...]) -> DataFrame:
+    """The text and mask of each (conv_id, perspective, part, n_turns, turns)."""
 
     def head(t):
         return (
@@ -76,7 +134,7 @@ def rotate_perspectives(
         "conv_id",
         "perspective",
         "part",
-        F.size("turns").cast("long").alias("n_turns"),
+        F.col("n_turns").cast("long").alias("n_turns"),
         F.size(F.filter("shown", lambda s: s["target"])).cast("long").alias("n_target_turns"),
         F.array_join(F.transform("shown", lambda s: F.concat(s["head"], s["body"], F.lit("\n"))), "").alias("text"),
         F.array_join("mask.spans", ",").alias("mask_spans"),
@@ -85,7 +143,7 @@ def rotate_perspectives(
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return rotate_dialogues(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 OP9_SQL = """
