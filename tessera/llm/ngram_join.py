@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join: a MinHash LSH forest proposes groups, exact Jaccard verifies within them."""
+"""N-gram Jaccard self-join: banded MinHash (in place of an LSH forest) proposes groups, exact Jaccard verifies within them."""
 
 from __future__ import annotations
 
@@ -63,11 +63,12 @@ def link_documents(
     """Links between documents whose sets of ``n``-word shingles have a Jaccard similarity of ``least`` or more.
 
     Words are runs of anything but white space, A-Z lowered; a text of fewer than ``n`` words is one shingle. Texts of
-    equal shingle sets are one class, with a count, so copies are never expanded. Each class has ``trees`` prefixes of
-    its MinHash signature, which sort it into as many tries; matched prefixes are shortened from ``deepest`` until a
-    pair at the threshold meets with probability ``recall`` (the depth follows from the parameters, so it is the same
-    for all rows and sizes). What shares a prefix joins a group; all pairs of a group are verified by exact Jaccard,
-    block against block, which also finds pairs that no trie brought together. Nothing is capped: a large group is
+    equal shingle sets are one class, with a count, so copies are never expanded. Each class has ``trees`` bands of
+    its MinHash signature. This is no forest: no trie is sorted or descended, and nothing is shortened by the data. One
+    depth of at most ``deepest`` is worked out from the parameters, at which a pair at the threshold shares a band with
+    probability ``recall``: that chance hangs on the pair's similarity alone, so it needs no descent. Hashes of a band
+    beyond that depth are not read. What shares a band joins a group; all pairs of a group are verified by exact Jaccard,
+    block against block, which also finds pairs that no band brought together. Nothing is capped: a large group is
     more blocks.
 
     Returns id, rep_id (smallest id of the same shingle set), class_id (smallest id that links lead to), n_links
