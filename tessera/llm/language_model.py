@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,35 +56,55 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+WEIGHTS = ("table", "into", "shift", "gates", "change", "classes", "class_bias", "inner", "inner_bias")
+#: Rows of a softmax taken at once, so that they stay in the processor's cache.
+CACHED = 512
+
+
 @dataclass
 class Network:
-    """A gated recurrent unit. Token ids: words by class (``per_class`` in each), then the unknown word, then the end.
+    """A gated recurrent unit. Token ids: words by falling count, then the unknown word, then the end.
 
-    ``table`` has what a token adds to the three gates; the output goes to classes, and within a class to its words;
-    the unknown word and the end are classes of one.
+    ``table`` has a vector for each token, ``into`` takes it to the three gates. The output goes to classes, and within
+    a class to its words, which are the ids from ``edges[c]`` to ``edges[c + 1]``; the unknown word and the end are
+    classes of one. ``sums`` are the squared slopes so far, one for each weight (see ``Fitter``).
     """
 
-    per_class: int
-    n_words: int
+    edges: np.ndarray
     table: np.ndarray
+    into: np.ndarray
+    shift: np.ndarray
     gates: np.ndarray
     change: np.ndarray
     classes: np.ndarray
     class_bias: np.ndarray
     inner: np.ndarray
     inner_bias: np.ndarray
+    sums: dict[str, np.ndarray]
 
     @classmethod
-    def new(cls, log_counts: np.ndarray, per_class: int, hidden: int, rng: np.random.Generator) -> Network:
-        n = len(log_counts)
+    def new(cls, log_counts: np.ndarray, per_class: int, hidden: int, rng: np.random.Generator, unknown: float = 1.0, ends: float = 1.0) -> Network:
+        """A network whose output starts from the counts. A class has ``per_class`` words in the mean; each has an equal
+        share of the square roots of the counts, which keeps classes of frequent words small and the work on a token low.
+        """
+        n, counts = len(log_counts), np.exp(np.asarray(log_counts, np.float64))
         n_classes = -(-n // per_class)
-        small = lambda *shape: rng.normal(0, 0.08, shape).astype(np.float32)
-        bias = np.full(n_classes * per_class, -30.0, np.float32)
-        bias[:n] = log_counts
-        return cls(
-            per_class, n, small(n + 2, 3 * hidden), small(hidden, 2 * hidden), small(hidden, hidden), small(hidden, n_classes + 2),
-            np.zeros(n_classes + 2, np.float32), small(n_classes, hidden, per_class), bias.reshape(n_classes, per_class),
+        share = np.cumsum(np.sqrt(counts))
+        kind = np.minimum((share / share[-1] * n_classes).astype(np.int64), n_classes - 1) if n else np.zeros(0, np.int64)
+        edges = np.append(np.flatnonzero(np.diff(kind, prepend=-1)), n)
+        mass = np.append(np.add.reduceat(counts, edges[:-1]) if n else [], [unknown, ends])
+        small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        net = cls(
+            edges, small(n + 2, hidden), rng.normal(0, hidden**-0.5, (hidden, 3 * hidden)).astype(np.float32), np.zeros(3 * hidden, np.float32),
+            small(hidden, 2 * hidden), small(hidden, hidden), small(hidden, len(mass)), np.log(mass / mass.sum()).astype(np.float32),
+            small(n, hidden), np.asarray(log_counts, np.float32).copy(), {},
         )
+        net.sums = {k: np.full_like(getattr(net, k), 1e-8) for k in WEIGHTS}
+        return net
+
+    @property
+    def n_words(self) -> int:
+        return len(self.inner)
 
     @property
     def unknown(self) -> int:
@@ -93,13 +114,24 @@ class Network:
     def end(self) -> int:
         return self.n_words + 1
 
-    def class_of(self, ids: np.ndarray) -> np.ndarray:
-        n_classes = len(self.inner)
-        return np.where(ids < self.n_words, ids // self.per_class, n_classes + ids - self.n_words)
+    def by_class(self, ids: np.ndarray):
+        """An order of ``ids`` by class, their classes and places in it in that order, and (class, from, to) of the runs
+        of each class of several words, ``CACHED`` rows at most.
+        """
+        n_classes = len(self.edges) - 1
+        kinds = np.repeat(np.arange(n_classes + 2), np.append(np.diff(self.edges), [1, 1]))
+        order = np.argsort(kinds[ids], kind="stable")
+        kind = kinds[ids][order]
+        place = ids[order] - np.append(self.edges, self.end)[kind]
+        edge = np.searchsorted(kind, np.arange(n_classes + 1))
+        return order, kind, place, [(c, a, min(a + CACHED, edge[c + 1])) for c in range(n_classes) for a in range(edge[c], edge[c + 1], CACHED)]
 
     def step(self, ids: np.ndarray, state: np.ndarray):
+        return self.turn(self.table[ids] @ self.into + self.shift, state)
+
+    def turn(self, x: np.ndarray, state: np.ndarray):
+        """The next state, from what a token adds to the gates, and what the slopes need of the inside."""
         h = state.shape[1]
-        x = self.table[ids]
         both = _sigmoid(x[:, : 2 * h] + state @ self.gates)
         keep, reset = both[:, :h], both[:, h:]
         past = state @ self.change
@@ -108,18 +140,15 @@ class Network:
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target; a word's is that of its class and, there, its own."""
-        kind = self.class_of(targets)
-        z = states @ self.classes + self.class_bias
-        z -= z.max(axis=1, keepdims=True)
-        out = z[np.arange(len(z)), kind] - np.log(np.exp(z).sum(axis=1))
-        order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(len(self.inner) + 1))
-        for c in range(len(self.inner)):
-            rows = order[edge[c] : edge[c + 1]]
-            if len(rows):
-                w = states[rows] @ self.inner[c] + self.inner_bias[c]
-                w -= w.max(axis=1, keepdims=True)
-                out[rows] += w[np.arange(len(rows)), targets[rows] - c * self.per_class] - np.log(np.exp(w).sum(axis=1))
+        order, kind, place, runs = self.by_class(targets)
+        states, found = states[order], np.empty(len(states), np.float32)
+        for a in range(0, len(states), CACHED):
+            found[a : a + CACHED] = _log_shares(states[a : a + CACHED] @ self.classes + self.class_bias, kind[a : a + CACHED])
+        for c, a, b in runs:
+            own = slice(self.edges[c], self.edges[c + 1])
+            found[a:b] += _log_shares(states[a:b] @ self.inner[own].T + self.inner_bias[own], place[a:b])
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def score(self, texts: list[np.ndarray], at_once: int = 1 << 16) -> np.ndarray:
@@ -127,50 +156,48 @@ class Network:
         prefix; the state goes on from one window of steps to the next until a sequence ends.
         """
         total = np.zeros(len(texts))
+        adds = self.table @ self.into + self.shift
         order = np.argsort([-len(t) for t in texts], kind="stable")
         for first in range(0, len(order), 2048):
             part = order[first : first + 2048]
             lengths = np.array([len(texts[i]) for i in part])
             state = np.zeros((len(part), len(self.change)), np.float32)
-            before = np.full(len(part), self.end)
-            at = 0
-            while len(part) and (live := int((lengths > at).sum())):
+            before, at = np.full(len(part), self.end), 0
+            while live := int((lengths > at).sum()):
                 steps = max(1, min(at_once // live, int(lengths[0]) - at))
-                rows, states, targets = [], [], []
-                for t in range(at, at + steps):
-                    live = int(np.searchsorted(-lengths, -t))
-                    if not live:
-                        break
-                    state = state[:live]
-                    state, _ = self.step(before[:live], state)
-                    target = window[:live, t - at] if t > at else None
-                    if target is None:
-                        window = np.full((live, steps), self.end)
-                        for r in range(live):
-                            own = texts[part[r]][at : at + steps]
-                            window[r, : len(own)] = own
-                        target = window[:, 0]
-                    rows.append(np.arange(live))
-                    states.append(state)
-                    targets.append(target)
-                    before = target
-                log_p = self.log_probabilities(np.concatenate(states), np.concatenate(targets))
-                np.add.at(total, part[np.concatenate(rows)], log_p)
+                lives = np.searchsorted(-lengths, -np.arange(at, at + steps))
+                window = np.full((steps, live), self.end)
+                for r in range(live):
+                    own = texts[part[r]][at : at + steps]
+                    window[: len(own), r] = own
+                ends = np.cumsum(lives)
+                states = np.empty((ends[-1], state.shape[1]), np.float32)
+                for target, m, end in zip(window, lives, ends):
+                    state, _ = self.turn(adds[before[:m]], state[:m])
+                    before = target[:m]
+                    states[end - m : end] = state
+                running = np.arange(live) < lives[:, None]
+                log_p = self.log_probabilities(states, window[running])
+                total += np.bincount(np.broadcast_to(part[:live], running.shape)[running], log_p, len(total))
                 at += steps
         return total / LOG10
 
 
-WEIGHTS = ("table", "gates", "change", "classes", "class_bias", "inner", "inner_bias")
+def _log_shares(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    chosen = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    return chosen - np.log(z.sum(axis=1))
 
 
 class Fitter:
     """Truncated backpropagation through time: streams of whole documents, ``window`` steps at a time, the state carried
-    from window to window and set to zero after a document's end. Adam; a token's row moves only in steps that have it.
+    from window to window and set to zero after a document's end. A weight's steps get shorter with the sum of its
+    squared slopes (Adagrad); the sums go with the network. A token's row moves only in steps that have it.
     """
 
-    def __init__(self, net: Network, window: int = 20, most_streams: int = 256):
-        self.net, self.window, self.most_streams, self.n = net, window, most_streams, 0
-        self.moment = {k: (np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))) for k in WEIGHTS}
+    def __init__(self, net: Network, window: int = 16, most_streams: int = 512):
+        self.net, self.window, self.most_streams = net, window, most_streams
 
     def run(self, tokens: np.ndarray, rate) -> None:
         """One pass over all of ``tokens``, texts one after another; ``rate`` of the share that is done."""
@@ -185,50 +212,56 @@ class Fitter:
             for at in range(0, part.shape[1], wide):
                 target = part[:, at : at + wide]
                 slope, state = _slopes(self.net, before, state, target)
-                self._move(slope, np.unique(np.concatenate([before, target.ravel()])), step(at))
+                self._move(slope, np.unique(np.concatenate([before, target[:, :-1].ravel()])), step(at))
                 before = target[:, -1]
 
     def _move(self, slope: dict[str, np.ndarray], seen: np.ndarray, rate: float) -> None:
-        self.n += 1
         slope["table"] = slope["table"][seen]
         norm = np.sqrt(sum(float(np.vdot(g, g)) for g in slope.values()))
         for k, g in slope.items():
-            g = g * np.float32(min(1.0, 5.0 / (norm + 1e-9)))
+            g *= np.float32(min(1.0, 5.0 / (norm + 1e-9)))
             rows = seen if k == "table" else slice(None)
-            m, v = self.moment[k]
-            m[rows] += np.float32(0.1) * (g - m[rows])
-            v[rows] += np.float32(0.005) * (g * g - v[rows])
-            getattr(self.net, k)[rows] -= np.float32(rate / (1 - 0.9**self.n)) * m[rows] / (np.sqrt(v[rows] / np.float32(1 - 0.995**self.n)) + np.float32(1e-6))
+            total = self.net.sums[k][rows] + g * g
+            self.net.sums[k][rows] = total
+            g /= np.sqrt(total, out=total)
+            g *= np.float32(rate)
+            getattr(self.net, k)[rows] -= g
 
 
 def flat(net: Network) -> np.ndarray:
-    return np.concatenate([getattr(net, k).ravel() for k in WEIGHTS])
+    return np.concatenate([part[k].ravel() for part in (vars(net), net.sums) for k in WEIGHTS])
 
 
 def with_weights(net: Network, values: np.ndarray) -> Network:
     """A network of the same shape that has ``values``, as ``flat`` puts them."""
-    new, at = {}, 0
-    for k in WEIGHTS:
-        old = getattr(net, k)
-        new[k] = values[at : at + old.size].reshape(old.shape).copy()
-        at += old.size
-    return replace(net, **new)
+    made, at = [], 0
+    for part in (vars(net), net.sums):
+        new = {}
+        for k in WEIGHTS:
+            new[k] = values[at : at + part[k].size].reshape(part[k].shape).copy()
+            at += part[k].size
+        made.append(new)
+    return replace(net, **made[0], sums=made[1])
+
+
+PIECES = "piece int, block int, n long, weights binary"
 
 
-def train(ids: DataFrame, net: Network, n_blocks: int, passes: int, rate: float = 0.01, at_most: int = 64, piece: int = 1 << 16) -> Network:
-    """``net`` trained on every row of ``ids`` (block, key, ids as int32 bytes), one block after another in rounds of 1,
-    2, 4, ... blocks and ``at_most`` at the end, so that weights agree before many are averaged.
+def train(ids: DataFrame, net: Network, n_blocks: int, passes: int, rate: float = 0.01, piece: int = 1 << 16, met: int = 128) -> Network:
+    """``net`` trained on every row of ``ids`` (block, key, ids as int32 bytes), in rounds of 1, 2, 4, ... blocks, so that
+    weights agree before many are averaged and the number of rounds grows with the logarithm of the blocks only.
 
     A block starts from the round's weights and goes through its rows in the order of ``key``, a batch of them at a
-    time; the new weights are the mean of the blocks', weighed by tokens, taken piece by piece in Spark and written to
-    the shared folder. So the driver holds one set of weights, and the result hangs on no partitioning.
+    time; the new weights are the mean of the blocks', weighed by tokens, taken piece by piece in Spark, ``met`` blocks
+    at a time and then those means, and written to the shared folder. So the driver holds one set of weights, no task
+    more than a piece of a few hundred, and the result hangs on no partitioning.
     """
     import pandas as pd
 
     spark = ids.sparkSession
     rounds, first = [], 0
     while first < n_blocks:
-        n = min(1 << len(rounds), at_most, n_blocks - first)
+        n = min(1 << len(rounds), n_blocks - first)
         rounds.append((first, n))
         first += n
     for turn, (first, n) in enumerate([r for _ in range(passes) for r in rounds]):
@@ -257,11 +290,13 @@ def train(ids: DataFrame, net: Network, n_blocks: int, passes: int, rate: float
         def mean(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values("block")
             total = sum(np.frombuffer(w, np.float32).astype(np.float64) * k for w, k in zip(frame["weights"], frame["n"]))
-            return pd.DataFrame({"piece": frame["piece"].iloc[:1], "n": int(frame["n"].sum()), "weights": [(total / frame["n"].sum()).astype(np.float32).tobytes()]})
+            mean_of = (total / frame["n"].sum()).astype(np.float32).tobytes()
+            return pd.DataFrame({"piece": frame["piece"].iloc[:1], "block": frame["block"].iloc[:1] // met, "n": int(frame["n"].sum()), "weights": [mean_of]})
 
         dealt = ids.where(F.col("block").between(first, first + n - 1)).repartition(n, "block").sortWithinPartitions("block", "key", "ids")
-        made = dealt.select("block", "ids").mapInPandas(learned, "piece int, block int, n long, weights binary")
-        made = written(made.groupBy("piece").applyInPandas(mean, "piece int, n long, weights binary"), "weights").toPandas().sort_values("piece")
+        made = dealt.select("block", "ids").mapInPandas(learned, PIECES)
+        made = made.groupBy("piece", F.floor(F.col("block") / met).alias("group")).applyInPandas(mean, PIECES)
+        made = written(made.groupBy("piece").applyInPandas(mean, PIECES), "weights").toPandas().sort_values("piece")
         if len(made):
             net = with_weights(net, np.frombuffer(b"".join(made["weights"]), np.float32))
     return net
@@ -270,55 +305,67 @@ def train(ids: DataFrame, net: Network, n_blocks: int, passes: int, rate: float
 def _slopes(net: Network, before: np.ndarray, state: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Gradients of the mean loss of one window, and the state after it."""
     h, width = state.shape[1], target.shape[1]
-    seen = np.concatenate([before[:, None], target[:, :-1]], axis=1)
-    states, kept = [], []
+    seen = np.ascontiguousarray(np.concatenate([before[:, None], target[:, :-1]], axis=1).T)
+    vectors = net.table[seen.ravel()]
+    adds = (vectors @ net.into + net.shift).reshape(width, len(before), 3 * h)
+    ended = seen == net.end
+    states, kept = np.empty((width, len(before), h), np.float32), []
     for t in range(width):
-        state = np.where((seen[:, t] == net.end)[:, None], np.float32(0), state)
-        past_state = state
-        state, inside = net.step(seen[:, t], state)
-        states.append(state)
+        past_state = np.where(ended[t][:, None], np.float32(0), state)
+        state, inside = net.turn(adds[t], past_state)
+        states[t] = state
         kept.append((past_state, *inside))
-    flat, goal = np.concatenate(states), target.T.ravel()
-    share = np.float32(1.0 / len(goal))
-    slope = {k: np.zeros_like(getattr(net, k)) for k in ("table", "gates", "change", "inner", "inner_bias")}
-    kind = net.class_of(goal)
-    z = flat @ net.classes + net.class_bias
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(len(z)), kind] -= 1
-    z *= share
-    slope["classes"], slope["class_bias"] = flat.T @ z, z.sum(axis=0)
-    back = z @ net.classes.T
-    order = np.argsort(kind, kind="stable")
-    edge = np.searchsorted(kind[order], np.arange(len(net.inner) + 1))
-    for c in range(len(net.inner)):
-        rows = order[edge[c] : edge[c + 1]]
-        if len(rows):
-            w = flat[rows] @ net.inner[c] + net.inner_bias[c]
-            w = np.exp(w - w.max(axis=1, keepdims=True))
-            w /= w.sum(axis=1, keepdims=True)
-            w[np.arange(len(rows)), goal[rows] - c * net.per_class] -= 1
-            w *= share
-            slope["inner"][c], slope["inner_bias"][c] = flat[rows].T @ w, w.sum(axis=0)
-            back[rows] += w @ net.inner[c].T
-    back = back.reshape(width, len(before), h)
-    carry = np.zeros_like(state)
+    goal = target.T.ravel()
+    order, kind, place, runs = net.by_class(goal)
+    chosen = states.reshape(-1, h)[order]
+    back = np.empty_like(chosen)
+    slope = {k: np.zeros_like(getattr(net, k)) for k in WEIGHTS}
+    share = np.float32(1.0 / max(1, len(goal)))
+    for a in range(0, len(goal), CACHED):
+        rows = slice(a, a + CACHED)
+        back[rows] = _softmax_slopes(chosen[rows], net.classes, net.class_bias, kind[rows], share, slope["classes"], slope["class_bias"])
+    for c, a, b in runs:
+        own = slice(net.edges[c], net.edges[c + 1])
+        back[a:b] += _softmax_slopes(chosen[a:b], net.inner[own].T, net.inner_bias[own], place[a:b], share, slope["inner"][own].T, slope["inner_bias"][own])
+    down = np.empty_like(back)
+    down[order] = back
+    down = down.reshape(states.shape)
+    carry, moved = np.zeros_like(state), np.empty_like(adds)
     for t in range(width - 1, -1, -1):
         past_state, keep, reset, past, new = kept[t]
-        d = back[t] + carry
+        d = down[t] + carry
         d_new = d * (1 - keep) * (1 - new * new)
-        d_keep = d * (past_state - new) * keep * (1 - keep)
-        d_reset = d_new * past * reset * (1 - reset)
-        d_both = np.concatenate([d_keep, d_reset], axis=1)
-        d_past = d_new * reset
-        np.add.at(slope["table"], seen[:, t], np.concatenate([d_both, d_new], axis=1))
+        moved[t, :, :h] = d * (past_state - new) * keep * (1 - keep)
+        moved[t, :, h : 2 * h] = d_new * past * reset * (1 - reset)
+        moved[t, :, 2 * h :] = d_new
+        d_both, d_past = moved[t, :, : 2 * h], d_new * reset
         slope["gates"] += past_state.T @ d_both
         slope["change"] += past_state.T @ d_past
         carry = d * keep + d_both @ net.gates.T + d_past @ net.change.T
-        carry[seen[:, t] == net.end] = 0
+        carry[ended[t]] = 0
+    moved = moved.reshape(-1, 3 * h)
+    slope["into"], slope["shift"] = vectors.T @ moved, moved.sum(axis=0)
+    by_token = np.argsort(seen.ravel(), kind="stable")
+    token = seen.ravel()[by_token]
+    first = np.flatnonzero(np.diff(token, prepend=-1))
+    slope["table"][token[first]] = np.add.reduceat((moved @ net.into.T)[by_token], first, axis=0)
     return slope, state
 
 
+def _softmax_slopes(states, weights, bias, at, share, weight_slope, bias_slope) -> np.ndarray:
+    """Adds the slopes of the weights and biases of a softmax whose targets are ``at``; returns those of ``states``."""
+    z = states @ weights
+    z += bias
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    total = z.sum(axis=1)
+    z[np.arange(len(z)), at] -= total
+    scale = share / total
+    weight_slope += (states * scale[:, None]).T @ z
+    bias_slope += scale @ z
+    return (z @ weights.T) * scale[:, None]
+
+
 @dataclass
 class Lexicon:
     """The frequent words, all with ``least`` or more in the counts; ``neural`` of them are the network's words."""
@@ -352,12 +399,44 @@ def frequent(counts: DataFrame, most: int, neural: int, neural_least: int) -> Le
     return Lexicon(rows["token"].tolist(), rows["c"].to_numpy(np.int64), min(neural, int((rows["c"] >= neural_least).sum())), least)
 
 
-SCORED = (
-    "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, frequent_log double, unknown_log double, n_unknown long,"
-    " neural double, rare array<binary>"
+AS_IDS = (
+    "uid long, doc_id long, held_out boolean, block int, key long, n_tokens long, n_known long, frequent_log double, unknown_log double,"
+    " n_unknown long, rare array<binary>, ids binary"
 )
 
 
+def as_ids(rows: DataFrame, known: Lexicon, ends: int) -> DataFrame:
+    """``rows`` (doc_id, held_out, block, key, text) with what the counts say of the text in place of the text: its ids in
+    the network (int32 bytes, the last is the end), the logs of its frequent words and, to be joined, its rare words.
+    """
+    logs, end_log = np.log10(known.counts + 1.0), float(np.log10(ends + 1.0))
+    unknown = known.neural
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), *[pa.int64()] * 3, *[pa.float64()] * 2, pa.int64(), pa.list_(pa.binary()), pa.binary()]
+    names = [c.split()[0] for c in AS_IDS.split(", ")]
+
+    def told(batches):
+        from pyspark import TaskContext
+
+        uid, place = TaskContext.get().partitionId() << 40, known.places().get
+        for batch in batches:
+            made = []
+            for key, held, block, order, text in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4)):
+                own = words(text.as_py())
+                at = np.fromiter(map(place, own, repeat(-1)), np.int32, len(own))
+                rare = np.flatnonzero(at < 0)
+                beyond = at[at >= known.neural]
+                at_end = np.append(np.where((at >= 0) & (at < known.neural), at, unknown), unknown + 1).astype(np.int32)
+                made.append((
+                    uid, key, held, block, order, len(own) + 1, len(own) - len(rare) + (ends > 0), float(logs[at[at >= 0]].sum()) + end_log,
+                    float(logs[beyond].sum()), len(rare) + len(beyond), [own[k] for k in rare], at_end.tobytes(),
+                ))
+                uid += 1
+            columns = zip(*made) if made else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    return rows.mapInArrow(told, AS_IDS)
+
+
 def score_documents(
     docs: DataFrame,
     is_held_out,
@@ -365,85 +444,57 @@ def score_documents(
     text_col: str = "text",
     most_frequent: int = 1 << 18,
     vocabulary: int = 1 << 14,
-    per_class: int = 128,
-    hidden: int = 24,
-    epochs: int = 3,
+    per_class: int = 256,
+    hidden: int = 16,
+    epochs: int = 1,
     seed: int = 13,
     word_least: int = 8,
-    block_tokens: int = 2_000_000,
-    most_blocks: int = 256,
+    block_tokens: int = 1 << 20,
+    most_blocks: int = 1 << 16,
+    rate: float = 0.2,
 ) -> DataFrame:
     """Log10 probability of every whole text, and that of the smoothed unigram counts (``base_score``).
 
     Counts are over all rows that aren't held out. The network knows the words counted ``word_least`` times or
     more, at most the ``vocabulary`` most frequent (a bound on memory), ordered into classes by frequency, an unknown
     word and the end of a document; its output starts from the log counts, and it is trained on all rows that aren't
-    held out: ``epochs`` passes over few tokens, one over many. They are dealt by a hash of the id into blocks of about
-    ``block_tokens`` tokens, which grow once there are ``most_blocks``; see ``train``. An unknown word
+    held out, ``epochs`` times. They are dealt by a hash of the id into blocks of about ``block_tokens`` tokens, which
+    grow once there are ``most_blocks``; see ``train``. An unknown word
     has the network's probability of one, times its share (c + 1) of the smoothed counts outside of the vocabulary, so
     that the whole is a probability over all tokens. Texts run through the network whole, the state going on from
     window to window.
 
     Counts of frequent words (at most ``most_frequent``) go to all workers; rare words are joined to their counts, so
     no worker needs a table that grows. Null and empty texts are one end token. Without any training row all counts are
-    0. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; rows that repeat are scored each.
+    0. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; rows that repeat are scored each,
+    also those of one id with other texts or of a null id. Other columns aren't read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), is_held_out.alias("held_out"))
-    learning = rows.where(~F.col("held_out"))
-    counts = written(count_words(learning), "word-counts")
+    counts = written(count_words(rows.where(~F.col("held_out"))), "word-counts")
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.length("token") == 0, F.col("c"))).alias("ends")).first()
     n_train, distinct, ends = sums["n"] or 0, sums["v"], sums["ends"] or 0
     known = frequent(counts, most_frequent, vocabulary, word_least)
     whole = float(n_train + distinct + 1)
-    outside = max(whole - float((known.counts[: known.neural] + 1).sum()) - (ends + 1), 1.0)
-    rng = np.random.default_rng(seed)
-    top = np.log(known.counts[: known.neural] + 1.0)
-    net = Network.new(top, per_class, hidden, rng)
-    place = {t: k for k, t in enumerate(known.tokens[: known.neural])}
-
-    def as_ids(batches):
-        for batch in batches:
-            made = [np.array([*(place.get(w, net.unknown) for w in words(t.as_py())), net.end], np.int32).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["block", "key", "ids"])
-
+    neural = known.counts[: known.neural]
+    outside = max(whole - float((neural + 1).sum()) - (ends + 1), 1.0)
+    net = Network.new(np.log(neural + 1.0), per_class, hidden, np.random.default_rng(seed), max(1.0, n_train - ends - float(neural.sum())), ends + 1.0)
     n_blocks = int(min(max(1, n_train // block_tokens), most_blocks))
-    dealt = learning.select(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n_blocks)).cast("int").alias("block"), F.xxhash64("doc_id", F.lit(seed + 1)).alias("key"), "text")
-    start = net
+    block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n_blocks)).cast("int")
+    made = written(as_ids(rows.select("doc_id", "held_out", block, F.xxhash64("doc_id", F.lit(seed + 1)), "text"), known, ends), "ids")
     if n_train:
-        ids = written(dealt.mapInArrow(as_ids, "block int, key long, ids binary"), "ids")
-        net = train(ids, start, n_blocks, int(min(epochs, max(1, -(-3 * block_tokens // n_train)))))
-    logs = np.log10(known.counts + 1.0)
-    end_log = float(np.log10(ends + 1.0))
+        net = train(made.where(~F.col("held_out")).select("block", "key", "ids"), net, n_blocks, epochs, rate=rate)
+    net.sums = {}
 
     def scored(batches):
-        from pyspark import TaskContext
-
-        uid = TaskContext.get().partitionId() << 40
-        get = known.places().get
         for batch in batches:
-            made, sequences = [], []
-            for key, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                own = words(text.as_py())
-                at = np.fromiter((get(w, -1) for w in own), np.int64, len(own))
-                common = at[at >= 0]
-                beyond = common[common >= known.neural]
-                ids = np.where((at >= 0) & (at < known.neural), at, net.unknown)
-                sequences.append(np.append(ids, net.end))
-                made.append((
-                    uid, key, held, len(own) + 1, len(common) + (ends > 0), float(logs[common].sum()) + end_log, float(logs[beyond].sum()),
-                    len(own) - len(common) + len(beyond), [own[k] for k in np.flatnonzero(at < 0)],
-                ))
-                uid += 1
-            neural = net.score(sequences)
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 2, *[pa.float64()] * 2, pa.int64(), pa.list_(pa.binary())]
-            columns = [pa.array(c, k) for c, k in zip(zip(*made), kinds)] if made else [pa.array([], k) for k in kinds]
-            columns.insert(8, pa.array(neural, pa.float64()))
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCORED.split(",")])
-
-    found = written(rows.select("doc_id", "text", "held_out").mapInArrow(scored, SCORED), "scored")
-    rare = found.select("uid", F.explode("rare").alias("token")).join(counts.where(F.col("c") < known.least), "token", "left")
+            found = net.score([np.frombuffer(t.as_buffer(), np.int32) for t in batch.column(0)])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), *batch.columns[1:]], names=["neural", *batch.schema.names[1:]])
+
+    kept = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, frequent_log double, unknown_log double, n_unknown long"
+    found = made.select("ids", *(c.split()[0] for c in kept.split(", "))).mapInArrow(scored, f"neural double, {kept}")
+    rare = made.select("uid", F.explode("rare").alias("token")).join(counts.where(F.col("c") < known.least), "token", "left")
     rare = rare.groupBy("uid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("rare_log"), F.count("c").alias("rare_known"))
-    out = found.drop("rare").join(rare.withColumnRenamed("uid", "own"), F.col("uid") == F.col("own"), "left")
+    out = found.join(rare.withColumnRenamed("uid", "own"), F.col("uid") == F.col("own"), "left")
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     return out.select(
         "doc_id",
