@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,21 +51,27 @@ def _with_lowest(edges: DataFrame, salts: int = 32) -> DataFrame:
     return salted.join(parts.select("a", "salt").join(lowest, "a"), ["a", "salt"]).drop("salt")
 
 
-def told(marked: DataFrame, classes: DataFrame, counts: DataFrame, found: DataFrame) -> DataFrame:
-    """id, rep, class_id, n_links, kept of each row of ``marked`` (id, print).
+def told(marked: DataFrame, classes: DataFrame, counts: DataFrame, found: DataFrame, *more: str) -> DataFrame:
+    """id, rep, class_id, n_links, kept, and ``more`` of its columns, of each row of ``marked`` (id, print).
 
-    Counts of links and roots are joined to the classes, which have one row each, so that the rows are joined once.
+    ``classes`` (print, node, rep, copies) has one row for each different content; counts of links (id, links) and roots
+    (id, root) are of nodes and joined to it, so that the rows are joined once.
     """
     zero = F.lit(0).cast("long")
-    known = classes.select("print", "rep", "copies").join(counts.withColumnRenamed("id", "counted"), F.col("rep") == F.col("counted"), "left")
-    known = known.join(found.withColumnRenamed("id", "node"), F.col("rep") == F.col("node"), "left")
-    known = known.select("print", "rep", F.coalesce("root", "rep").alias("class"), (F.coalesce("links", zero) + F.col("copies") - 1).alias("n_links"))
+    known = classes.select("print", "node", "rep", "copies").join(counts.withColumnRenamed("id", "counted"), F.col("node") == F.col("counted"), "left")
+    known = known.join(found.withColumnRenamed("id", "member"), F.col("node") == F.col("member"), "left")
+    smallest = classes.join(found, F.col("node") == F.col("id")).groupBy("root").agg(F.min("rep").alias("class"))
+    known = known.join(smallest, "root", "left")
+    known = known.select("print", "rep", F.coalesce("class", "rep").alias("class"), (F.coalesce("links", zero) + F.col("copies") - 1).alias("n_links"))
     owner = F.coalesce("class", "id")
     return (
-        marked.select("id", "print")
+        marked.select("id", "print", *more)
         .join(known, "print", "left")
-        .select("id", F.coalesce("rep", "id").alias("rep"), owner.alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.col("id").eqNullSafe(owner).alias("kept"))
-    )
+        .select(
+            "id", F.coalesce("rep", "id").alias("rep"), owner.alias("class_id"), F.coalesce("n_links", zero).alias("n_links"),
+            F.col("id").eqNullSafe(owner).alias("kept"), *more,
+        )
+    )
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -97,29 +103,53 @@ def paired(dealt: DataFrame) -> DataFrame:
     return dealt.select("*", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).drop("other", "n_blocks")
 
 
-def linked(dealt: DataFrame, matches: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]) -> tuple[DataFrame, DataFrame]:
+def by_group(df: DataFrame, keys: list[str], found: Callable[[pa.Table], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """What ``found`` gives for the rows of each value of ``keys`` (whole numbers), many small groups to a batch."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def each(table: pa.Table, last: bool):
+        values = [table.column(k).to_numpy() for k in keys]
+        edges = [0, *(np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1), len(table)] if len(table) else [0]
+        held = len(table) if last or len(edges) < 2 else edges[-2]
+        made = [found(table.slice(a, b - a)) for a, b in zip(edges, edges[1:]) if b <= held]
+        columns = {n: np.concatenate([m[n] for m in made]) if made else [] for n in names}
+        return columns if made else None, table.slice(held)
+
+    def run(batches):
+        left = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            columns, left = each(pa.concat_tables([left, now]) if left is not None and len(left) else now, False)
+            if columns:
+                yield pa.RecordBatch.from_pydict(columns)
+        if left is not None and len(left):
+            columns, _ = each(left, True)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def linked(dealt: DataFrame, matches: Callable[[pa.Table, pa.Table], np.ndarray]) -> tuple[DataFrame, DataFrame]:
     """(id, links) and edges (a, b) of links that keep what is connected connected, from ``paired``.
 
-    ``matches(left, right)`` says for each pair of rows of two frames whether they link. Each pair of blocks is one
+    ``matches(left, right)`` says for each pair of rows of two tables whether they link. Each pair of blocks is one
     call and gives at most one edge for each row, and for each row the copies (column ``copies``) it links to there.
     """
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        p, q = frame["p"].iloc[0], frame["q"].iloc[0]
-        left = frame[frame["block"] == p].sort_values("id")
-        ids, copies = left["id"].to_numpy(), left["copies"].to_numpy()
+    def compare(rows: pa.Table) -> dict[str, np.ndarray]:
+        p, q = rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
+        block, ids, copies = (rows.column(c).to_numpy() for c in ("block", "id", "copies"))
+        order = np.lexsort([ids, block])
+        rows, ids, copies = rows.take(order), ids[order], copies[order]
         if p == q:
-            hit = matches(left, left)
+            hit = matches(rows, rows)
             np.fill_diagonal(hit, False)
-            counts = hit @ copies
         else:
-            right = frame[frame["block"] == q].sort_values("id")
-            part = matches(left, right)
-            counts = np.concatenate([part @ right["copies"].to_numpy(), part.T @ copies])
-            ids = np.concatenate([ids, right["id"].to_numpy()])
+            cut = int((block == p).sum())
             hit = np.zeros((len(ids), len(ids)), bool)
-            hit[: len(left), len(left) :] = part
+            hit[:cut, cut:] = matches(rows.slice(0, cut), rows.slice(cut))
             hit |= hit.T
+        counts = hit @ copies
         low = ids.copy()
         while len(ids):
             lower = np.minimum(low, np.where(hit, low[None, :], np.iinfo(np.int64).max).min(axis=1))
@@ -127,8 +157,8 @@ def linked(dealt: DataFrame, matches: Callable[[pd.DataFrame, pd.DataFrame], np.
                 break
             low = lower
         some = counts > 0
-        return pd.DataFrame({"id": ids[some], "links": counts[some].astype(np.int64), "low": low[some]})
+        return {"id": ids[some], "links": counts[some].astype(np.int64), "low": low[some]}
 
-    found = written(dealt.groupBy("root", "p", "q").applyInPandas(compare, "id long, links long, low long"), "links")
+    found = written(by_group(dealt, ["root", "p", "q"], compare, "id long, links long, low long"), "links")
     edges = found.where(F.col("low") < F.col("id")).select(F.col("id").alias("a"), F.col("low").alias("b"))
     return found.groupBy("id").agg(F.sum("links").alias("links")), edges

@@ -6,7 +6,7 @@ import hashlib
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,23 +73,26 @@ def link_vectors(
     label raise ``parts`` and ``tables``: a random pair then shares a cell less often.
 
     Equal vectors of a label are one node with a count, so copies are never expanded. Null, zero or non-finite vectors,
-    null labels and null ids link with nothing. Rows that repeat an id count as copies of it; their vectors should be equal.
+    null labels and null ids link with nothing. Rows that repeat an id are rows of their own, with one vector or several; each
+    has its result. An empty table gives an empty one.
     Returns id, n_links, component_id, kept; other columns aren't read.
     """
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("string").alias("label")
     )
 
-    def keyed(frames):
+    def keyed(batches):
         planes: dict[int, np.ndarray] = {}
-        for frame in frames:
-            out: list[tuple] = [(i, None, None) for i in frame["id"]]
+        for batch in batches:
+            prints: list = [None] * len(batch)
+            keys: list = [None] * len(batch)
             sizes: dict[int, list[int]] = {}
             units: dict[int, np.ndarray] = {}
-            for at, (key, vector, label) in enumerate(zip(frame["id"], frame["vector"], frame["label"])):
-                if vector is None or label is None or key is None or pd.isna(key):
+            labels = batch.column(2).to_pylist()
+            for at, (key, vector, label) in enumerate(zip(batch.column(0), batch.column(1), labels)):
+                if not (key.is_valid and vector.is_valid) or label is None or vector.values.null_count:
                     continue
-                v = np.asarray(vector, dtype=np.float64)
+                v = vector.values.to_numpy()
                 largest = np.abs(v).max(initial=0.0)
                 if np.isfinite(largest) and largest > 0:
                     v = v / largest
@@ -99,27 +102,28 @@ def link_vectors(
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([seed, dim]).normal(0.0, scale, (dim, tables * parts * 8))
                 x = np.array([units[at] for at in places])
-                keys = lattice_cells((x @ planes[dim]).reshape(len(x), tables, parts, 8), probes)
-                for at, unit, own in zip(places, x, keys):
-                    label = f"{frame['label'].iloc[at]}\0{dim}\0".encode()
+                cells = lattice_cells((x @ planes[dim]).reshape(len(x), tables, parts, 8), probes)
+                for at, unit, own in zip(places, x, cells):
+                    label = f"{labels[at]}\0{dim}\0".encode()
                     salt = np.frombuffer(hashlib.blake2b(label, digest_size=8).digest(), np.uint64)
                     table = np.arange(1, tables + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
                     mixed = ((own ^ salt) + table) * np.uint64(0xBF58476D1CE4E5B9)
-                    print_ = hashlib.blake2b(label + unit.tobytes(), digest_size=16).hexdigest()
-                    out[at] = (int(frame["id"].iloc[at]), print_, mixed.ravel().view(np.int64).tolist())
-            yield pd.DataFrame(out, columns=["id", "print", "keys"]).astype({"id": "Int64"})
+                    prints[at] = hashlib.blake2b(label + unit.tobytes(), digest_size=16).hexdigest()
+                    keys[at] = mixed.ravel().view(np.int64).tolist()
+            arrays = [batch.column(0), batch.column(1), pa.array(prints, pa.string()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "vector", "print", "keys"])
 
-    marked = written(rows.mapInPandas(keyed, "id long, print string, keys array<long>"), "lattice-keys")
+    marked = written(rows.mapInArrow(keyed, "id long, vector array<double>, print string, keys array<long>"), "lattice-keys")
     classes = marked.where(F.col("print").isNotNull()).groupBy("print").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("keys", "id").alias("keys")
+        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("vector", "keys"), F.struct("id", "vector")).alias("own")
     )
-    classes = written(classes, "lattice-classes")
-    near = components(star_edges(classes.select(F.col("rep").alias("id"), F.explode(F.array_distinct("keys")).alias("key"))), "lattice-groups")
-    members = classes.join(near, F.col("rep") == F.col("id")).select("id", "root", "copies", F.lit(1).alias("weight"))
-    vectors_of = rows.where(F.col("vector").isNotNull()).select("id", "vector").dropDuplicates(["id"])
+    classes = written(classes.select("print", "rep", "copies", "own.*", F.monotonically_increasing_id().alias("node")), "lattice-classes")
+    near = components(star_edges(classes.select(F.col("node").alias("id"), F.explode(F.array_distinct("keys")).alias("key"))), "lattice-groups")
+    members = classes.join(near, F.col("node") == F.col("id")).select("id", "root", "copies", F.lit(1).alias("weight"))
+    vectors_of = classes.select(F.col("node").alias("id"), "vector")
     dealt = blocks(members, rows_per_block, rows_per_block).drop("weight").join(vectors_of, "id")
 
-    def close(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    def close(left: pa.Table, right: pa.Table) -> np.ndarray:
         return _units(left) @ _units(right).T >= least_cosine
 
     counts, edges = linked(paired(dealt), close)
@@ -128,9 +132,10 @@ def link_vectors(
     )
 
 
-def _units(frame: pd.DataFrame) -> np.ndarray:
-    x = np.array(frame["vector"].tolist(), dtype=np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
+def _units(rows: pa.Table) -> np.ndarray:
+    vectors = rows.column("vector").combine_chunks()
+    x = vectors.flatten().to_numpy().reshape(len(rows), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 

@@ -1,15 +1,15 @@
-"""N-gram Jaccard self-join: banded MinHash (in place of an LSH forest) proposes groups, exact Jaccard verifies within them."""
+"""N-gram Jaccard self-join: a MinHash LSH forest proposes groups, exact Jaccard verifies within them."""
 
 from __future__ import annotations
 
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._clusters import blocks, components, linked, paired, star_edges, told
+from tessera.llm._clusters import blocks, components, linked, paired, told
 from tessera.llm._common import documents, written
 from tessera.llm._words import batches, mixed, shingles, word_hashes
 
@@ -39,13 +39,47 @@ def signatures(sets: list[np.ndarray], size: int, seed: int) -> np.ndarray:
     return out
 
 
-def prefix_keys(signature: np.ndarray, trees: int, deepest: int, depth: int) -> np.ndarray:
-    """A key for each tree: the first ``depth`` values of the tree's part of the signature (a prefix in its trie)."""
-    part = signature.reshape(len(signature), trees, deepest)
-    key = np.zeros((len(signature), trees), np.uint64) + np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(depth):
-        key = mixed(key ^ (part[:, :, k].astype(np.uint64) + np.uint64(k << 32)))
-    return key
+def trie_nodes(entries: DataFrame, deepest: int, required: int, shortest: int, company: int, at_once: int = 1 << 20) -> DataFrame:
+    """(key, node) of the trie nodes that the rows of ``entries`` (tree, label, node) are compared in.
+
+    All labels (``deepest`` values of 2 bytes) are sorted by tree and value over range partitions, whose bounds also look
+    at ``node``, so equal labels are spread. Sorted so, a trie node of depth d is a run of rows whose neighbours have d
+    values in common. A row starts at ``deepest`` and shortens its prefix to ``required``, where the recall is reached;
+    from there on, down to ``shortest``, while no more than ``company`` rows are under the shorter prefix. A node at
+    ``required`` has the same key in all partitions, so runs that are cut lose nothing.
+    """
+
+    def climb(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= at_once:
+                yield nodes(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield nodes(pa.Table.from_batches(held))
+
+    def nodes(rows: pa.Table) -> pa.RecordBatch:
+        tree, node = rows.column("tree").to_numpy(), rows.column("node").to_numpy()
+        label = np.frombuffer(b"".join(rows.column("label").to_pylist()), "<u2").reshape(len(rows), deepest)
+        same = np.cumprod(np.column_stack([tree[1:] == tree[:-1], label[1:] == label[:-1]]), axis=1)[:, 1:]
+        keys, members = [], []
+        taken = np.zeros(len(rows), np.int64)
+        for depth in range(required, shortest - 1, -1):
+            run = np.concatenate([[0], np.cumsum(same[:, depth - 1] == 0)])
+            size = np.bincount(run)[run]
+            wanted = (size > 1) | (run == 0) | (run == run[-1]) if depth == required else (size <= company) & (size > np.maximum(taken, 1))
+            taken = np.where(wanted | (depth == required), size, taken)
+            key = mixed(tree.astype(np.uint64) * np.uint64(64) + np.uint64(depth))
+            for k in range(depth):
+                key = mixed(key ^ label[:, k].astype(np.uint64))
+            keys.append(key[wanted].view(np.int64))
+            members.append(node[wanted])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(members))], names=["key", "node"])
+
+    dealt = entries.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label")
+    return dealt.mapInArrow(climb, "key long, node long")
 
 
 def link_documents(
@@ -59,64 +93,87 @@ def link_documents(
     recall: float = 0.995,
     seed: int = 17,
     rows_per_block: int = 192,
+    shortest: int = 4,
+    company: int = 8,
+    text_key: bool = False,
 ) -> DataFrame:
     """Links between documents whose sets of ``n``-word shingles have a Jaccard similarity of ``least`` or more.
 
     Words are runs of anything but white space, A-Z lowered; a text of fewer than ``n`` words is one shingle. Texts of
-    equal shingle sets are one class, with a count, so copies are never expanded. Each class has ``trees`` bands of
-    its MinHash signature. This is no forest: no trie is sorted or descended, and nothing is shortened by the data. One
-    depth of at most ``deepest`` is worked out from the parameters, at which a pair at the threshold shares a band with
-    probability ``recall``: that chance hangs on the pair's similarity alone, so it needs no descent. Hashes of a band
-    beyond that depth are not read. What shares a band joins a group; all pairs of a group are verified by exact Jaccard,
-    block against block, which also finds pairs that no band brought together. Nothing is capped: a large group is
-    more blocks.
+    equal shingle sets are one class, with a count, so copies are never expanded. The forest has ``trees`` tries, each
+    over ``deepest`` values of the class's MinHash signature. Prefixes are shortened from ``deepest`` up to the
+    depth at which a pair at ``least`` shares one with probability ``recall`` or more, and on where few rows
+    are under the shorter one (``trie_nodes``). Rows under one node are compared by their signatures, block against block; pairs
+    whose estimated similarity is not more than five standard deviations under ``least`` join a group. All pairs of a
+    group are verified by exact Jaccard, block against block. Nothing is capped: a large node or group is more blocks.
 
     Returns id, rep_id (smallest id of the same shingle set), class_id (smallest id that links lead to), n_links
-    (other documents linked directly, copies included), kept (this id is class_id). Null and empty texts, and null ids,
-    link with nothing. Rows that repeat an id count as copies of it. Other columns aren't read.
+    (other documents linked directly, copies included), kept (this id is class_id), and the MD5 of the text if
+    ``text_key`` is asked for. Null and empty texts, texts without words and null ids link with nothing. Rows that repeat
+    an id are rows of their own, with one text or several; each has its result. An empty table gives an empty one. Other columns aren't read.
     """
     depth = forest_depth(trees, deepest, least, recall)
+    size = trees * deepest
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    def shingled(frame: pd.DataFrame) -> list[np.ndarray]:
-        return [shingles(word_hashes((t or "").encode("utf-8", "replace")), n) for t in frame["text"]]
-
-    def keyed(frames):
-        for frame in frames:
-            sets = shingled(frame)
-            full = [at for at, s in enumerate(sets) if len(s)]
-            prints: list = [None] * len(sets)
-            keys: list = [None] * len(sets)
-            if full:
-                found = prefix_keys(signatures([sets[at] for at in full], trees * deepest, seed), trees, deepest, depth)
-                for at, own in zip(full, found):
-                    prints[at] = hashlib.blake2b(sets[at].tobytes(), digest_size=16).hexdigest()
-                    keys[at] = own.view(np.int64)
-            out = pd.DataFrame({"id": frame["id"], "print": prints, "size": [len(s) for s in sets], "keys": keys})
-            out.loc[frame["id"].isna(), ["print", "keys"]] = None
-            yield out
-
-    marked = written(rows.mapInPandas(keyed, "id long, print string, size long, keys array<long>"), "forest-keys")
+    rows = rows.withColumn("text_key", F.md5(F.col("text").cast("binary")))
+
+    def shingled(texts: pa.Array) -> list[np.ndarray]:
+        return [shingles(word_hashes((t.as_py() or "").encode("utf-8", "replace")), n) for t in texts]
+
+    def keyed(batches):
+        for batch in batches:
+            for part in (batch.slice(at, 2048) for at in range(0, len(batch), 2048)):
+                sets = shingled(part.column(1))
+                full = [at for at, (i, s) in enumerate(zip(part.column(0), sets)) if len(s) and i.is_valid]
+                prints: list = [None] * len(sets)
+                signs: list = [None] * len(sets)
+                if full:
+                    for at, own in zip(full, signatures([sets[at] for at in full], size, seed)):
+                        prints[at] = hashlib.blake2b(sets[at].tobytes(), digest_size=16).hexdigest()
+                        signs[at] = (own >> np.uint32(16)).astype("<u2").tobytes()
+                arrays = [part.column(0), part.column(2), pa.array(prints, pa.string()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "text_key", "print", "size", "signature"])
+
+    marked = written(rows.mapInArrow(keyed, "id long, text_key string, print string, size long, signature binary"), "forest-signatures")
     classes = marked.where(F.col("print").isNotNull()).groupBy("print")
-    classes = written(
-        classes.agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.min_by("keys", "id").alias("keys")),
-        "forest-classes",
-    )
-    near = components(star_edges(classes.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))), "forest-groups")
-    members = classes.join(near, F.col("rep") == F.col("id")).select("id", "root", "copies", F.col("size").alias("weight"))
+    classes = classes.agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.min_by(F.struct("text_key", "signature"), "id").alias("own"))
+    classes = written(classes.select("print", "rep", "copies", "size", "own.*", F.monotonically_increasing_id().alias("node")), "forest-classes")
+
+    labels = F.posexplode(F.array(*(F.substring("signature", 2 * deepest * t + 1, 2 * deepest) for t in range(trees)))).alias("tree", "label")
+    under = written(trie_nodes(classes.select("node", labels), deepest, depth, shortest, company), "forest-nodes")
+    several = under.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
+    under = under.join(several, "key").select(F.col("node").alias("id"), F.col("key").alias("root"), F.lit(1).cast("long").alias("weight"))
+    dealt = blocks(under, rows_per_block, rows_per_block).drop("weight").withColumn("copies", F.lit(1).cast("long"))
+    dealt = dealt.join(classes.select(F.col("node").alias("id"), "signature"), "id")
+    under_least = least - 5 * (least * (1 - least) / size) ** 0.5
+
+    def alike(left: pa.Table, right: pa.Table) -> np.ndarray:
+        a, b = (np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u2").reshape(len(t), size) for t in (left, right))
+        same = np.zeros((len(a), len(b)), np.int32)
+        for k in range(size):
+            same += a[:, k, None] == b[None, :, k]
+        return same >= under_least * size
+
+    _, edges = linked(paired(dealt), alike)
+    near = components(edges, "forest-groups")
+    members = classes.join(near, F.col("node") == F.col("id"))
 
-    def as_sets(frames):
-        for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "shingles": [s.tobytes() for s in shingled(frame)]})
+    def as_sets(batches):
+        for batch in batches:
+            sets = [s.tobytes() for s in shingled(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    wanted = rows.join(members.select("id"), "id", "left_semi").mapInPandas(as_sets, "id long, shingles binary").dropDuplicates(["id"])
-    dealt = blocks(members, rows_per_block, 1 << 21).drop("weight").join(wanted, "id")
+    wanted = members.select(F.col("rep").alias("own"), F.col("text_key").alias("own_key"), "node")
+    wanted = rows.join(wanted, (F.col("id") == F.col("own")) & (F.col("text_key") == F.col("own_key"))).select("node", "text")
+    wanted = wanted.mapInArrow(as_sets, "id long, shingles binary").dropDuplicates(["id"])
+    dealt = blocks(members.select("id", "root", "copies", F.col("size").alias("weight")), rows_per_block, 1 << 21).drop("weight").join(wanted, "id")
 
-    def similar(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-        return jaccard(left["shingles"].tolist(), right["shingles"].tolist()) >= least - 1e-12
+    def similar(left: pa.Table, right: pa.Table) -> np.ndarray:
+        return jaccard(left.column("shingles").to_pylist(), right.column("shingles").to_pylist()) >= least - 1e-12
 
     counts, edges = linked(paired(dealt), similar)
-    return told(marked, classes, counts, components(edges, "forest-links")).withColumnRenamed("rep", "rep_id")
+    more = ["text_key"] if text_key else []
+    return told(marked, classes, counts, components(edges, "forest-links"), *more).withColumnRenamed("rep", "rep_id")
 
 
 def jaccard(left: list[bytes], right: list[bytes], columns: int = 4096) -> np.ndarray:
@@ -142,10 +199,12 @@ def jaccard(left: list[bytes], right: list[bytes], columns: int = 4096) -> np.nd
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with their own columns, that are the smallest doc_id of their class; rows with a null
-    doc_id stay, and of rows that repeat a kept doc_id all stay.
+    doc_id stay, and of rows that repeat a kept doc_id with the same text all stay. Any other columns may be there.
     """
-    gone = link_documents(docs, **options).where(~F.col("kept")).select(F.col("id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    found = link_documents(docs, text_key=True, **options).where(~F.col("kept"))
+    gone = found.select(F.struct("id", "text_key").alias("key")).distinct()
+    own = F.struct(docs["doc_id"].cast("long").alias("id"), F.md5(docs["text"].cast("string").cast("binary")).alias("text_key"))
+    return docs.join(gone, own == gone["key"], "left_anti")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
