@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm._common import WORD, documents, written
 
-#: Bits of a van der Corput point.
-BITS = 48
+#: Bits of a van der Corput point that say whose slot it is; a source has one unit of 2^-32 at least.
+BITS = 32
 
 
 def source_targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
@@ -46,24 +44,27 @@ def mix_documents(
     max_repeats: int = 3,
     slot_chunk: int = 1 << 16,
 ) -> DataFrame:
-    """How many words of each document a mix of all sources takes.
+    """How many words of each document a mix of all sources takes, and at which slots of the schedule.
 
     Each source's documents, shuffled by a hash of their id, form one stream cut into blocks of ``block_words`` words.
     Slot i of the schedule has the point i of the van der Corput sequence; the cumulative shares of the sources say
     whose slot it is, and its rank among that source's slots which block it takes, round after round. A source's last
     slot is cut so that the source gives its target to the word. Any prefix of the schedule has near the target
-    shares.
-
-    Prefix sums run over hash buckets of a source (4096), so that a source with a third of all rows is spread; ranks
-    of slots run over chunks of ``slot_chunk`` slots. Returns doc_id, size, source, source_size, target, taken. Null
-    texts have size 0 and give nothing; a null source is a source; rows that repeat count as often as they stand.
+    shares. Each source's slots are enumerated on their own, so a small source costs no more points than it has slots.
+
+    Prefix sums run over hash buckets of a source (4096), so that a source with a third of all rows is spread. Returns
+    doc_id, size, source, source_size, target, taken, and slots: in rising order those that take the document's first
+    block of words, one for each round in which it gives any (at most ``max_repeats``). Null texts and those without
+    words have size 0 and give nothing; a null source is a source; documents of one id follow each other by size; null
+    ids are shuffled by their text; rows that repeat count as often as they stand. A document of any length is cut over
+    its blocks. An empty table gives an empty one. Columns but id, text and source aren't read.
     """
     rows = written(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key"),
+            F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(""))).alias("key"),
         ),
         "mix-rows",
     ).withColumn("bucket", F.substring("key", 1, 3))
@@ -80,10 +81,11 @@ def mix_documents(
     )
     none = F.lit(0).cast("long")  # a block without a slot gives nothing
     overlap = F.greatest(F.least(F.col("upto"), F.coalesce("cap", none)) - F.col("since"), none)
-    taken = taken.groupBy("source", "bucket", "rank", "doc_id", "size").agg(F.sum(overlap).alias("taken"))
+    own = F.when((F.col("block") == F.col("first_block")) & (overlap > 0), F.col("slot"))  # a round or none for each
+    taken = taken.groupBy("source", "bucket", "rank", "doc_id", "size").agg(F.sum(overlap).alias("taken"), F.sort_array(F.collect_list(own)).alias("slots"))
     told = quota.select(F.col("source").alias("own"), "source_size", "target")
     return taken.join(told, F.col("source").eqNullSafe(F.col("own"))).select(
-        "doc_id", "size", "source", "source_size", "target", "taken"
+        "doc_id", "size", "source", "source_size", "target", "taken", "slots"
     )
 
 
@@ -103,17 +105,41 @@ def _segments(rows: DataFrame, buckets: DataFrame, block_words: int) -> DataFram
     )
     size = F.lit(block_words).cast("long")
     first, last = F.floor(F.col("start") / size), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / size)
-    cut = placed.withColumn("block", F.explode(F.sequence(first, last)))
+    cut = placed.withColumn("first_block", first).withColumn("block", F.explode(F.sequence(first, last)))
     return cut.select(
-        "doc_id", "source", "bucket", "rank", "size", "block",
+        "doc_id", "source", "bucket", "rank", "size", "block", "first_block",
         F.greatest(F.col("start") - F.col("block") * size, F.lit(0).cast("long")).alias("since"),
         F.least(F.col("end") - F.col("block") * size, size).alias("upto"),
     )
 
 
+def _runs(low: Column, high: Column) -> Column:
+    """The indexes of the van der Corput points in [low, high) / 2^BITS, as an array of (every, since): since + k x every.
+
+    The interval is a union of at most two dyadic intervals of each size; an index whose point lies in one has the bits
+    of the interval's place, in reverse, as its last bits.
+    """
+
+    def at_level(b: Column) -> Column:
+        size = F.pow(F.lit(2.0), b)
+        l, h = F.ceil(low / size), F.floor(high / size)  # noqa: E741
+        above, below = F.ceil(low / (size * 2)), F.floor(high / (size * 2))
+        depth = F.lit(BITS) - b.cast("int")
+        since = lambda v: F.conv(F.reverse(F.lpad(F.bin(v), depth, F.lit("0"))), 2, 10).cast("long")
+        run = lambda v: F.struct(F.pow(F.lit(2.0), depth).cast("long").alias("every"), F.coalesce(since(v), F.lit(0).cast("long")).alias("since"))
+        half = lambda v: F.floor(v / 2)
+        alone = F.filter(F.array_distinct(F.array(l, h - 1)), lambda v: (v >= l) & (v < h) & ~((half(v) >= above) & (half(v) < below)))
+        return F.transform(alone, run)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BITS)), at_level))
+
+
 def _slots(quota: DataFrame, block_words: int, slot_chunk: int) -> DataFrame:
-    """(source, slot_block, cap): the slots of the schedule that the quotas let stand, and the words each may take."""
-    spark, size = quota.sparkSession, F.lit(block_words).cast("long")
+    """(source, slot_block, slot, cap): the slots of the schedule that the quotas let stand, and the words each may take.
+
+    A slot's rank among its source's is a sum over the source's runs, so nothing is sorted or numbered.
+    """
+    size = F.lit(block_words).cast("long")
     plan = (
         quota.where(F.col("quota") > 0)
         .withColumn("blocks", F.ceil(F.col("source_size") / size))
@@ -121,43 +147,36 @@ def _slots(quota: DataFrame, block_words: int, slot_chunk: int) -> DataFrame:
         .withColumn("slots", F.col("rounds") * F.col("blocks") + F.ceil((F.col("quota") - F.col("rounds") * F.col("source_size")) / size))
     )
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
+    ordered = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     share = F.col("target") / F.sum("target").over(everything)
-    plan = plan.withColumn("share", share).withColumn("high", F.sum(share).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    plan = plan.withColumn("low", F.col("high") - F.col("share")).withColumn("last", F.row_number().over(ordered) == F.count(F.lit(1)).over(everything))
-    plan = plan.withColumn("high", F.when(F.col("last"), F.lit(1.0)).otherwise(F.col("high")))
-    need = plan.agg(F.max(F.col("slots") / F.col("share")).alias("slots"), F.max(1 / F.col("share")).alias("rarest")).first()
-    # The points of an interval are as many as its length says, up to 2 (1 + log2(n) / 3).
-    n = 0 if need["slots"] is None else math.ceil(need["slots"] + need["rarest"] * 2 * (2 + math.log2(2 + need["slots"] * 2) / 3))
-    grid = 1024
-    point = F.conv(F.reverse(F.lpad(F.bin("id"), BITS, "0")), 2, 10).cast("double") / F.lit(float(1 << BITS))
-    points = spark.range(n).select("id", point.alias("point")).withColumn("tile", F.floor(F.col("point") * grid))
-    tiles = plan.withColumn("tile", F.explode(F.sequence(F.floor(F.col("low") * grid), F.floor(F.col("high") * grid))))
-    drawn = points.join(tiles, "tile").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
-    drawn = drawn.select("id", "source", "quota", "source_size", "blocks", "slots", F.floor(F.col("id") / slot_chunk).alias("chunk"))
-    earlier = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = drawn.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select(
-        F.col("source").alias("own"), F.col("chunk").alias("own_chunk"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")
-    )
-    inside = Window.partitionBy("source", "chunk").orderBy("id")
-    ranked = drawn.withColumn("inside", F.row_number().over(inside)).join(
-        counts, F.col("source").eqNullSafe(F.col("own")) & (F.col("chunk") == F.col("own_chunk"))
-    )
-    ranked = ranked.withColumn("slot", F.col("base") + F.col("inside") - 1).where(F.col("slot") < F.col("slots"))
-    block = F.col("slot") % F.col("blocks")
-    before = F.floor(F.col("slot") / F.col("blocks")) * F.col("source_size") + block * size
-    return ranked.select("source", block.alias("slot_block"), F.least(size, F.col("quota") - before).alias("cap"))
+    width = F.greatest(F.floor(share * (F.lit(1 << BITS) - F.count(F.lit(1)).over(everything))), F.lit(1)).cast("long")
+    plan = plan.withColumn("width", width).withColumn("high", F.sum("width").over(ordered))
+    plan = plan.withColumn("runs", _runs(F.col("high") - F.col("width"), F.col("high")))
+    # The points of a source among the first n are n x width / 2^BITS but for one a run.
+    upto = F.ceil((F.col("slots") + F.size("runs")) / F.col("width") * float(1 << BITS))
+    cut = plan.withColumn("upto", upto).withColumn("run", F.explode("runs"))
+    n = F.greatest(F.ceil((F.col("upto") - F.col("run.since")) / F.col("run.every")), F.lit(0))
+    cut = cut.withColumn("n", n).where("n > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / slot_chunk))))
+    cut = cut.repartition("source", "run", "chunk")
+    last = F.least(F.col("n"), (F.col("chunk") + 1) * slot_chunk) - 1
+    cut = cut.withColumn("k", F.explode(F.sequence(F.col("chunk") * slot_chunk, last)))
+    cut = cut.withColumn("slot", F.col("run.since") + F.col("k") * F.col("run.every"))
+    earlier = lambda total, r: total + F.greatest(F.ceil((F.col("slot") - r["since"]) / r["every"]), F.lit(0))
+    cut = cut.withColumn("place", F.aggregate("runs", F.lit(0).cast("long"), earlier)).where(F.col("place") < F.col("slots"))
+    block = F.col("place") % F.col("blocks")
+    before = F.floor(F.col("place") / F.col("blocks")) * F.col("source_size") + block * size
+    return cut.select("source", block.alias("slot_block"), "slot", F.least(size, F.col("quota") - before).alias("cap"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix_documents(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("slots", F.lit(0)).alias("first_slot"))
 
 
 OP8_SQL = """
 WITH RECURSIVE sized AS (
     SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-           md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+           md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS key
     FROM documents
 ), sources AS (
     SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -178,20 +197,41 @@ WITH RECURSIVE sized AS (
     SELECT doc_id, source, size,
            sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
     FROM sized
+), widths AS (
+    SELECT source, CAST(greatest(floor(target / sum(target) OVER () * (4294967296 - count(*) OVER ())), 1) AS BIGINT) AS width,
+           (quota // source_size) * ceil(source_size / 512.0) + ceil((quota % source_size) / 512.0) AS slots
+    FROM quotas WHERE quota > 0
+), intervals AS (
+    SELECT *, sum(width) OVER (ORDER BY source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high FROM widths
+), points AS (
+    SELECT i AS slot, list_sum([((i >> k) & 1) << (31 - k) for k in range(32)]) AS point
+    FROM range((SELECT CAST(max((slots + 64) * 4294967296 / width) AS BIGINT) FROM widths)) t(i)
+), ranked AS (
+    SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS place
+    FROM points JOIN intervals ON point >= high - width AND point < high
+), taking AS (
+    SELECT doc_id, p.source, size, source_size, target, start,
+           CAST(CASE WHEN source_size = 0 THEN 0 ELSE (quota // source_size) * size
+                + greatest(0, least(start + size, quota % source_size) - start) END AS BIGINT) AS taken
+    FROM placed p JOIN quotas q ON p.source IS NOT DISTINCT FROM q.source
 )
-SELECT doc_id, size, source_size, target,
-       CAST(CASE WHEN source_size = 0 THEN 0 ELSE (quota // source_size) * size
-            + greatest(0, least(start + size, quota % source_size) - start) END AS BIGINT) AS taken
-FROM placed p JOIN quotas q ON p.source IS NOT DISTINCT FROM q.source
+SELECT doc_id, size, source_size, target, taken, CAST(CASE WHEN taken > 0 THEN slot END AS BIGINT) AS first_slot
+FROM taking t LEFT JOIN ranked r ON t.source IS NOT DISTINCT FROM r.source AND t.start // 512 = r.place
 """
 
 
 def repeat_by_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, with their own columns, as often as the mix takes their words, to the nearest whole number.
+    """The rows of ``docs``, with their own columns, as often as the mix takes their words, to the nearest whole number,
+    in the order of the schedule: a repetition stands at the slot of its round.
 
-    Documents that the mix leaves, and those without words, are left out. Rows that share a doc_id share its count.
+    Documents that the mix leaves, and those without words, are left out. Rows that share a doc_id, null ones too, share
+    the mean of its counts. Any other columns may be there.
     """
-    mixed = mix_documents(docs, **options).groupBy(F.col("doc_id").alias("mixed_id"))
-    mixed = mixed.agg(F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("mixed_times")).where("mixed_times > 0")
-    joined = docs.join(mixed, docs["doc_id"].eqNullSafe(F.col("mixed_id")))
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), "mixed_times")).alias("mixed_turn")).drop("mixed_turn")
+    mixed = mix_documents(docs, **options).groupBy(F.col("doc_id").alias("id"))
+    times = F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int")
+    mixed = mixed.agg(times.alias("times"), F.min_by("slots", F.get("slots", F.lit(0))).alias("slots")).where("times > 0")
+    joined = docs.select(F.struct("*").alias("row")).join(mixed, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    turns = joined.select("row", "slots", F.explode(F.sequence(F.lit(1), "times")).alias("turn"))
+    at = F.get("slots", F.least(F.col("turn"), F.size("slots")) - 1)
+    placed = turns.select("row", at.alias("at"), "turn").repartitionByRange("at", "row.doc_id").sortWithinPartitions("at", "row.doc_id", "turn")
+    return placed.select("row.*")
