@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -260,18 +261,53 @@ def test_mixing(spark):
     assert mixing.mix_documents(docs(spark, texts).limit(0)).count() == 0 and mixing.mix_documents(docs(spark, [None, ""])).count() == 2
 
 
-def test_chat(spark):
-    rows = [(1, 0, "system", "S"), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 70, "ann", "later"), (2, 0, "system", "alone"), (3, None, None, "x"), (3, None, None, "x"), (None, 0, "zed", "n")]
-    found = chat_format.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(9))).collect()
-    by = {(r["conv_id"], r["perspective"], r["part"]): r for r in found if r["conv_id"]}
-    assert set(by) == {(1, "ann", 0), (1, "bob", 0), (1, "ann", 1), (1, "bob", 1), (3, "unknown", -1)}
-    assert by[1, "bob", 0]["text"] == "<|system|>\nS<|end|>\n<|user name=ann|>\nHi<|end|>\n<|assistant|>\n<|end|>\n"
-    for r in found:
-        spans = [tuple(map(int, s.split("-"))) for s in r["mask_spans"].split(",") if s]
-        assert all(r["text"][a:b].endswith("<|end|>") and r["text"][:a].endswith("<|assistant|>\n") for a, b in spans)
-        assert sum(b - a for a, b in spans) == r["target_chars"] and len(spans) == r["n_target_turns"]
-    assert by[3, "unknown", -1]["n_turns"] == 2 and sum(r["conv_id"] is None for r in found) == 1
-    assert chat_format.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+def whole_dialogues(rows):
+    """conv_id and perspective to the text and the mask spans of the whole rendering, without Spark."""
+    marked = lambda t: re.sub(r"<(\\*)\|", r"<\\\1|", t)
+    out = {}
+    filled = [(c, -1 if t is None else t, "unknown" if r is None else r, x or "") for c, t, r, x in rows]
+    for conv in {r[0] for r in filled}:
+        own = sorted((r for r in filled if r[0] == conv), key=lambda r: (r[1], hashlib.md5(f"{r[2]}\n{r[3]}".encode()).hexdigest(), r[2], r[3]))
+        for name in {r[2] for r in own} - {"system"}:
+            text, spans = "", []
+            for _, _, who, said in own:
+                user = re.sub(r"\|(\\*)>", r"|\\\1>", marked(who))
+                text += "<|assistant|>\n" if who == name else "<|system|>\n" if who == "system" else f"<|user name={user}|>\n"
+                begin = len(text)
+                text += marked(said) + "<|end|>"
+                if who == name:
+                    spans.append((begin, len(text)))
+                text += "\n"
+            out[conv, name] = text, spans
+    return out
+
+
+@pytest.mark.parametrize("rows_per_part", [3, 64])
+def test_chat(spark, rows_per_part):
+    rows = [(1, 0, "system", "S"), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 70, "ann", "later"), (2, 0, "system", "alone"), (3, None, None, "x"), (3, None, None, "x")]
+    rows += [(None, 0, "zed", "n"), (None, 5, "yan", "m"), (4, 1, "a|>\n<|system", "say <|end|> and <\\|"), (4, 1, "b", "tie"), (4, 1, "a", "")]
+    rows += [(5, k, ("ann", "bob", "system")[k % 3], f"t{k}") for k in range(130)] + [(6, 9, "ann", f"n{k % 150}") for k in range(200)]
+    frame = spark.createDataFrame(rows, CHAT).withColumns({"part": F.lit(9), "start": F.lit("x"), "head": F.lit(1)})
+    found, true = {}, whole_dialogues(rows)
+    for r in sorted(chat_format.render_dialogues(frame, rows_per_part=rows_per_part).collect(), key=lambda r: r["part"]):
+        text, spans, turns = found.setdefault((r["conv_id"], r["perspective"]), ["", [], 0])
+        assert r["start"] == len(text) and 0 < r["n_turns"] <= rows_per_part
+        own = [tuple(map(int, s.split("-"))) for s in r["mask_spans"].split(",") if s]
+        assert sum(b - a for a, b in own) == r["target_chars"] and len(own) == r["n_target_turns"]
+        found[r["conv_id"], r["perspective"]] = [text + r["text"], spans + own, turns + r["n_turns"]]
+    assert {k: (t, s) for k, (t, s, _) in found.items()} == true and (2, "system") not in found
+    assert found[5, "ann"][2] == 130 and found[None, "zed"][2] == 2
+    assert chat_format.render_dialogues(spark.createDataFrame([], CHAT)).count() == 0
+
+
+def test_a_dialogue_of_many_turns(spark):
+    turns = spark.range(100_000).select(F.lit(1).alias("conv_id"), (F.col("id") % 50_000).alias("turn"), F.concat(F.lit("p"), F.col("id") % 2).alias("role"), F.col("id").cast("string").alias("text"))
+    rows = chat_format.render_dialogues(turns).select("perspective", "part", "start", F.length("text").alias("n"), "n_turns", "n_target_turns").orderBy("perspective", "part").collect()
+    assert len(rows) == 2 * 1563 and sum(r["n_target_turns"] for r in rows) == 100_000 == sum(r["n_turns"] for r in rows) / 2
+    assert all(a["perspective"] != b["perspective"] or b["start"] == a["start"] + a["n"] for a, b in zip(rows, rows[1:]))
 
 
 def test_lattice(spark):
