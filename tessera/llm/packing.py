@@ -76,7 +76,8 @@ def pack_documents(
     a batch is drawn from one bucket. ``sequence_id`` numbers the sequences bucket by bucket, longest first, without
     gaps, and ``offset`` is 0 in each. ``longest`` must be a power of two. ``end_id`` ends each document.
 
-    A null text counts as empty: one piece with ``end_id`` alone. Rows that repeat are packed as often as they stand.
+    A null text counts as empty: one piece with ``end_id`` alone. Rows that repeat, and null ids, are packed as often as
+    they stand; an empty table gives an empty one. Columns but id and text aren't read.
     Texts are tokenized one at a time and whole. ``with_ids`` adds the ids of each piece. Returns doc_id, start,
     length, ids_crc32, doc_tokens, bucket, sequence_id, offset.
     """

@@ -181,7 +181,7 @@ def learn_lexicon(texts: DataFrame, size: int = 4000, least: int = 3) -> list[di
 def train(labelled: DataFrame, seed: int = 11) -> ToxicityModel:
     """Fit on (text, toxic) rows, a number of rows that the driver's memory can hold as numbers.
 
-    Copies of a text count once. The lexicon of either half of the drawn texts gives the features of the other half,
+    Copies of a text count once; a text labelled both ways counts as 0. The lexicon of either half of the drawn texts gives the features of the other half,
     so that words that only seem telling do not; trees are grown on three quarters of these rows and calibrated on
     the rest. The final lexicon is that of all drawn texts. The driver gets lexicons and numbers, no texts.
     """
@@ -221,7 +221,8 @@ def train_on_documents(docs: DataFrame, labels: DataFrame, max_documents: int =
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
     """doc_id, score, predicted for each row of ``docs``. A null or empty text has no hits and gets the score of that;
-    rows that repeat get the same score; of ``docs`` only doc_id and text are read.
+    rows that repeat get the same score, null ids too; an empty table gives an empty one. Texts are measured whole. Of
+    ``docs`` only doc_id and text are read.
     """
     scored = docs.select("doc_id", model.column(F.col("text").cast("string")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
