@@ -50,6 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed sequences of what all stages keep.
+
+    Toxicity measures a null text as an empty one; language rejects null texts and those without letters. Rows of a null
+    doc_id are no copies of anything and take part in the mix; of rows that repeat a doc_id and its text all stay or go.
+    Columns beside those of ``documents``, whatever their names, come along up to the last stage. Empty tables give an
+    empty one.
+    """
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
