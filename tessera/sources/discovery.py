@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ SKIPPED = (
     ".ruff_cache", ".tox", ".nox", ".eggs", ".idea", ".vscode", "__MACOSX",
 )
 IGNORED = ("*.pyc", ".DS_Store")
-#: Roots that are never document trees.
+#: Roots that are never document trees.
 TEMPORARY = ("/tmp", "/private/tmp", "/var/tmp", "/var/folders", "/private/var/folders")
 
 
@@ -73,10 +74,16 @@ def is_indexable(relative: Column, lines: list[str], suffixes: tuple[str, ...] =
     return is_deletable(relative, suffixes, skipped) & ~ignored(relative, [*IGNORED, *lines])
 
 
-def refuses_root(root: str, temporary: tuple[str, ...] = TEMPORARY) -> bool:
-    """Temporary folders and a repository's own '.tmp', whatever the case of their letters."""
-    path = "/" + root.split("://", 1)[-1].strip("/").casefold()
-    return any(path == t or path.startswith(t + "/") for t in temporary) or "/.tmp/" in path + "/"
+def refuses_root(root: str, temporary: tuple[str, ...] = TEMPORARY, exists: Callable[[str], bool] = lambda path: False) -> bool:
+    """Temporary folders, whatever the case of their letters, and the '.tmp' of any repository that the root lies in,
+    as ``exists`` tells of a '.git' beside it.
+    """
+    path = "/" + root.split("://", 1)[-1].removeprefix("file:").strip("/")
+    folded = path.casefold()
+    if any(folded == t or folded.startswith(t + "/") for t in temporary):
+        return True
+    parts = path.split("/")
+    return any(parts[k] == ".tmp" and exists("/".join([*parts[:k], ".git"])) for k in range(1, len(parts)))
 
 
 def discover(spark: SparkSession, root: str, ignore_files: tuple[str, ...] = (".gitignore",), suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
@@ -86,14 +93,14 @@ def discover(spark: SparkSession, root: str, ignore_files: tuple[str, ...] = (".
     direct children only. An unreadable folder fails the listing, so that no deletion is inferred from a part of it.
     """
     schema = "path string, relative string, modified timestamp, size long"
-    if refuses_root(root):
+    if refuses_root(root, TEMPORARY, _exists(spark, root)):
         return spark.createDataFrame([], schema)
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.lit(root.split("://", 1)[-1].rstrip("/")), r"^file:", "")
     plain = F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "")
     rows = listed.select("path", F.substr(plain, F.length(base) + 2).alias("relative"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
     folders = [r[0] for r in rows.select(F.regexp_extract("relative", r"^(.*/)?[^/]*$", 1)).distinct().collect()]  # names of folders alone
-    found = ignore_rules(spark, root, [f for f in folders if not refuses_root(f"/{f}", ())], ignore_files)
+    found = ignore_rules(spark, root, [f for f in folders if not set(f.split("/")) & set(SKIPPED)], ignore_files)
     lines = [line for name in ignore_files for line in found.get(name, [])]
     kept = is_indexable(F.col("relative"), lines, suffixes)
     for relative, text in found.items():
@@ -105,6 +112,13 @@ def discover(spark: SparkSession, root: str, ignore_files: tuple[str, ...] = (".
     return rows.where(kept).orderBy("path")
 
 
+def _exists(spark: SparkSession, root: str) -> Callable[[str], bool]:
+    """Whether a path of the file system that ``root`` is in exists."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    return lambda name: store.exists(path(name))
+
+
 def ignore_rules(spark: SparkSession, root: str, folders: list[str], names: tuple[str, ...]) -> dict[str, list[str]]:
     """Lines of the ignore files of ``root`` and its ``folders`` (relative, with a slash at the end), by relative path.
 

@@ -237,7 +237,17 @@ def test_discovery(spark, tmp_path, monkeypatch):
         (tmp_path / "r" / name).write_text("x")
     (tmp_path / "r/.gitignore").write_text("# c\n*.log.md\nout/\n")
     (tmp_path / "r/sub/.gitignore").write_text("skip.md\n")
-    assert discovery.refuses_root(str(tmp_path / "r")) and discovery.refuses_root("/Repo/.TMP/x") and not discovery.refuses_root("/home/x")
+    repository = {"/repo/.git", "/repo/.tmp/inner/.git"}.__contains__
+    for root in ("/tmp", "/tmp/x", "/PRIVATE/TMP/x", "file:///var/folders/a"):
+        assert discovery.refuses_root(root), root
+    for root in ("/repo/.tmp", "/repo/.tmp/x", "/repo/.tmp/inner/x"):
+        assert discovery.refuses_root(root, exists=repository), root
+    for root in ("/home/x", "/tmpx", "/srv/tmp/x", "/other/.tmp/x", "/repo/.TMP/x", "/repo/sub/.tmp/x", "/repo"):
+        assert not discovery.refuses_root(root, exists=repository), root
+    (tmp_path / "r/.git").mkdir()
+    (tmp_path / "r/.tmp").mkdir()
+    monkeypatch.setattr(discovery, "TEMPORARY", ())
+    assert not discovery.discover(spark, str(tmp_path / "r/.tmp")).count()
     monkeypatch.setattr(discovery, "refuses_root", lambda *_: False)  # the test's own folder is a temporary one
     found = [r["relative"] for r in discovery.discover(spark, str(tmp_path / "r")).collect()]
     assert found == ["a.md", "sub/c.md", "sub/deep/skip.md"]
