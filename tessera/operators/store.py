@@ -78,11 +78,14 @@ class ChunkStore:
 
     # writes
 
-    def _write(self, rows: DataFrame, files: int | None = None) -> dict[str, str]:
-        """New folders by collection; a folder of another name for each, so nothing that is read is overwritten."""
+    def _write(self, rows: DataFrame, files: int | None = None, spread: int = 1) -> dict[str, str]:
+        """New folders by collection; a folder of another name for each, so nothing that is read is overwritten. With
+        ``files`` the rows are dealt to so many tasks, those of a collection to ``spread`` of them.
+        """
         base = f"{self.root}/data-{uuid.uuid4().hex}"
         named = migrate(rows).withColumn("_of", F.col("collection"))
-        (named.repartition(files, "_of") if files else named).write.partitionBy("_of").parquet(base)
+        salt = F.pmod(F.xxhash64("document_name", "page_number", "chunk_index"), F.lit(spread))
+        (named.repartition(files, "_of", salt) if files else named).write.partitionBy("_of").parquet(base)
         path = self._hadoop(base)
         found = [s.getPath().toString() for s in self._fs.listStatus(path) if s.getPath().getName().startswith("_of=")]
         unescape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
@@ -146,13 +149,14 @@ class ChunkStore:
         return new.count()
 
     def compact(self, files_per_collection: int = 1, most_files: int = 10_000, force: bool = False) -> dict[str, object]:
-        """M6: rewrite every collection in few files. Above ``most_files`` files it is skipped unless forced."""
+        """M6: rewrite every collection in at most ``files_per_collection`` files, each written by a task of its own. Above ``most_files`` files it is skipped unless forced."""
         files = self.file_count()
         if files > most_files and not force:
             return {"compacted": False, "reason": f"{files} files are more than {most_files}"}
         if files:
             rows = self.read()
-            made = self._write(rows, max(1, files_per_collection) * max(1, len(self.collections())))
+            spread = max(1, files_per_collection)
+            made = self._write(rows, 4 * spread * max(1, len(self.collections())), spread)
             self._commit({c: [p] for c, p in made.items()})
         return {"compacted": True, "files_before": files, "files_after": self.file_count()}
 

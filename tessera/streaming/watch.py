@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -100,18 +101,26 @@ def last_event_wins(events: DataFrame) -> DataFrame:
 
 def throttled(requests: DataFrame, interval_s: int = 30) -> DataFrame:
     """Of requests (database, ts), the times at which they are met: at once if ``interval_s`` have gone by since the last,
-    else once when they have. A fold over each database's requests in order.
+    else once when they have. Each database's requests stream in order past the last time that was met, the only thing
+    a task holds of them.
     """
-    ordered = requests.groupBy("database").agg(F.sort_array(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))).alias("asked"))
-    width = F.lit(interval_s * 1_000_000).cast("long")
-    start = F.array().cast("array<long>")
-
-    def meet(done, at):
-        last = F.try_element_at(done, F.lit(-1))
-        due = F.greatest(at, last + width)
-        return F.when(last.isNull(), F.array(at)).when(last >= at, done).otherwise(F.concat(done, F.array(due)))
-
-    return ordered.select("database", F.explode(F.aggregate("asked", start, meet)).alias("us")).select("database", F.timestamp_micros("us").alias("ts"))
+    width = interval_s * 1_000_000
+
+    def meet(batches):
+        own, last = None, None
+        for batch in batches:
+            names, met = [], []
+            for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if name != own or last is None or at > last:
+                    last = at if name != own or last is None else max(at, last + width)
+                    own = name
+                    names.append(name)
+                    met.append(last)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(met, pa.int64())], names=["database", "us"])
+
+    asked = requests.select(F.col("database").cast("string").alias("database"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).where("us IS NOT NULL")
+    ordered = asked.repartition("database").sortWithinPartitions("database", "us")
+    return ordered.mapInArrow(meet, "database string, us long").select("database", F.timestamp_micros("us").alias("ts"))
 
 
 def apply_batches(batches: DataFrame, index: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second"):
