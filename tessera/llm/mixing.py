@@ -75,7 +75,7 @@ def mix_documents(
     )
     segments = _segments(rows, buckets, block_words)
     taken = segments.join(
-        _slots(quota, block_words, slot_chunk).withColumnRenamed("source", "slot_source"),
+        _slots(quota, block_words, slot_chunk).withColumnRenamed("source", "slot_source").hint("merge"),  # they grow with the words
         F.col("source").eqNullSafe(F.col("slot_source")) & (F.col("block") == F.col("slot_block")),
         "left",
     )
