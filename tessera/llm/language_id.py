@@ -110,12 +110,13 @@ def train(
     reject: float = 0.002,
     precision: float = 0.995,
     seed: int = 7,
+    few: int = 10_000,
 ) -> LanguageModel:
     """Fit on (doc_id, text, lang) rows, of which about ``max_documents`` are drawn: for each language an equal number, or
     all it has, by a hash of doc_id, so a rare language has its examples too.
 
     Workers turn each drawn text into bucket counts, once whole and once as a short passage, and the driver gets only
-    those (at most 2 x ``max_documents`` sparse rows of ``buckets`` columns). Stochastic gradient descent fits the
+    those (at most 2 x ``max_documents`` sparse rows of ``buckets`` columns). The counts of languages are broadcast if there are ``few``. Stochastic gradient descent fits the
     embeddings and the softmax; a fifth of the rows, kept aside, sets the temperature and the score under which a
     prediction is rejected: 0.5, or as high as it takes for accepted ones to be right with ``precision``, but no more
     than ``reject`` of right predictions are ever rejected. Rows are in order of a hash of doc_id, so the fit hangs on
@@ -124,6 +125,8 @@ def train(
     examples = examples.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = examples.groupBy(F.col("lang").alias("own")).agg(F.count(F.lit(1)).alias("n")).withColumn("each", F.lit(max_documents) / F.count(F.lit(1)).over(Window.partitionBy()))
     share = F.least(F.lit(1.0), F.col("each") / F.col("n")) * (1 << 30)
+    if sizes.limit(few + 1).count() <= few:
+        sizes = F.broadcast(sizes)
     chosen = examples.join(sizes, F.col("lang") == F.col("own")).where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < share)
     chosen = chosen.select(F.xxhash64("doc_id", F.lit(seed + 1)).alias("key"), "text", "lang")
 
