@@ -143,10 +143,10 @@ class Network:
         order, kind, place, runs = self.by_class(targets)
         states, found = states[order], np.empty(len(states), np.float32)
         for a in range(0, len(states), CACHED):
-            found[a : a + CACHED] = _log_shares(states[a : a + CACHED] @ self.classes + self.class_bias, kind[a : a + CACHED])
+            found[a : a + CACHED] = _log_shares(states[a : a + CACHED], self.classes, self.class_bias, kind[a : a + CACHED])
         for c, a, b in runs:
             own = slice(self.edges[c], self.edges[c + 1])
-            found[a:b] += _log_shares(states[a:b] @ self.inner[own].T + self.inner_bias[own], place[a:b])
+            found[a:b] += _log_shares(states[a:b], self.inner[own].T, self.inner_bias[own], place[a:b])
         out = np.empty_like(found)
         out[order] = found
         return out
@@ -158,36 +158,48 @@ class Network:
         total = np.zeros(len(texts))
         adds = self.table @ self.into + self.shift
         order = np.argsort([-len(t) for t in texts], kind="stable")
-        for first in range(0, len(order), 2048):
-            part = order[first : first + 2048]
+        for first in range(0, len(order), 1 << 14):
+            part = order[first : first + (1 << 14)]
             lengths = np.array([len(texts[i]) for i in part])
+            tokens, starts = np.concatenate([texts[i] for i in part]), np.cumsum(lengths) - lengths
             state = np.zeros((len(part), len(self.change)), np.float32)
             before, at = np.full(len(part), self.end), 0
             while live := int((lengths > at).sum()):
                 steps = max(1, min(at_once // live, int(lengths[0]) - at))
                 lives = np.searchsorted(-lengths, -np.arange(at, at + steps))
-                window = np.full((steps, live), self.end)
-                for r in range(live):
-                    own = texts[part[r]][at : at + steps]
-                    window[: len(own), r] = own
+                running = np.arange(live) < lives[:, None]
+                window = tokens[np.minimum(starts[:live] + at + np.arange(steps)[:, None], len(tokens) - 1)]
                 ends = np.cumsum(lives)
                 states = np.empty((ends[-1], state.shape[1]), np.float32)
                 for target, m, end in zip(window, lives, ends):
                     state, _ = self.turn(adds[before[:m]], state[:m])
                     before = target[:m]
                     states[end - m : end] = state
-                running = np.arange(live) < lives[:, None]
                 log_p = self.log_probabilities(states, window[running])
                 total += np.bincount(np.broadcast_to(part[:live], running.shape)[running], log_p, len(total))
                 at += steps
         return total / LOG10
 
 
-def _log_shares(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    chosen = z[np.arange(len(z)), at]
-    np.exp(z, out=z)
-    return chosen - np.log(z.sum(axis=1))
+def _exponentials(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray | None = None):
+    """The exponentials of a softmax, their sum in each row and the logits of the targets ``at``, all less one shift, the
+    greatest logit; if a row's sum comes near the least numbers under that, less the greatest of each row.
+    """
+    for by_row in (False, True):
+        z = states @ weights
+        z += bias
+        z -= z.max(axis=1, keepdims=True) if by_row else z.max()
+        chosen = None if at is None else z[np.arange(len(z)), at]
+        np.exp(z, out=z)
+        total = z @ np.ones(z.shape[1], z.dtype)
+        if total.min() > 1e-25:
+            break
+    return z, total, chosen
+
+
+def _log_shares(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    _, total, chosen = _exponentials(states, weights, bias, at)
+    return chosen - np.log(total)
 
 
 class Fitter:
@@ -211,12 +223,11 @@ class Fitter:
             before = np.full(len(part), self.net.end)
             for at in range(0, part.shape[1], wide):
                 target = part[:, at : at + wide]
-                slope, state = _slopes(self.net, before, state, target)
-                self._move(slope, np.unique(np.concatenate([before, target[:, :-1].ravel()])), step(at))
+                slope, seen, state = _slopes(self.net, before, state, target)
+                self._move(slope, seen, step(at))
                 before = target[:, -1]
 
     def _move(self, slope: dict[str, np.ndarray], seen: np.ndarray, rate: float) -> None:
-        slope["table"] = slope["table"][seen]
         norm = np.sqrt(sum(float(np.vdot(g, g)) for g in slope.values()))
         for k, g in slope.items():
             g *= np.float32(min(1.0, 5.0 / (norm + 1e-9)))
@@ -302,8 +313,8 @@ def train(ids: DataFrame, net: Network, n_blocks: int, passes: int, rate: float
     return net
 
 
-def _slopes(net: Network, before: np.ndarray, state: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Gradients of the mean loss of one window, and the state after it."""
+def _slopes(net: Network, before: np.ndarray, state: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Gradients of the mean loss of one window, the tokens whose rows of the table ``table`` has, and the state after it."""
     h, width = state.shape[1], target.shape[1]
     seen = np.ascontiguousarray(np.concatenate([before[:, None], target[:, :-1]], axis=1).T)
     vectors = net.table[seen.ravel()]
@@ -319,7 +330,7 @@ def _slopes(net: Network, before: np.ndarray, state: np.ndarray, target: np.ndar
     order, kind, place, runs = net.by_class(goal)
     chosen = states.reshape(-1, h)[order]
     back = np.empty_like(chosen)
-    slope = {k: np.zeros_like(getattr(net, k)) for k in WEIGHTS}
+    slope = {k: np.zeros(getattr(net, k).shape, np.float32) for k in WEIGHTS if k != "table"}
     share = np.float32(1.0 / max(1, len(goal)))
     for a in range(0, len(goal), CACHED):
         rows = slice(a, a + CACHED)
@@ -348,17 +359,13 @@ def _slopes(net: Network, before: np.ndarray, state: np.ndarray, target: np.ndar
     by_token = np.argsort(seen.ravel(), kind="stable")
     token = seen.ravel()[by_token]
     first = np.flatnonzero(np.diff(token, prepend=-1))
-    slope["table"][token[first]] = np.add.reduceat((moved @ net.into.T)[by_token], first, axis=0)
-    return slope, state
+    slope["table"] = np.add.reduceat((moved @ net.into.T)[by_token], first, axis=0)
+    return slope, token[first], state
 
 
 def _softmax_slopes(states, weights, bias, at, share, weight_slope, bias_slope) -> np.ndarray:
     """Adds the slopes of the weights and biases of a softmax whose targets are ``at``; returns those of ``states``."""
-    z = states @ weights
-    z += bias
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    total = z.sum(axis=1)
+    z, total, _ = _exponentials(states, weights, bias)
     z[np.arange(len(z)), at] -= total
     scale = share / total
     weight_slope += (states * scale[:, None]).T @ z
