@@ -83,6 +83,17 @@ def deregister(collection: str, directories: DataFrame, files: DataFrame) -> tup
     return files.where(mine).select("document_name").distinct().orderBy("document_name"), directories.where(~mine), files.where(~mine)
 
 
+def deregistered_markers(collection: str, directories: DataFrame, retained: DataFrame, pending: DataFrame, now: str, keep_data: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(retained, pending) after a deregistration: with ``keep_data`` the collection is retained for its directory and
+    no longer pending, else it is pending. One that isn't registered gets no marker.
+    """
+    own = directories.where(F.col("collection") == collection)
+    if not keep_data:
+        return retained, marked(pending, own.select("collection", F.lit(now).alias("marked_at")))
+    kept = own.select("collection", F.lit(now).alias("retained_at"), F.col("directory").alias("original_directory"))
+    return marked(retained, kept), cleared(pending, own)
+
+
 def marked(markers: DataFrame, marker: DataFrame) -> DataFrame:
     """Set markers, one for each collection."""
     return markers.join(marker.select("collection"), "collection", "left_anti").unionByName(marker)
@@ -113,6 +124,16 @@ def teardown(watched: DataFrame, current: DataFrame, complete: bool) -> DataFram
     return gone if complete else gone.limit(0)
 
 
+def rescan(
+    watched: DataFrame, current: DataFrame, complete: bool, pending: DataFrame, stored: DataFrame, directories: DataFrame, retained: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """What the safety pass removes: (watches to tear down, collections to purge); nothing if the listing of
+    registrations was not complete.
+    """
+    purge = orphans(pending, stored, directories, retained)
+    return teardown(watched, current, complete), purge if complete else purge.limit(0)
+
+
 def archived_by_directory(directories: DataFrame, retained: DataFrame) -> DataFrame:
     """The first archived collection, by name, of each directory."""
     found = retained.where(F.col("original_directory").isNotNull()).groupBy(F.col("original_directory").alias("directory")).agg(F.min("collection").alias("archived"))
@@ -127,8 +148,8 @@ def unlinked_captures(collections: DataFrame, directories: DataFrame, virtual: t
 
 
 def named_collections(directories: DataFrame, taken: DataFrame) -> DataFrame:
-    """A free collection name for each directory: its leaf, leaf-parent, or leaf-<sha256 prefix>, the first that is
-    not taken. ``taken`` has collection.
+    """A free collection name for each directory: its leaf, leaf-parent, leaf-<sha256 prefix>, or the whole digest
+    and a count from 2, the first that is not taken. ``taken`` has collection.
     """
     names = F.filter(F.split("directory", "/"), lambda n: n != "")
     leaf = F.coalesce(F.try_element_at(names, F.lit(-1)), F.lit("root"))
@@ -136,6 +157,12 @@ def named_collections(directories: DataFrame, taken: DataFrame) -> DataFrame:
     digest = F.sha2("directory", 256)
     prefixes = F.transform(F.sequence(F.lit(8), F.lit(64)), lambda n: F.concat(leaf, F.lit("-"), F.substr(digest, F.lit(1), n)))
     tried = directories.select("directory", F.posexplode(F.concat(F.array(leaf, F.concat(leaf, F.lit("-"), parent)), prefixes)).alias("place", "collection"))
+    # Of n taken names stem-2, stem-3, ... one of the first n + 1 is free.
+    stem = F.concat(leaf, F.lit("-"), digest)
+    counted = taken.select(F.regexp_extract("collection", r"^(.*-[0-9a-f]{64})-\d+$", 1).alias("_stem")).where("_stem <> ''").groupBy("_stem").agg(F.count(F.lit(1)).alias("_n"))
+    spare = directories.select("directory", stem.alias("_stem")).join(counted, "_stem", "left")
+    steps = F.transform(F.sequence(F.lit(2).cast("long"), F.coalesce("_n", F.lit(0).cast("long")) + 2), lambda n: F.struct((n + 1000).cast("int").alias("place"), F.concat("_stem", F.lit("-"), n.cast("string")).alias("collection")))
+    tried = tried.unionByName(spare.select("directory", F.inline(steps)))
     free = tried.join(taken.select("collection"), "collection", "left_anti")
     return free.groupBy("directory").agg(F.min_by("collection", "place").alias("collection"))
 

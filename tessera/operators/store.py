@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
+import warnings
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.retrieval import document_selector
+from tessera.operators.retrieval import document_selector, postings
 from tessera.schema import CHUNKS, migrate
 
 
@@ -160,10 +164,15 @@ class ChunkStore:
             self._commit({c: [p] for c, p in made.items()})
         return {"compacted": True, "files_before": files, "files_after": self.file_count()}
 
-    def prune(self, keep: int = 1) -> int:
-        """Remove all but the last ``keep`` snapshots and the data that none of those has; call it when no reader is on them."""
+    def prune(self, keep: int = 1, older_than: float = 0.0) -> int:
+        """Remove all but the last ``keep`` snapshots and those replaced less than ``older_than`` seconds ago, and the data
+        that none of them has; how many folders and snapshots. Without an age call it when no reader is on them.
+        """
         known = self.versions()
-        kept = known[-keep:] if keep else []
+        since = time.time() - older_than
+        written = lambda v: self._fs.getFileStatus(self._hadoop(f"{self.root}/snapshot-{v}.json")).getModificationTime() / 1000
+        replaced = dict(zip(known, known[1:]))
+        kept = [v for n, v in enumerate(known) if n >= len(known) - keep or (older_than and v in replaced and written(replaced[v]) > since)]
         used = {p.split("/_of=")[0].rsplit("/", 1)[1] for v in kept for paths in self._folders(v).values() for p in paths}
         gone = [f"{self.root}/snapshot-{v}.json" for v in known if v not in kept]
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path)]
@@ -173,6 +182,45 @@ class ChunkStore:
         return len(gone)
 
 
+    def finalize(self, index: str, publish: Callable[[DataFrame], None] | None = None, older_than: float = 3600.0) -> dict[str, object]:
+        """M8, M6: after a sync: compact, store the postings of the whole table under a new folder of ``index`` in ranges
+        of terms, publish, prune. A failure to publish is reported, not raised, and what follows is done. ``index`` in the
+        result is the folder that ``stored_postings`` reads.
+        """
+        done: dict[str, object] = self.compact()
+        rows = self.read()
+        terms, stats = postings(rows)
+        folder = f"{index.rstrip('/')}/postings-{uuid.uuid4().hex}"
+        terms.repartitionByRange("term").write.parquet(f"{folder}/terms")
+        stats.write.parquet(f"{folder}/stats")
+        done["index"], done["error"] = folder, None
+        if publish is not None:
+            try:
+                publish(rows)
+            except Exception as error:  # noqa: BLE001 - the hook is the caller's, and the rest must be done
+                done["error"] = str(error)
+        done["pruned"] = self.prune(older_than=older_than)
+        return done
+
+
+def stored_postings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """What ``finalize`` stored, as ``bm25_top_k`` and ``hybrid_search`` take it. Terms are sorted over files, so a
+    search's filter on terms skips most of them.
+    """
+    return spark.read.parquet(f"{folder}/terms"), spark.read.parquet(f"{folder}/stats")
+
+
+def usable_postings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame] | bool:
+    """The stored postings, or False with a warning where they are missing or can't be read, as ``hybrid_search``
+    takes it: then vectors alone answer. A store without a snapshot reads as an empty table, so it has no hits.
+    """
+    try:
+        return stored_postings(spark, folder)
+    except AnalysisException as error:
+        warnings.warn(f"no postings in {folder}, searching by vectors alone: {error.getCondition()}", stacklevel=2)
+        return False
+
+
 def without_documents(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """M1 for many documents at once: rows whose (collection, document_name) is in none of ``documents``."""
     return chunks.join(documents, ["collection", "document_name"], "left_anti")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.store import without_documents
+from tessera.schema import migrate
+
 INGEST, REFRESH, UNCHANGED, DELETE = "ingest", "refresh", "unchanged", "delete"
 #: What stands for the hash of a file that can't be read.
 UNKNOWN_HASH = "unknown"
@@ -34,9 +39,10 @@ def plan(listing: DataFrame, files: DataFrame, deletions_safe: bool = True) -> D
     return both.withColumn("action", action).where(F.col("action").isNotNull())
 
 
-def totals(planned: DataFrame) -> DataFrame:
-    """Files by action, in one row."""
-    return planned.agg(*[F.count_if(F.col("action") == a).alias(n) for a, n in ((INGEST, "ingested"), (REFRESH, "refreshed"), (DELETE, "deleted"), (UNCHANGED, "skipped"))])
+def totals(planned: DataFrame, failed: bool = False) -> DataFrame:
+    """Files by action, in one row; ``failed`` too of a plan that was carried out."""
+    named = [(INGEST, "ingested"), (REFRESH, "refreshed"), (DELETE, "deleted"), (UNCHANGED, "skipped"), *([("failed", "failed")] if failed else [])]
+    return planned.agg(*[F.count_if(F.col("action") == a).alias(n) for a, n in named])
 
 
 def refreshed(planned: DataFrame, files: DataFrame, now: str) -> DataFrame:
@@ -51,6 +57,70 @@ def deleted_documents(planned: DataFrame) -> DataFrame:
     return planned.where(F.col("action") == DELETE).select("collection", "document_name").distinct()
 
 
+class Synced(NamedTuple):
+    """What a sync leaves: the chunk table, the registry, the files that failed (path, error) and totals in one row."""
+
+    chunks: DataFrame
+    files: DataFrame
+    failures: DataFrame
+    totals: DataFrame
+
+
+def execute(planned: DataFrame, files: DataFrame, chunks: DataFrame, read: DataFrame, fresh: DataFrame, now: str) -> Synced:
+    """A plan carried out: deletes, then refreshes, then ingests, in which a file that fails leaves the others alone.
+
+    ``read`` has a row for each file to ingest that was tried: path, collection, document_name, error (null if it was
+    read whole); ``fresh`` has the chunks of those. A file of the plan without such a row failed. A document that was read
+    takes the place of its old chunks and is whole in the registry. The old chunks of one that failed stay only if the
+    committed part is of the current content (Y7); otherwise they and its row go, so that the next plan starts it again.
+
+    All four results come from ``planned`` and ``read``: write both before, so that neither the join nor the reading is
+    done more than once. Rows meet on path or on (collection, document_name); only ``fresh`` has texts, and is read once.
+    """
+    outcome = read.select("path", F.col("collection").alias("_collection"), F.col("document_name").alias("_name"), "error", F.lit(True).alias("_tried"))
+    tried = planned.where(F.col("action") == INGEST).join(outcome, "path", "left")
+    tried = tried.withColumn("error", F.when(F.col("_tried"), F.col("error")).otherwise("not read"))
+    whole = tried.where(F.col("error").isNull())
+    failed = tried.where(F.col("error").isNotNull())
+    dropped = failed.where(F.col("collection").isNotNull() & clear_stale(F.col("partial_hash"), F.col("chunks_committed"), F.col("new_hash")))
+
+    documents = whole.select(F.col("_collection").alias("collection"), F.col("_name").alias("document_name"))
+    added = migrate(fresh).join(documents.distinct(), ["collection", "document_name"], "left_semi")
+    gone = deleted_documents(planned).unionByName(dropped.select("collection", "document_name")).unionByName(documents).distinct()
+
+    counts = added.groupBy(F.col("collection").alias("_collection"), F.col("document_name").alias("_name")).agg(F.count(F.lit(1)).cast("int").alias("_chunks"))
+    rows = whole.join(counts, ["_collection", "_name"], "left").select(
+        "path", F.col("_collection").alias("collection"), F.col("_name").alias("document_name"), F.col("new_mtime").alias("mtime"), F.col("new_size").alias("size"),
+        F.lit(now).alias("ingested_at"), F.col("new_hash").alias("content_hash"), F.coalesce("_chunks", F.lit(0)).alias("chunks_committed"),
+        F.lit(None).cast("string").alias("partial_hash"),
+    )
+    left = planned.where(F.col("action") == DELETE).select("path").unionByName(dropped.select("path")).unionByName(whole.select("path"))
+    after = refreshed(planned, files, now).join(left, "path", "left_anti").unionByName(rows.select(*files.columns))
+    return Synced(
+        without_documents(chunks, gone).unionByName(added.select(*chunks.columns)),
+        after,
+        failed.select("path", "error"),
+        run_totals(planned, read),
+    )
+
+
+def run_totals(planned: DataFrame, read: DataFrame) -> DataFrame:
+    """A11 of a sync that was carried out: what was ingested in truth, and what failed."""
+    done = planned.join(read.select("path", F.col("error").isNull().alias("_done")), "path", "left")
+    failed = (F.col("action") == INGEST) & ~F.coalesce("_done", F.lit(False))
+    return totals(done.withColumn("action", F.when(failed, "failed").otherwise(F.col("action"))), failed=True)
+
+
+def one_file(planned: DataFrame, path: str) -> DataFrame:
+    """The plan of a single changed file, for the same ``execute``: empty if its chunks are settled."""
+    return planned.where((F.col("path") == path) & F.col("action").isin(INGEST, REFRESH))
+
+
+def sweep_finalizes(scans: DataFrame) -> DataFrame:
+    """Of scans (database, collection, seq), one finalize for each database, carried by its first collection."""
+    return scans.groupBy("database").agg(F.min_by("collection", F.struct("seq", "collection")).alias("collection"), F.count(F.lit(1)).alias("scans"))
+
+
 def stale_documents(catalog: DataFrame, listing: DataFrame, files: DataFrame, collection: str) -> DataFrame:
     """On re-adoption (no registry row for the collection), documents of absolute path that the listing lacks."""
     mine = catalog.where((F.col("collection") == collection) & F.col("document_path").startswith("/"))

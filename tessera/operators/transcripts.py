@@ -122,12 +122,31 @@ def backfill_plan(transcripts: DataFrame, directories: DataFrame, documents: Dat
     return rows.withColumn("outcome", outcome).drop("_there")
 
 
-def backfill_totals(planned: DataFrame) -> DataFrame:
-    """A12."""
-    names = ("ingested", "skipped_existing", "skipped_unregistered", "skipped_empty")
+def backfill_totals(planned: DataFrame, errors: bool = False) -> DataFrame:
+    """A12; ``errors`` too of a backfill that was carried out."""
+    names = ("ingested", "skipped_existing", "skipped_unregistered", "skipped_empty", *(("errors",) if errors else ()))
     return planned.agg(*[F.count_if(F.col("outcome") == n).alias(n) for n in names])
 
 
+def backfill_run(planned: DataFrame, limit: int = 0, errors: DataFrame | None = None) -> DataFrame:
+    """The plan as it is carried out. With a ``limit`` the transcripts, by folder and session, are visited until so
+    many were processed (ingested or found empty; those already there don't count); unregistered folders are told all the
+    same. Those of ``errors`` (folder, session_id) become 'errors'. The cut is one row, which alone is broadcast.
+    """
+    visited = planned
+    if limit > 0:
+        place = F.struct("folder", "session_id")
+        processed = planned.where(F.col("outcome").isin("ingested", "skipped_empty")).select(place.alias("at")).orderBy("at").limit(limit)
+        cut = processed.agg(F.max("at").alias("_last"), (F.count(F.lit(1)) == limit).alias("_full"))
+        visited = planned.join(F.broadcast(cut), F.lit(True), "inner")
+        visited = visited.where((F.col("outcome") == "skipped_unregistered") | ~F.col("_full") | (place <= F.col("_last"))).drop("_last", "_full")
+    if errors is None:
+        return visited
+    failed = errors.select("folder", "session_id").distinct().withColumn("_failed", F.lit(True))
+    judged = F.when(F.col("_failed") & (F.col("outcome") == "ingested"), "errors").otherwise(F.col("outcome"))
+    return visited.join(failed, ["folder", "session_id"], "left").withColumn("outcome", judged).drop("_failed")
+
+
 def archives_to_delete(archives: DataFrame, now: Column, days: int = 90) -> DataFrame:
     """Of (session_prefix, path, modified), all but each prefix's newest, and those older than ``days``."""
     newest = Window.partitionBy("session_prefix").orderBy(F.desc("modified"), F.desc("path"))

@@ -20,6 +20,7 @@ from tessera.plans.tables import (
     registrations,
     table,
 )
+from tessera.schema import migrate
 
 registry = Registry()
 NOW = "2026-03-01T00:00:00+00:00"
@@ -66,6 +67,73 @@ def sync_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.refreshed(sync.plan(listed_files(spark, sf_dir), files), files, NOW)
 
 
+def ran(spark: SparkSession, sf_dir: str) -> sync.Synced:
+    """The plan carried out: each registered file has two chunks; of the files to ingest one of eleven can't be read and one
+    of twenty-nine is never tried; the others have one chunk now.
+    """
+    at = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").withColumn("name", F.concat(F.lit("f"), at.cast("string"), F.lit(".txt")))
+    kept = docs.where(at % 10 < 9).withColumn("chunk_index", F.explode(F.array(F.lit(0), F.lit(1))))
+    chunks = migrate(kept.select("text", F.col("name").alias("document_name"), F.col("source").alias("collection"), "chunk_index"))
+    planned = sync.plan(listed_files(spark, sf_dir), registered_files(spark, sf_dir))
+    path = F.concat(F.lit("/w/"), "source", F.lit("/"), "name")
+    read = docs.where(at % 29 != 0).select(
+        path.alias("path"), F.col("source").alias("collection"), F.col("name").alias("document_name"), F.when(at % 11 == 0, "unreadable").alias("error")
+    )
+    fresh = docs.select(F.concat("text", F.lit("!")).alias("text"), F.col("name").alias("document_name"), F.col("source").alias("collection"), F.lit(0).alias("chunk_index"))
+    return sync.execute(planned, registered_files(spark, sf_dir), chunks, read, fresh, NOW)
+
+
+RAN = f"""{FILES}, tried AS (
+    SELECT p.path, p.action, p.new_mtime, p.new_size, p.new_hash, f.partial_hash, f.chunks_committed, split_part(p.path, '/', 3) AS source,
+           CAST(regexp_extract(p.path, 'f([0-9]+)[.]txt$', 1) AS BIGINT) AS id
+    FROM planned p LEFT JOIN files f ON f.path = p.path WHERE p.action IS NOT NULL
+), outcome AS (
+    SELECT *, CASE WHEN action <> 'ingest' THEN action WHEN id % 29 = 0 OR id % 11 = 0 THEN 'failed' ELSE 'ingested' END AS done FROM tried
+), stay AS (
+    SELECT f.*, o.done, o.new_mtime, o.new_size, o.new_hash FROM files f LEFT JOIN outcome o ON o.path = f.path
+    WHERE o.path IS NULL OR o.done IN ('refresh', 'unchanged') OR (o.done = 'failed' AND coalesce(o.chunks_committed > 0 AND o.partial_hash = o.new_hash, false))
+)"""
+
+
+@registry.add(f"""{RAN} SELECT s.collection, s.document_name, i.chunk_index, md5(d.text) AS text_md5
+FROM stay s JOIN documents d ON 'f' || d.doc_id || '.txt' = s.document_name CROSS JOIN (VALUES (0), (1)) i(chunk_index)
+UNION ALL SELECT o.source, 'f' || o.id || '.txt', 0, md5(d.text || '!') FROM outcome o JOIN documents d ON d.doc_id = o.id WHERE o.done = 'ingested'""")
+def sync_run_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table after a sync in which some files fail."""
+    return ran(spark, sf_dir).chunks.select("collection", "document_name", "chunk_index", F.md5("text").alias("text_md5"))
+
+
+@registry.add(f"""{RAN} SELECT path, collection, CASE WHEN done = 'refresh' THEN new_mtime ELSE mtime END AS mtime, CASE WHEN done = 'refresh' THEN new_size ELSE size END AS size,
+CASE WHEN done = 'refresh' THEN '{NOW}' ELSE ingested_at END AS ingested_at, CASE WHEN done = 'refresh' THEN new_hash ELSE content_hash END AS content_hash,
+chunks_committed, partial_hash FROM stay
+UNION ALL SELECT path, source, new_mtime, new_size, '{NOW}', new_hash, 1, NULL FROM outcome WHERE done = 'ingested'""")
+def sync_run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry after it."""
+    return ran(spark, sf_dir).files.drop("document_name")
+
+
+@registry.add(f"{RAN} SELECT path, CASE WHEN id % 29 = 0 THEN 'not read' ELSE 'unreadable' END AS error FROM outcome WHERE done = 'failed'")
+def sync_run_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each failure is its file's own."""
+    return ran(spark, sf_dir).failures
+
+
+@registry.add(f"""{RAN} SELECT count(*) FILTER (WHERE done = 'ingested') AS ingested, count(*) FILTER (WHERE done = 'refresh') AS refreshed,
+count(*) FILTER (WHERE done = 'delete') AS deleted, count(*) FILTER (WHERE done = 'unchanged') AS skipped, count(*) FILTER (WHERE done = 'failed') AS failed FROM outcome""")
+def sync_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11 with failures."""
+    return ran(spark, sf_dir).totals
+
+
+@registry.add("""SELECT 'db' || (user_id % 3) AS database, arg_min('c' || (user_id % 7), event_id) AS collection, count(*) AS scans FROM events GROUP BY 1""")
+def sweep_finalizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many scans, one finalize for each database."""
+    name = lambda prefix, n: F.concat(F.lit(prefix), (F.col("user_id") % n).cast("string"))
+    scans = table(spark, sf_dir, "events").select(name("db", 3).alias("database"), name("c", 7).alias("collection"), F.col("event_id").alias("seq"))
+    return sync.sweep_finalizes(scans)
+
+
 @registry.add(f"""{FILES} SELECT '/w/' || source || '/f' || doc_id || '.txt' AS document_path, 'f' || doc_id || '.txt' AS document_name
 FROM documents d WHERE source = 'src1' AND NOT EXISTS (
     SELECT 1 FROM listing l WHERE l.status <> 'vanished' AND l.path = '/w/' || d.source || '/f' || d.doc_id || '.txt')""")
@@ -168,6 +236,30 @@ def deregister_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reg.deregister("src2", registrations(spark, sf_dir), registered_files(spark, sf_dir))[0]
 
 
+def deregistered_marks(spark: SparkSession, sf_dir: str, collection: str, keep_data: bool) -> DataFrame:
+    retained, waiting = reg.deregistered_markers(collection, registrations(spark, sf_dir), archived(spark), pending(spark), NOW, keep_data)
+    return retained.select(F.lit("retained").alias("marker"), "collection", "original_directory").unionByName(
+        waiting.select(F.lit("pending").alias("marker"), "collection", F.lit(None).cast("string").alias("original_directory"))
+    )
+
+
+@registry.add(f"""{DIRECTORIES}{ARCHIVED}, pending(collection) AS (VALUES ('src1'), ('src3'), ('src6'), ('gone'), ('lone2')),
+own AS (SELECT * FROM directories WHERE collection = 'src1')
+SELECT 'retained' AS marker, collection, original_directory FROM retained WHERE collection <> 'src1' UNION ALL SELECT 'retained', collection, directory FROM own
+UNION ALL SELECT 'pending', collection, NULL FROM pending WHERE collection NOT IN (SELECT collection FROM own)""")
+def deregister_keeping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data kept: retained for its directory, no longer pending."""
+    return deregistered_marks(spark, sf_dir, "src1", True)
+
+
+@registry.add(f"""{DIRECTORIES}{ARCHIVED}, pending(collection) AS (VALUES ('src1'), ('src3'), ('src6'), ('gone'), ('lone2'))
+SELECT 'retained' AS marker, collection, original_directory FROM retained
+UNION ALL SELECT 'pending', collection, NULL FROM (SELECT collection FROM pending UNION SELECT collection FROM directories WHERE collection = 'src2')""")
+def deregister_purging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data not kept: pending."""
+    return deregistered_marks(spark, sf_dir, "src2", False)
+
+
 @registry.add(f"{DIRECTORIES} SELECT directory, collection FROM directories WHERE starts_with(directory, '/w/src1/') OR starts_with(directory, '/v/')")
 def under_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J11."""
@@ -209,6 +301,20 @@ def watch_teardown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reg.teardown(table(spark, sf_dir, "documents").select(name.alias("collection")), registrations(spark, sf_dir), complete=True)
 
 
+@registry.add(f"""{DIRECTORIES}{ARCHIVED}, pending(collection) AS (VALUES ('src1'), ('src3'), ('src6'), ('gone'), ('lone2'))
+SELECT 'watch' AS what, collection FROM (SELECT DISTINCT source || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '-b' END AS collection FROM documents EXCEPT SELECT collection FROM directories)
+UNION ALL SELECT 'purge', collection FROM (SELECT 'gone' AS collection UNION SELECT DISTINCT source FROM documents)
+WHERE collection IN (SELECT collection FROM pending) AND collection NOT IN (SELECT collection FROM directories) AND collection NOT IN (SELECT collection FROM retained)""")
+def safety_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a complete pass removes."""
+    odd = F.when(F.col("doc_id") % 2 == 0, "").otherwise("-b")
+    watched = table(spark, sf_dir, "documents").select(F.concat("source", odd).alias("collection")).distinct()
+    stored = stored_collections(spark, sf_dir).union(spark.createDataFrame([("gone",)], "collection string"))
+    current = registrations(spark, sf_dir)
+    gone, purge = reg.rescan(watched, current, True, pending(spark), stored, current, archived(spark))
+    return gone.select(F.lit("watch").alias("what"), "collection").unionByName(purge.select(F.lit("purge").alias("what"), "collection"))
+
+
 @registry.add(f"""{DIRECTORIES}{ARCHIVED} SELECT d.directory, min(r.collection) AS archived FROM directories d JOIN retained r ON r.original_directory = d.directory
 GROUP BY d.directory""")
 def archived_by_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,8 +392,6 @@ def overwrite_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(f"{CHUNKS} SELECT document_name, chunk_index, '' AS agent_handle, '' AS memory_type, '' AS summary FROM chunks")
 def migrated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: rows of an older table."""
-    from tessera.schema import migrate
-
     old = chunk_rows(spark, sf_dir).drop("agent_handle", "memory_type", "summary")
     return migrate(old).select("document_name", "chunk_index", "agent_handle", "memory_type", "summary")
 
@@ -398,13 +502,36 @@ SELECT count(*) FILTER (WHERE collection IS NOT NULL AND doc_id % 3 <> 0 AND doc
        count(*) FILTER (WHERE collection IS NOT NULL AND doc_id % 3 <> 0 AND doc_id % 5 = 0) AS skipped_empty FROM t""")
 def backfill_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J7, J8, S21, Y12, A12."""
+    return transcripts.backfill_totals(planned_backfill(spark, sf_dir))
+
+
+def planned_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("doc_id")
     docs = table(spark, sf_dir, "documents")
     folder = F.concat(F.lit("-w-"), F.when(at % 4 == 0, "none").otherwise(F.col("source")))
     session = F.lpad(at.cast("string"), 8, "0")
     given = docs.select(folder.alias("folder"), session.alias("session_id"), F.when(at % 5 == 0, " ").otherwise(F.concat(F.lit("x "), "text")).alias("text"))
     there = docs.where(at % 3 == 0).select(F.concat("source", F.lit("-captures")).alias("collection"), transcripts.document_of_session(session).alias("document_name"))
-    return transcripts.backfill_totals(transcripts.backfill_plan(given, registrations(spark, sf_dir), there))
+    return transcripts.backfill_plan(given, registrations(spark, sf_dir), there)
+
+
+@registry.add(f"""{DIRECTORIES}, t AS (
+    SELECT d.doc_id, '-w-' || CASE WHEN d.doc_id % 4 = 0 THEN 'none' ELSE d.source END AS folder, lpad(CAST(d.doc_id AS VARCHAR), 8, '0') AS session_id FROM documents d
+), o AS (
+    SELECT t.*, CASE WHEN x.collection IS NULL THEN 'skipped_unregistered' WHEN doc_id % 3 = 0 THEN 'skipped_existing'
+                     WHEN doc_id % 5 = 0 THEN 'skipped_empty' ELSE 'ingested' END AS outcome
+    FROM t LEFT JOIN directories x ON replace(x.directory, '/', '-') = t.folder
+), v AS (
+    SELECT *, count(*) FILTER (WHERE outcome IN ('ingested', 'skipped_empty')) OVER (ORDER BY folder, session_id ROWS UNBOUNDED PRECEDING)
+              - CASE WHEN outcome IN ('ingested', 'skipped_empty') THEN 1 ELSE 0 END AS before FROM o)
+SELECT count(*) FILTER (WHERE outcome = 'ingested' AND doc_id % 31 <> 0) AS ingested, count(*) FILTER (WHERE outcome = 'skipped_existing') AS skipped_existing,
+       count(*) FILTER (WHERE outcome = 'skipped_unregistered') AS skipped_unregistered, count(*) FILTER (WHERE outcome = 'skipped_empty') AS skipped_empty,
+       count(*) FILTER (WHERE outcome = 'ingested' AND doc_id % 31 = 0) AS errors FROM v WHERE outcome = 'skipped_unregistered' OR before < 20""")
+def backfill_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty transcripts are processed, some fail."""
+    planned = planned_backfill(spark, sf_dir)
+    errors = planned.where(F.col("session_id").cast("long") % 31 == 0)
+    return transcripts.backfill_totals(transcripts.backfill_run(planned, 20, errors), errors=True)
 
 
 @registry.add("""WITH a AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, 'p' || event_id DESC) AS n FROM events)

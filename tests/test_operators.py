@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import random
 import re
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from tessera.functions import latex, text as tx, vectors
 from tessera.functions.html import page_markdown
 from tessera.functions.redact import Redaction, inflections, redact
-from tessera.operators import chunking, layout, retrieval, sync
-from tessera.operators.store import ChunkStore
+from tessera.operators import chunking, layout, registry, retrieval, sync
+from tessera.operators.store import ChunkStore, usable_postings
 from tessera.schema import CHUNKS
 from tessera.sources import discovery, extract, trec
 
@@ -219,6 +220,48 @@ def test_store(spark, tmp_path):
     assert store.compact()["compacted"] and not store.compact(most_files=0)["compacted"] and store.prune() > 0 and store.count() == 1
 
 
+def test_finalize(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "c", 0, "red fox"), ("b", "c", 0, "blue fox")], "document_name string, collection string, chunk_index int, text string")
+    rows = rows.withColumns({"page_number": F.lit(1), "vector": F.array(F.lit(1.0), F.lit(0.0))})
+    kept = ChunkStore(spark, str(tmp_path / "t"))
+    kept.append(rows.limit(1))
+    kept.append(rows.where("document_name = 'b'"))
+    before = kept.versions()
+
+    def broken(chunks):
+        raise OSError("no way there")
+
+    done = kept.finalize(str(tmp_path / "i"), broken)
+    assert done["compacted"] and done["error"] == "no way there" and done["pruned"] == 0 and set(before) < set(kept.versions())
+    index = usable_postings(spark, done["index"])
+    assert [r["document_name"] for r in retrieval.bm25_top_k(kept.read(), "red", 5, index=index).collect()] == ["a"]
+    assert kept.prune(older_than=0.0) > 0 and len(kept.versions()) == 1 and kept.count() == 2
+    with pytest.warns(UserWarning):
+        assert usable_postings(spark, str(tmp_path / "none")) is False
+    hits = retrieval.hybrid_search(kept.read(), "red", [1.0, 0.0], 2, F.current_timestamp(), index=False)
+    assert hits.count() == 2 and ChunkStore(spark, str(tmp_path / "empty")).read().count() == 0
+
+
+def test_sync_of_one_file(spark):
+    planned = spark.createDataFrame([("/a", "ingest"), ("/b", "unchanged"), ("/c", "delete")], "path string, action string")
+    assert sync.one_file(planned, "/a").count() == 1 and sync.one_file(planned, "/b").count() == 0 and sync.one_file(planned, "/c").count() == 0
+
+
+def test_counted_collection_name(spark):
+    digest = hashlib.sha256(b"/x/d").hexdigest()
+    names = ["d", "d-x", *(f"d-{digest[:n]}" for n in range(8, 65)), f"d-{digest}-2", f"d-{digest}-4"]
+    found = registry.named_collections(spark.createDataFrame([("/x/d",)], "directory string"), spark.createDataFrame([(n,) for n in names], "collection string"))
+    assert found.first()["collection"] == f"d-{digest}-3"
+
+
+def test_rescan_of_part_of_a_listing(spark):
+    one = lambda *names: spark.createDataFrame([(n,) for n in names], "collection string")
+    gone, purge = registry.rescan(one("a", "b"), one("a"), False, one("c"), one("c"), one("a"), one())
+    assert gone.count() == 0 and purge.count() == 0
+    gone, purge = registry.rescan(one("a", "b"), one("a"), True, one("c"), one("c"), one("a"), one())
+    assert gone.first()["collection"] == "b" and purge.first()["collection"] == "c"
+
+
 def test_chunk_rows(spark):
     pages = spark.createDataFrame([("d", 2, 2, " b ", "image"), ("d", 1, 2, "a", "section"), ("d", 3, 2, " ", "text")], "document_name string, page_number int, total_pages int, text string, page_type string")
     rows = chunking.ingest(pages, F.lit("2026-01-01"), vectors.HashingBackend(8)).orderBy("chunk_index").collect()
