@@ -11,7 +11,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import latex, text as tx, vectors
+from tessera.functions import latex, redact as redaction, text as tx, vectors
 from tessera.functions.html import page_markdown
 from tessera.functions.redact import Redaction, inflections, redact
 from tessera.operators import chunking, layout, registry, retrieval, sync
@@ -400,3 +400,14 @@ def test_no_text_or_vector_is_shuffled_by_word_search(spark):
     assert [r["document_name"] for r in best.collect()] == ["d10", "d17", "d24", "d3"]
     plan = best._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftSemi" in plan
+
+
+def test_rules_that_are_not_searched_find_nothing(spark, sf_dir, monkeypatch):
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").unionByName(
+        spark.createDataFrame([(t,) for t in (None, "", "A_TOKEN = x", "ghs_" + "a" * 40, "sk-" + "b" * 33, "see /home/me and a@b.co", "Asses! crap craps DAMNED", "aws_secret_access_key=" + "c" * 40)], "text string")
+    )
+    found = lambda: sorted((str(r["text"]), str(r["redacted"]), str(sorted((r["redactions"] or {}).items()))) for r in redaction.with_redaction(texts, "text").collect())
+    guarded = found()
+    monkeypatch.setattr(redaction, "WITHIN", {})
+    monkeypatch.setattr(redaction, "_branches", lambda forms: "|".join(forms))
+    assert guarded == found() and any("craps [REDACTED:profanity]" in r[1] for r in guarded)
