@@ -11,13 +11,15 @@ LATEX_SECTION = r"(?=\\(?:sub)?section\{)"
 BLANK_LINE = r"(?U)\n\s*\n"
 HTML_COMMENT = r"(?s)<!--.*?-->"
 SENTENCE_END = r"(?U)(?<=[.!?])\s+"
+#: The characters of Unicode's property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 MAX_CHARS, OVERLAP_CHARS = 1800, 200
 
 
 def strip(text: Column) -> Column:
-    """White space of any kind off both ends (Spark's ``trim`` takes off spaces alone)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """White space of any kind off both ends (Spark's ``trim`` takes off spaces alone); only the ends are looked at."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def _with_content(parts: Column, ignore_comments: bool) -> Column:

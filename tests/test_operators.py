@@ -411,3 +411,9 @@ def test_rules_that_are_not_searched_find_nothing(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(redaction, "WITHIN", {})
     monkeypatch.setattr(redaction, "_branches", lambda forms: "|".join(forms))
     assert guarded == found() and any("craps [REDACTED:profanity]" in r[1] for r in guarded)
+
+
+def test_strip_takes_all_white_space(spark):
+    odd = [chr(c) for c in (*range(0x250), *range(0x1670, 0x1690), *range(0x1FF0, 0x2070), 0x3000, 0x3001, 0xFEFF)]
+    texts = spark.createDataFrame([(c + " a" + c + "b \n" + c,) for c in odd] + [("",), (None,), (" \u3000\n",)], "t string")
+    assert texts.where(~tx.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
