@@ -72,3 +72,19 @@ def drawn(rows: DataFrame, at_most: int, seed: int, id_col: str = "doc_id") -> D
     """About ``at_most`` rows of ``rows``, the same in every run, chosen by a hash of ``id_col``; all if there are fewer."""
     share = min(1.0, at_most / max(1, rows.count()))
     return rows.where(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+
+
+def joined_to_copies(rows: DataFrame, classes: DataFrame, key: str, copies: str = "copies", shares: int = 1000) -> DataFrame:
+    """``rows`` joined to ``classes`` (one row for each ``key``, with how many rows have it in ``copies``).
+
+    A key of more than a ``shares``-th of all rows is dealt over as many salts as it has such shares. There are at most
+    twice ``shares`` such keys, so that what is broadcast has a bound at every size.
+    """
+    total = classes.agg(F.sum(copies)).first()[0] or 0
+    share = F.lit(max(1, int(total) // shares))
+    dealt = classes.withColumn("_salts", F.ceil(F.col(copies) / share).cast("int"))
+    hot = dealt.where("_salts > 1").select(key, F.col("_salts").alias("_of"))
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_of", F.lit(1))).cast("int")
+    salted = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_of")
+    spread = dealt.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return salted.join(spread, [key, "_salt"]).drop("_salt")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.centroids import OP13_SQL, op13_centroid_clustering
 from tessera.llm.chat_format import OP9_SQL, op9_chat_formatting
 from tessera.llm.fingerprints import op3_fingerprints
 from tessera.llm.language_id import op6_language_id
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_mixing": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op13_centroid_clustering": OP13_SQL,
 }
