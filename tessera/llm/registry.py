@@ -9,6 +9,7 @@ from tessera.llm.language_id import op6_language_id
 from tessera.llm.language_model import op5_lm_scoring
 from tessera.llm.lattice_dedup import op10_embedding_dedup
 from tessera.llm.mixing import OP8_SQL, op8_mixing
+from tessera.llm.nearest import op12_nearest_neighbours
 from tessera.llm.ngram_join import op2_ngram_jaccard_join
 from tessera.llm.packing import op4_packing
 from tessera.llm.sharding import op1_sharding
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
