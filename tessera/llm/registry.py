@@ -13,6 +13,7 @@ from tessera.llm.nearest import op12_nearest_neighbours
 from tessera.llm.ngram_join import op2_ngram_jaccard_join
 from tessera.llm.packing import op4_packing
 from tessera.llm.sharding import op1_sharding
+from tessera.llm.structure_repair import OP11_SQL, op11_structure_repair
 from tessera.llm.toxicity import op7_toxicity
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_structure_repair": op11_structure_repair,
     "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
@@ -33,5 +35,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op8_mixing": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op11_structure_repair": OP11_SQL,
     "op13_centroid_clustering": OP13_SQL,
 }
