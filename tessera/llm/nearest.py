@@ -42,13 +42,13 @@ class Polytopes:
         self.cells = 1 << bits
         self.signs = np.random.default_rng([seed, dim]).choice([-1.0, 1.0], (tables, len(self.axes), 3, self.width))
 
-    def sides(self, unit: np.ndarray) -> Iterator[list[np.ndarray]]:
-        """For each table the products of each row of ``unit`` (n, dim + 1) with the signed axes of each digit, in units of
+    def sides(self, unit: np.ndarray, tables: range | None = None) -> Iterator[list[np.ndarray]]:
+        """For each of ``tables`` (all) the products of each row of ``unit`` (n, dim + 1) with the signed axes of each digit, in units of
         how large the greatest is expected to be, which makes digits of many and of few axes comparable.
         """
         padded = np.zeros((len(unit), self.width))
         padded[:, : unit.shape[1]] = unit
-        for signs in self.signs:
+        for signs in self.signs if tables is None else self.signs[tables.start : tables.stop]:
             digits = []
             for axes, three in zip(self.axes, signs):
                 y = padded
@@ -67,16 +67,16 @@ class Polytopes:
             found[:, t] += t * self.cells
         return found
 
-    def probes(self, unit: np.ndarray, most: int, at_once: int = 1 << 22) -> np.ndarray:
-        """The ``most`` cells of each table (all, if it has fewer) with the greatest sums of products over their digits.
+    def probes(self, unit: np.ndarray, most: int, tables: range, at_once: int = 1 << 22) -> np.ndarray:
+        """The ``most`` cells of each of ``tables`` (all, if it has fewer) with the greatest sums of products over their digits.
 
         Digits are added one by one; only the ``most`` best beginnings can lead to the ``most`` best sums.
         """
         parts = []
         rows = max(1, at_once // (max(1, most) * 2 * max(self.axes)))
         for at in range(0, len(unit), rows):
-            tables = []
-            for t, digits in enumerate(self.sides(unit[at : at + rows])):
+            found = []
+            for t, digits in zip(tables, self.sides(unit[at : at + rows], tables)):
                 total, cell = np.zeros((len(digits[0]), 1)), np.zeros((len(digits[0]), 1), np.int64)
                 for side in digits:
                     total = (total[:, :, None] + side[:, None, :]).reshape(len(side), -1)
@@ -84,8 +84,8 @@ class Polytopes:
                     if total.shape[1] > most:
                         best = np.argpartition(-total, most - 1, axis=1)[:, :most]
                         total, cell = np.take_along_axis(total, best, 1), np.take_along_axis(cell, best, 1)
-                tables.append(cell + t * self.cells)
-            parts.append(np.concatenate(tables, axis=1))
+                found.append(cell + t * self.cells)
+            parts.append(np.concatenate(found, axis=1))
         return np.concatenate(parts) if parts else np.zeros((0, 0), np.int64)
 
     def ranks(self, unit: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -150,7 +150,7 @@ def best_of(queries: np.ndarray, rows: np.ndarray, first: np.ndarray, most: int)
 
 def vector_classes(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, most: int) -> tuple[DataFrame, DataFrame]:
     """(id, print, asks) of the rows that take part, and one row for each different vector: print, copies, ids (its
-    ``most`` smallest, in order), vector, asks (whether a query has it), node.
+    ``most`` smallest, in order), vector, its length, asks (whether a query has it), node.
     """
     vector = F.col(vector_col).cast("array<double>")
     fit = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vector, lambda x: x != 0)
@@ -162,12 +162,17 @@ def vector_classes(vectors: DataFrame, id_col: str, vector_col: str, is_query: C
             ends = values.offsets.to_numpy()
             data = np.ascontiguousarray(values.values.to_numpy() + 0.0)  # -0.0 is 0.0
             prints = [hashlib.blake2b(data[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.binary())], names=["id", "vector", "asks", "print"])
-
-    marked = written(rows.mapInArrow(printed, "id long, vector array<double>, asks boolean, print binary"), "nearest-rows")
+            lengths = np.zeros(len(batch))
+            for at, x in by_dimension(values):
+                greatest = np.abs(x).max(axis=1)
+                lengths[at] = greatest * np.sqrt(((x / greatest[:, None]) ** 2).sum(axis=1))
+            arrays = [*batch.columns, pa.array(prints, pa.binary()), pa.array(lengths)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "vector", "asks", "print", "length"])
+
+    marked = written(rows.mapInArrow(printed, "id long, vector array<double>, asks boolean, print binary, length double"), "nearest-rows")
     smallest = marked.select("print", "id").distinct().withColumn("at", F.row_number().over(Window.partitionBy("print").orderBy("id"))).where(F.col("at") <= most)
     smallest = smallest.groupBy("print").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    classes = marked.groupBy("print").agg(F.count(F.lit(1)).alias("copies"), F.any_value("vector").alias("vector"), F.max("asks").alias("asks"))
+    classes = marked.groupBy("print").agg(F.count(F.lit(1)).alias("copies"), F.any_value("vector").alias("vector"), F.max("asks").alias("asks"), F.max("length").alias("length"))
     classes = classes.join(smallest, "print").withColumn("node", F.monotonically_increasing_id())
     return marked.select("id", "print", "asks"), written(classes, "nearest-classes")
 
@@ -191,9 +196,7 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 def hashes_for(classes: DataFrame, tables: int, rows_per_cell: int, most_cells: int, seed: int) -> Hashes:
     """Hash functions with about one cell of a table for ``rows_per_cell`` vectors."""
-    greatest = F.array_max(F.transform("vector", F.abs))
-    length = greatest * F.sqrt(F.aggregate(F.transform("vector", lambda x: (x / greatest) * (x / greatest)), F.lit(0.0), lambda s, x: s + x))
-    told = classes.agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("largest")).first()
+    told = classes.agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("largest")).first()
     cells = 1 << max(1, min(most_cells, max(1, told["n"] // rows_per_cell)).bit_length())
     return Hashes(cells, tables, seed, min(told["largest"] or 1.0, np.finfo(float).max))
 
@@ -241,9 +244,10 @@ def probes_for(index: DataFrame, hashes: Hashes, recall: float, sample: int, mos
     return int(needed[int(np.ceil(recall * len(needed))) - 1]) if len(needed) else 1
 
 
-def meet(index: DataFrame, queries: DataFrame, hashes: Hashes, probes: int | None, most: int, rows_per_block: int, salts: int = 64) -> DataFrame:
-    """(asked, node, ids, score) of the ``most`` best rows of the cells that each of ``queries`` (node, vector) probes:
-    ``probes`` cells of each table or, for None, all cells of the first table, which has every row once.
+def meet(index: DataFrame, queries: DataFrame, hashes: Hashes, tables: range, probes: int | None, most: int, rows_per_block: int, salts: int = 64) -> DataFrame:
+    """(asked, node, ids, score) of the ``most`` best rows of the cells that each of ``queries`` (node, vector, least) probes,
+    if their score is ``least`` or more: ``probes`` cells of each of ``tables`` or, for None, all cells of the first, which has
+    every row once.
 
     A row of the index goes to its cells, a query to those it probes. Cells of more rows or queries than ``rows_per_block`` are
     cut into blocks, and each block of rows meets each block of queries: a task holds the rows of one block while queries
@@ -257,14 +261,16 @@ def meet(index: DataFrame, queries: DataFrame, hashes: Hashes, probes: int | Non
                     if probes is None:
                         keys = np.tile(np.arange(hashes.cells), (len(x[part]), 1))
                     else:
-                        keys = hashes.of(x.shape[1]).probes(_direction(x[part]), probes)
+                        keys = hashes.of(x.shape[1]).probes(_direction(x[part]), probes, tables)
                     rows = batch.take(pa.array(at[part]))
-                    yield pa.RecordBatch.from_arrays([*rows.columns, _lists(keys)], names=["node", "vector", "cells"])
+                    yield pa.RecordBatch.from_arrays([*rows.columns, _lists(keys)], names=["node", "vector", "least", "cells"])
 
-    asked = written(queries.select("node", "vector").mapInArrow(probed, "node long, vector array<double>, cells array<long>"), "nearest-probes")
-    own = F.col("cells") if probes is not None else F.slice("cells", 1, 1)
-    rows = index.select(F.size("vector").alias("dim"), F.explode(own).alias("cell"), "node", "vector", "ids")
-    asked = asked.select(F.size("vector").alias("dim"), F.explode("cells").alias("cell"), "node", "vector", F.lit(None).cast("array<long>").alias("ids"))
+    asked = queries.select("node", "vector", "least").mapInArrow(probed, "node long, vector array<double>, least double, cells array<long>")
+    asked = written(asked, "nearest-probes")
+    own = F.slice("cells", tables.start + 1, len(tables))
+    rows = index.select(F.size("vector").alias("dim"), F.explode(own).alias("cell"), "node", "vector", "ids", F.lit(None).cast("double").alias("least"))
+    nothing = F.lit(None).cast("array<long>").alias("ids")
+    asked = asked.select(F.size("vector").alias("dim"), F.explode("cells").alias("cell"), "node", "vector", nothing, "least")
 
     def counted(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias(name))
@@ -277,7 +283,7 @@ def meet(index: DataFrame, queries: DataFrame, hashes: Hashes, probes: int | Non
         salted = df.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(salts)).cast("int")).join(cut, ["dim", "cell", "salt"], "left")
         block = F.pmod(F.xxhash64("node", F.lit(2)), F.coalesce(own, F.lit(1))).cast("int").alias(own)
         every = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(other)
-        return salted.select("dim", "cell", block, every, F.lit(kind).alias("kind"), "node", "vector", "ids")
+        return salted.select("dim", "cell", block, every, F.lit(kind).alias("kind"), "node", "vector", "ids", "least")
 
     keys = ["dim", "cell", "row_blocks", "query_blocks"]
     met = placed(rows, "row_blocks", "query_blocks", 0).unionByName(placed(asked, "query_blocks", "row_blocks", 1))
@@ -323,6 +329,8 @@ def _meeting(keys: list[str], most: int, held_at_most: int = 1 << 18, products:
                     for at in range(cut, b, step):
                         part = batch.slice(at, min(step, b - at))
                         q, v, score = best_of(_matrix(part.column("vector")), x, first, most)
+                        enough = score >= part.column("least").to_numpy(zero_copy_only=False)[q]
+                        q, v, score = q[enough], v[enough], score[enough]
                         arrays = [part.column("node").take(pa.array(q)), pa.array(node[v]), ids.take(pa.array(v)), pa.array(score)]
                         held.append(pa.RecordBatch.from_arrays(arrays, names=["asked", "node", "ids", "score"]))
                         n += len(q)
@@ -357,7 +365,8 @@ def nearest_vectors(
     Each of ``tables`` tables turns the vectors by pseudo-rotations and numbers the nearest signed axes; a table has about a
     cell for ``rows_per_cell`` different vectors, ``most_cells`` at most (beyond that its cells have more rows). A query
     probes in each table the cells whose axes lie nearest; how many is what leads to a share of ``recall`` of the true neighbours of
-    ``sample`` queries, which are compared with all rows. All that the probed cells hold is compared in double precision,
+    ``sample`` queries, which are compared with all rows. What the first table finds is a bound for the others: only what is as
+    near is sent on from them. All that the probed cells hold is compared in double precision,
     summed component by component, in blocks. Lengths may differ: one more component completes each vector to the
     greatest length. A query that finds fewer than ``k`` rows is compared with all of its number of components, in blocks.
 
@@ -382,16 +391,22 @@ def nearest_vectors(
         near = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))), 1, most)
         return found.groupBy(F.col("asked").alias("node")).agg(near.alias("near"))
 
-    asking = index.where("asks").select("node", "print", "copies", "vector")
-    found = written(ranked(meet(index, asking, hashes, probes, most, rows_per_block)), "nearest-found")
+    asking = index.where("asks").select("node", "print", "copies", "vector", F.lit(float("-inf")).alias("least"))
+    first, others = range(1), range(1, tables)
+    found = written(meet(index, asking, hashes, first, probes, most, rows_per_block), "nearest-first")
+    if others:
+        reached = ranked(found).select("node", F.when(F.size("near") >= most, -F.get("near", F.lit(most - 1))["minus"]).alias("reached"))
+        bounded = asking.join(reached, "node", "left").withColumn("least", F.coalesce("reached", "least"))
+        found = found.unionByName(meet(index, bounded, hashes, others, probes, most, rows_per_block))
+    found = written(ranked(found), "nearest-found")
     short = asking.join(found.where(F.size("near") >= most).select("node"), "node", "left_anti")
     if short.take(1):
         short = written(short, "nearest-short")
-        found = found.where(F.size("near") >= most).unionByName(ranked(meet(index, short, hashes, None, most, rows_per_block)))
+        found = found.where(F.size("near") >= most).unionByName(ranked(meet(index, short, hashes, first, None, most, rows_per_block)))
     answers = asking.select("node", "print", "copies").join(found, "node").select("print", "copies", "near")
     ids = marked.where("asks").select("id", "print").distinct()
-    others = F.slice(F.filter("near", lambda n: n["id"] != F.col("id")), 1, k)
-    rows = joined_to_copies(ids, written(answers, "nearest-answers"), "print").select(F.col("id").alias("query_id"), F.posexplode(others).alias("at", "n"))
+    near = F.slice(F.filter("near", lambda n: n["id"] != F.col("id")), 1, k)
+    rows = joined_to_copies(ids, written(answers, "nearest-answers"), "print").select(F.col("id").alias("query_id"), F.posexplode(near).alias("at", "n"))
     return rows.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("n.id").alias("id"), (-F.col("n.minus")).alias("score"))
 
 
