@@ -177,7 +177,8 @@ def test_network_is_a_distribution_and_descends():
     assert np.exp(every).sum() == pytest.approx(1.0, abs=1e-5)
     target = rng.integers(0, 12, (3, 6))
     before, start = np.full(3, net.end), np.zeros((3, 5), np.float32)
-    slope, _ = language_model._slopes(net, before, start, target)
+    slope, seen_tokens, _ = language_model._slopes(net, before, start, target)
+    assert list(seen_tokens) == sorted({*before, *target[:, :-1].ravel()})
 
     def loss():
         state, seen, total = start, before, 0.0
@@ -189,12 +190,13 @@ def test_network_is_a_distribution_and_descends():
         return total / target.size
 
     for name in ("gates", "change", "classes", "table"):
-        value, at = getattr(net, name), np.unravel_index(np.abs(slope[name]).argmax(), slope[name].shape)
+        value, place = getattr(net, name), np.unravel_index(np.abs(slope[name]).argmax(), slope[name].shape)
+        at = (seen_tokens[place[0]], *place[1:]) if name == "table" else place  # rows of the table are those of seen tokens
         old = value[at]
         value[at] = old + 0.01
         high = loss()
         value[at] = old - 0.01
-        assert (high - loss()) / 0.02 == pytest.approx(float(slope[name][at]), rel=0.05, abs=1e-4)
+        assert (high - loss()) / 0.02 == pytest.approx(float(slope[name][place]), rel=0.05, abs=1e-4)
         value[at] = old
     texts = [rng.integers(0, 11, n) for n in (1, 7, 40, 3)]
     assert np.allclose(net.score(texts), [net.score([t])[0] for t in texts], rtol=1e-4)
