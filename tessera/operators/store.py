@@ -2,71 +2,98 @@
 
 from __future__ import annotations
 
-import json
 import time
 import uuid
 import warnings
 from collections.abc import Callable
 from functools import reduce
+from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.retrieval import document_selector, postings
+from tessera.operators.snapshots import Snapshots
 from tessera.schema import CHUNKS, migrate
 
 
+#: Columns of a watermark: how far a document has got in the table.
+WATERMARKS = "path, collection, document_name, chunks_committed, complete, batch, part"
+
+
+class _Changed(Exception):
+    """A collection was written meanwhile."""
+
+
+def _whole(state: dict[str, Any]) -> dict[str, Any]:
+    """A snapshot with all its parts; older ones are the folders by collection alone."""
+    if not isinstance(state.get("batches"), dict):
+        state = {"collections": state}
+    return {"collections": {}, "batches": {}, "watermarks": []} | state
+
+
+def _added(folders: dict[str, list[str]], added: dict[str, str]) -> dict[str, list[str]]:
+    return {c: folders.get(c, []) + ([added[c]] if c in added else []) for c in {*folders, *added}}
+
+
 class ChunkStore:
-    """S1-S3, M1-M8. A snapshot is a small JSON file that lists data folders; a write adds folders and then a snapshot
-    under the next number, so readers see all of a change or nothing. Every data folder holds whole collections or
-    appended rows of them; a delete or overwrite rewrites only the collections that it touches.
+    """S1-S3, M1-M8. A snapshot is a small JSON file that lists data folders by collection; a write adds folders and then
+    the snapshot that follows the one it read, so readers see all of a change or nothing. Every data folder holds whole
+    collections or appended rows of them; a delete or overwrite rewrites only the collections that it touches.
 
-    Files go through Hadoop's file system, so any store that Spark writes to will do. Writers must be one at a time.
+    Files go through Hadoop's file system, so any store that Spark writes to will do. Of writers that meet, the first commits;
+    another adds its change to the newer snapshot, and does its rewrite again if a collection that it rewrote has changed.
+    A snapshot also has the last batch of each stream that was put in (``append_batch``) and folders of watermarks.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not self._fs.exists(self._path):
-            self._fs.mkdirs(self._path)
+        self._snapshots = Snapshots(spark, self.root)
+        self._fs = self._snapshots.fs
 
     # snapshots
 
     def _hadoop(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return self._snapshots.path(path)
 
     def versions(self) -> list[int]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path)]
-        return sorted(int(n[9:-5]) for n in names if n.startswith("snapshot-") and n.endswith(".json"))
+        return self._snapshots.versions()
+
+    def _state(self, version: int | None = None) -> dict[str, Any]:
+        known = [version] if version else self.versions()
+        return _whole(self._snapshots.read(known[-1])) if known else _whole({})
+
+    def _folders(self, version: int | None = None) -> dict[str, list[str]]:
+        return self._state(version)["collections"]
+
+    def _update(self, change: Callable[[dict[str, Any]], dict[str, Any] | None]) -> int:
+        return self._snapshots.update(lambda state: change(_whole(state)), {})[0]
+
+    def _replace(self, seen: dict[str, list[str]], made: dict[str, list[str]]) -> bool:
+        """Put ``made`` in place of the collections ``seen``, unless another writer has changed one of them since."""
+
+        def change(state: dict[str, Any]) -> dict[str, Any]:
+            now = state["collections"]
+            if any(now.get(c, []) != paths for c, paths in seen.items()):
+                raise _Changed
+            kept = {c: p for c, p in now.items() if c not in seen} | made
+            return state | {"collections": {c: p for c, p in kept.items() if p}}
 
-    def _folders(self, version: int) -> dict[str, list[str]]:
-        stream = self._fs.open(self._hadoop(f"{self.root}/snapshot-{version}.json"))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _commit(self, folders: dict[str, list[str]]) -> int:
-        version = (self.versions() or [0])[-1] + 1
-        draft = self._hadoop(f"{self.root}/draft-{uuid.uuid4().hex}")
-        out = self._fs.create(draft)
-        out.write(bytearray(json.dumps(folders).encode()))
-        out.close()
-        if not self._fs.rename(draft, self._hadoop(f"{self.root}/snapshot-{version}.json")):
-            raise RuntimeError(f"snapshot {version} exists: another writer was faster")
-        return version
+            self._update(change)
+        except _Changed:
+            return False
+        return True
 
     # reads
 
     def collections(self) -> list[str]:
-        return sorted(self._folders(self.versions()[-1])) if self.versions() else []
+        return sorted(self._folders())
 
     def read(self, collection: str | None = None, version: int | None = None) -> DataFrame:
         """The table, or one collection of it, whose folders alone are then read (M7). Empty before the first write."""
-        known = self.versions()
-        folders = self._folders(version or known[-1]) if known else {}
+        folders = self._folders(version)
         chosen = folders if collection is None else {collection: folders.get(collection, [])}
         paths = [p for found in chosen.values() for p in found]
         if not paths:
@@ -78,7 +105,7 @@ class ChunkStore:
 
     def file_count(self) -> int:
         """A14."""
-        return len(self.read().inputFiles()) if self.versions() and any(self._folders(self.versions()[-1]).values()) else 0
+        return len(self.read().inputFiles()) if any(self._folders().values()) else 0
 
     # writes
 
@@ -100,24 +127,77 @@ class ChunkStore:
         rows = migrate(rows)
         if rows.isEmpty():
             return 0
-        before = self._folders(self.versions()[-1]) if self.versions() else {}
         added = self._write(rows)
-        self._commit({c: before.get(c, []) + ([added[c]] if c in added else []) for c in {*before, *added}})
+        self._update(lambda state: state | {"collections": _added(state["collections"], added)})
         return self.spark.read.schema(CHUNKS).parquet(*added.values()).count()
 
+    def append_batch(self, rows: DataFrame, stream: str, batch: int, part: int = 0, watermarks: DataFrame | None = None, replace: bool = True) -> bool:
+        """Part ``part`` of batch ``batch`` of ``stream``, once however often it is run; whether it was new.
+
+        Rows and ``watermarks`` (path, collection, document_name, chunks_committed, complete) are written first, and one
+        snapshot shows both and the batch's number: a writer lost before it leaves nothing but folders that nobody lists,
+        and one that comes again after it changes nothing. With ``replace`` the documents of ``rows`` give way to them.
+        """
+        place = [batch, part]
+        while True:
+            seen = self._state()
+            if seen["batches"].get(stream, [-1, -1]) >= place:
+                return False
+            new = migrate(rows)
+            touched = [r["collection"] for r in new.select("collection").distinct().collect()]
+            old = {c: seen["collections"].get(c, []) for c in touched} if replace else {}
+            made = self._write(self._with(new, old)) if touched else {}
+            marks = []
+            if watermarks is not None:
+                marks = [f"{self.root}/marks-{uuid.uuid4().hex}"]
+                watermarks.withColumn("batch", F.lit(batch)).withColumn("part", F.lit(part)).select(*WATERMARKS.split(", ")).write.parquet(marks[0])
+
+            def change(state: dict[str, Any]) -> dict[str, Any] | None:
+                if state["batches"].get(stream, [-1, -1]) >= place:
+                    return None
+                if any(state["collections"].get(c, []) != paths for c, paths in old.items()):
+                    raise _Changed
+                now = {c: p for c, p in state["collections"].items() if c not in old}
+                return {"collections": _added(now, made), "batches": state["batches"] | {stream: place}, "watermarks": state["watermarks"] + marks}
+
+            try:
+                self._update(change)
+                return True
+            except _Changed:
+                continue
+
+    def watermarks(self) -> DataFrame:
+        """How many chunks of each path are in the table, and whether that is all: the last mark of each."""
+        folders = self._state()["watermarks"]
+        schema = "path string, collection string, document_name string, chunks_committed int, complete boolean, batch long, part int"
+        if not folders:
+            return self.spark.createDataFrame([], schema).drop("batch", "part")
+        rows = self.spark.read.schema(schema).parquet(*folders)
+        last = rows.groupBy("path").agg(F.max_by(F.struct("collection", "document_name", "chunks_committed", "complete"), F.struct("batch", "part")).alias("m"))
+        return last.select("path", "m.*")
+
+    def _with(self, new: DataFrame, old: dict[str, list[str]]) -> DataFrame:
+        """``new`` and what the folders ``old`` have of other documents."""
+        paths = [p for found in old.values() for p in found]
+        if not paths:
+            return new
+        fresh = new.select("collection", "document_name").distinct()
+        return migrate(self.spark.read.schema(CHUNKS).parquet(*paths)).join(fresh, ["collection", "document_name"], "left_anti").unionByName(new)
+
     def _rewrite(self, gone: Column, touched: list[str]) -> int:
         """Drop the rows of ``touched`` that ``gone`` holds for; how many."""
-        before = self._folders(self.versions()[-1]) if self.versions() else {}
-        touched = [c for c in touched if before.get(c)]
-        if not touched:
-            return 0
-        rows = migrate(self.spark.read.schema(CHUNKS).parquet(*[p for c in touched for p in before[c]]))
-        n = rows.where(gone).count()
-        if n:
+        while True:
+            before = self._folders()
+            seen = {c: before[c] for c in touched if before.get(c)}
+            if not seen:
+                return 0
+            rows = migrate(self.spark.read.schema(CHUNKS).parquet(*[p for paths in seen.values() for p in paths]))
+            n = rows.where(gone).count()
+            if not n:
+                return 0
             made = self._write(rows.where(~F.coalesce(gone, F.lit(False))))
-            after = {c: ([made[c]] if c in made else []) if c in touched else p for c, p in before.items()}
-            self._commit({c: p for c, p in after.items() if p})
-        return n
+            if self._replace(seen, {c: [p] for c, p in made.items()}):
+                return n
 
     def delete_document(self, document_name: str, collection: str | None = None) -> int:
         """M1, A15."""
@@ -131,37 +211,38 @@ class ChunkStore:
 
     def delete_collection(self, collection: str) -> int:
         """M3: only the snapshot changes."""
-        before = self._folders(self.versions()[-1]) if self.versions() else {}
-        if not before.get(collection):
-            return 0
-        n = self.count(collection)
-        self._commit({c: p for c, p in before.items() if c != collection})
-        return n
+        while True:
+            paths = self._folders().get(collection)
+            if not paths:
+                return 0
+            n = self.spark.read.schema(CHUNKS).parquet(*paths).count()
+            if self._replace({collection: paths}, {}):
+                return n
 
     def overwrite(self, rows: DataFrame) -> int:
         """M4: put ``rows`` in place of the documents that they have at least one chunk of, in one snapshot."""
-        before = self._folders(self.versions()[-1]) if self.versions() else {}
         new = migrate(rows)
-        names = [r["collection"] for r in new.select("collection").distinct().collect()]
-        old = [p for c in names for p in before.get(c, [])]
-        fresh = new.select("collection", "document_name").distinct()
-        both = new
-        if old:
-            both = migrate(self.spark.read.schema(CHUNKS).parquet(*old)).join(fresh, ["collection", "document_name"], "left_anti").unionByName(new)
-        made = self._write(both)
-        self._commit({c: [made[c]] if c in made else before[c] for c in {*before, *made}})
-        return new.count()
+        while True:
+            before = self._folders()
+            seen = {r["collection"]: before.get(r["collection"], []) for r in new.select("collection").distinct().collect()}
+            if not seen:
+                return 0
+            made = self._write(self._with(new, seen))
+            if self._replace(seen, {c: [p] for c, p in made.items()}):
+                return new.count()
 
     def compact(self, files_per_collection: int = 1, most_files: int = 10_000, force: bool = False) -> dict[str, object]:
         """M6: rewrite every collection in at most ``files_per_collection`` files, each written by a task of its own. Above ``most_files`` files it is skipped unless forced."""
         files = self.file_count()
         if files > most_files and not force:
             return {"compacted": False, "reason": f"{files} files are more than {most_files}"}
-        if files:
-            rows = self.read()
+        while files:
+            seen = self._folders()
+            rows = migrate(self.spark.read.schema(CHUNKS).parquet(*[p for paths in seen.values() for p in paths]))
             spread = max(1, files_per_collection)
-            made = self._write(rows, 4 * spread * max(1, len(self.collections())), spread)
-            self._commit({c: [p] for c, p in made.items()})
+            made = self._write(rows, 4 * spread * max(1, len(seen)), spread)
+            if self._replace(seen, {c: [p] for c, p in made.items()}):
+                break
         return {"compacted": True, "files_before": files, "files_after": self.file_count()}
 
     def prune(self, keep: int = 1, older_than: float = 0.0) -> int:
@@ -170,18 +251,22 @@ class ChunkStore:
         """
         known = self.versions()
         since = time.time() - older_than
-        written = lambda v: self._fs.getFileStatus(self._hadoop(f"{self.root}/snapshot-{v}.json")).getModificationTime() / 1000
+        changed = lambda path: self._fs.getFileStatus(self._hadoop(path)).getModificationTime() / 1000
+        written = lambda v: changed(self._snapshots.file(v))
         replaced = dict(zip(known, known[1:]))
         kept = [v for n, v in enumerate(known) if n >= len(known) - keep or (older_than and v in replaced and written(replaced[v]) > since)]
         used = {p.split("/_of=")[0].rsplit("/", 1)[1] for v in kept for paths in self._folders(v).values() for p in paths}
-        gone = [f"{self.root}/snapshot-{v}.json" for v in known if v not in kept]
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path)]
-        gone += [f"{self.root}/{n}" for n in names if n.startswith("data-") and n not in used]
-        for path in gone:
+        used |= {p.rsplit("/", 1)[1] for v in kept for p in self._state(v)["watermarks"]}
+        names = self._snapshots.names()
+        gone = [self._snapshots.file(v) for v in known if v not in kept]
+        # A folder that no snapshot lists may be of a writer at work, so with an age only old ones go.
+        loose = [f"{self.root}/{n}" for n in names if n.startswith(("data-", "marks-")) and n not in used]
+        gone += [path for path in loose if not older_than or changed(path) <= since]
+        claims = [self._snapshots.claim(v) for v in known if v not in kept]
+        for path in gone + claims:
             self._fs.delete(self._hadoop(path), True)
         return len(gone)
 
-
     def finalize(self, index: str, publish: Callable[[DataFrame], None] | None = None, older_than: float = 3600.0) -> dict[str, object]:
         """M8, M6: after a sync: compact, store the postings of the whole table under a new folder of ``index`` in ranges
         of terms, publish, prune. A failure to publish is reported, not raised, and what follows is done. ``index`` in the
