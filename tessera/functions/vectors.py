@@ -7,7 +7,9 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: R2: what a query gets in front.
@@ -109,3 +111,73 @@ def embed_query(query: str, backend: Backend) -> list[float]:
     v = np.asarray(backend.load()([QUERY_PREFIX + query]), dtype=np.float64)[0]
     size = np.linalg.norm(v)
     return (v / size if size > 0 else v).tolist()
+
+
+METRICS = ("cosine", "l2", "dot")
+
+
+def distance(vector: Column, query: list[float], metric: str = "cosine") -> Column:
+    """The distance by ``metric``: 1 - cosine, the squared Euclidean distance, or 1 - the inner product. Missing vectors,
+    for the cosine also zero ones, are at ``NO_DISTANCE`` by the cosine and infinitely far by the others.
+    """
+    if metric == "cosine":
+        return cosine_distance(vector, query)
+    literal = F.array(*[F.lit(float(v)) for v in query])
+    if metric == "dot":
+        found = 1 - dot(vector, literal)
+    elif metric == "l2":
+        off = F.zip_with(vector.cast("array<double>"), literal, lambda x, y: (x - y) * (x - y))
+        found = F.aggregate(off, F.lit(0.0), lambda s, v: s + v)
+    else:
+        raise ValueError(f"metric {metric!r} is none of {METRICS}")
+    return F.coalesce(found, F.lit(float("inf")))
+
+
+def batch_top_k(rows: DataFrame, key: tuple[str, ...], vector: str, asked: dict, k: int) -> DataFrame:
+    """(query_id, *key, distance): of each Arrow batch of ``rows`` the ``k`` nearest by the cosine distance to each of ``asked``
+    (id to vector), ties by ``key``. So few remain of many rows that a window ranks them.
+
+    A product of matrices picks them with a margin for its rounding; their distances are then summed component by component,
+    as ``pair_distance`` does, so both give the same numbers.
+    """
+    ids = list(asked)
+    if len({len(v) for v in asked.values()}) > 1:
+        raise ValueError("queries of one batch have vectors of different numbers of components")
+    queries = np.array([asked[i] for i in ids], np.float64).reshape(len(ids), len(asked[ids[0]]) if ids else 0)
+    sizes = np.sqrt(np.cumsum(queries * queries, axis=1)[:, -1]) if queries.size else np.zeros(len(ids))
+    id_type = "long" if all(isinstance(i, int) for i in ids) else "string"
+
+    def nearest(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).sort_by([(c, "ascending") for c in key])
+            own = table.column(vector).combine_chunks()
+            length = pa.compute.fill_null(pa.compute.list_value_length(own), -1).to_numpy()
+            fit = np.flatnonzero(length == queries.shape[1])
+            x = own.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), -1)
+            lengths = np.sqrt(np.cumsum(x * x, axis=1)[:, -1]) if x.size else np.zeros(len(fit))
+            for at in range(0, len(ids), 256):
+                part = slice(at, at + 256)
+                far = np.full((len(queries[part]), len(table)), NO_DISTANCE)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    cosine = (queries[part] @ x.T) / (sizes[part, None] * lengths[None, :])
+                far[:, fit] = np.where(np.isfinite(cosine), 1 - cosine, NO_DISTANCE)
+                least = np.partition(far, min(k, len(table)) - 1, axis=1)[:, min(k, len(table)) - 1] if len(table) else np.zeros(len(far))
+                q, v = np.nonzero(far <= least[:, None] + 1e-9)
+                place = np.searchsorted(fit, v)
+                known = (place < len(fit)) & (fit[np.minimum(place, max(0, len(fit) - 1))] == v) if len(fit) else np.zeros(len(v), bool)
+                exact = np.full(len(v), NO_DISTANCE)
+                for some in np.array_split(np.flatnonzero(known), max(1, known.sum() // 65536)):
+                    if len(some):
+                        both = np.cumsum(x[place[some]] * queries[part][q[some]], axis=1)[:, -1]
+                        norms = lengths[place[some]] * sizes[part][q[some]]
+                        exact[some] = np.where(norms > 0, 1 - both / np.where(norms > 0, norms, 1), NO_DISTANCE)
+                order = np.lexsort([v, exact, q])
+                q, v, exact = q[order], v[order], exact[order]
+                kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, v, exact = q[kept], v[kept], exact[kept]
+                columns = [pa.array([ids[at + n] for n in q], pa.int64() if id_type == "long" else pa.string()), *(table.column(c).take(pa.array(v)).combine_chunks() for c in key), pa.array(exact)]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", *key, "distance"])
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = f"query_id {id_type}, " + ", ".join(f"{c} {types[c]}" for c in key) + ", distance double"
+    return rows.select(*key, vector).mapInArrow(nearest, schema)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.vectors import NO_DISTANCE, cosine_distance, pair_distance, similarity
+from tessera.functions.vectors import NO_DISTANCE, batch_top_k, cosine_distance, distance, similarity
 
 KEY = ("document_name", "page_number", "chunk_index")
 #: BM25 over tokens of letters and digits, without stemming or stop words.
@@ -38,11 +39,16 @@ class SearchFilter:
 
 @dataclass(frozen=True)
 class SearchConfig:
-    """R8. ``rerank`` is R9: a function over the fused hits."""
+    """R8. ``rerank`` is R9: a function over the fused hits. ``exact_search`` compares all vectors even where an index is given;
+    ``metric`` must be the index's; ``embedding_strategy`` names how the query's vector was made, and is told to ``rerank`` only.
+    """
 
     rrf_k: int = 60
     fetch_multiplier: int = 3
     decay_rate: float = 0.0
+    metric: str = "cosine"
+    exact_search: bool = False
+    embedding_strategy: str = "baseline"
     rerank: Callable[[DataFrame], DataFrame] = field(default=lambda hits: hits)
 
 
@@ -71,9 +77,11 @@ def strict_limit(value: int, most: int = 50) -> int:
     return min(value, most)
 
 
-def vector_top_k(chunks: DataFrame, query: list[float], k: int, where: SearchFilter = SearchFilter(), key: tuple[str, ...] = KEY) -> DataFrame:
+def vector_top_k(
+    chunks: DataFrame, query: list[float], k: int, where: SearchFilter = SearchFilter(), key: tuple[str, ...] = KEY, metric: str = "cosine"
+) -> DataFrame:
     """The ``k`` nearest rows, exactly; ties by key. Filter, distance and limit are one pass: each task keeps k."""
-    return chunks.where(where.predicate()).withColumn("distance", cosine_distance(F.col("vector"), query)).orderBy("distance", *key).limit(k)
+    return chunks.where(where.predicate()).withColumn("distance", distance(F.col("vector"), query, metric)).orderBy("distance", *key).limit(k)
 
 
 def postings(chunks: DataFrame, key: tuple[str, ...] = KEY) -> tuple[DataFrame, DataFrame]:
@@ -121,6 +129,17 @@ def bm25_top_k(
     return kept.join(F.broadcast(best), list(key)).orderBy(F.desc("score"), *key).limit(k)
 
 
+class VectorChannel(Protocol):
+    """What ``hybrid_search`` asks of an index of vectors."""
+
+    def search(self, query: list[float], k: int, where: SearchFilter = SearchFilter(), *, metric: str = "cosine") -> DataFrame: ...
+
+
+def looked_up(chunks: DataFrame, found: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Rows of ``chunks`` whose keys are in ``found``, a top-k, with its other columns; what is gone from ``chunks`` is no hit."""
+    return chunks.join(F.broadcast(found), list(key))
+
+
 def decay_weight(memory_type: Column, timestamp: Column, now: Column, rate: float) -> Column:
     """exp(-rate x hours) for memories that decay; 1 for others, for a rate of 0 and for unreadable times."""
     if rate <= 0:
@@ -177,14 +196,22 @@ def hybrid_search(
     where: SearchFilter = SearchFilter(),
     config: SearchConfig = SearchConfig(),
     index: tuple[DataFrame, DataFrame] | None = None,
+    vectors: VectorChannel | None = None,
 ) -> DataFrame:
     """Hits of one query, as one lazy plan. The filter holds for both channels before their limits (F3); each
     fetches ``k`` x multiplier; the shown similarity is the cosine, the order that of the fusion. Without an index
-    (R10: ``index=False``) only the vector channel answers.
+    (R10: ``index=False``) only the vector channel answers. ``vectors`` (K1) is an approximate index, which answers for the
+    vector channel unless ``config.exact_search``.
     """
     fetch = k * config.fetch_multiplier
     slim = chunks.drop("page_raw_text")
-    nearest = ranked(vector_top_k(slim, vector, fetch, where), [F.col("distance"), *map(F.col, KEY)])
+    if vectors is None or config.exact_search:
+        near = vector_top_k(slim, vector, fetch, where, metric=config.metric)
+    else:
+        near = looked_up(slim, vectors.search(vector, fetch, where, metric=config.metric))
+    nearest = ranked(near, [F.col("distance"), *map(F.col, KEY)])
+    if config.metric != "cosine":  # what is shown is the cosine all the same
+        nearest = nearest.withColumn("distance", cosine_distance(F.col("vector"), vector))
     channels = [nearest]
     if index is not False:
         worded = bm25_top_k(slim, query, fetch, where, index)
@@ -196,36 +223,42 @@ def hybrid_search(
     return hit_columns(fused.orderBy(F.desc("rrf"), "seen"))
 
 
-def batch_search(chunks: DataFrame, queries: DataFrame, k: int, fetch: int | None = None, rrf_k: int = 60, block: int | None = None) -> DataFrame:
-    """Hits of many queries at once: ``queries`` has query_id, text, vector, a set whose size the caller knows to be
-    small, so it is broadcast. Rows stream by it; a (query, row) pair is a struct of a distance and a key until ranked,
-    and partial top-k per task keeps what is shuffled at queries x tasks x fetch.
-
-    With ``block``, ``queries`` may be large: each ``block`` of them by id is broadcast against all rows, and the words'
-    weights are joined as Spark chooses. The driver then holds the ids.
+def batch_search(
+    chunks: DataFrame,
+    queries: DataFrame,
+    k: int,
+    fetch: int | None = None,
+    rrf_k: int = 60,
+    block: int | None = None,
+    index: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """Hits of many queries at once: ``queries`` has query_id, text, vector. Vectors are compared in one pass over the rows for
+    ``block`` queries (8,192 if not said, whose vectors are the bound of what the driver and a task hold of them), more
+    queries in more passes, dealt by a hash of the id: each Arrow batch of rows meets them as one product of matrices and
+    keeps the ``fetch`` nearest of each. Words meet in one join of the terms that are asked for with their postings,
+    stored ones (``index``) or those of the rows made on the way.
     """
     fetch = fetch or 3 * k
-    parts = [queries]
-    if block:
-        ids = sorted(r["query_id"] for r in queries.select("query_id").distinct().collect())
-        parts = [queries.where(F.col("query_id").between(ids[a], ids[min(a + block, len(ids)) - 1])) for a in range(0, len(ids), block)] or parts
-    nearest = reduce(DataFrame.unionByName, [_nearest_of_each(chunks, part, fetch) for part in parts])
-    few = F.broadcast if not block else lambda rows: rows
-    terms, stats = postings(chunks)
+    block = block or 8192
+    passes = max(1, -(-queries.count() // block))
+    group = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+    nearest = reduce(DataFrame.unionByName, [_nearest_of_each(chunks, queries.where(group == n), fetch) for n in range(passes)])
     asked = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)))).alias("term"))
-    df = terms.join(few(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms, stats = index or postings(chunks)
+    wanted = terms.join(asked.select("term").distinct(), "term", "left_semi")
+    # A term's rows are few beside all rows' terms: what is joined twice is written down once by the exchange on term.
+    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
     weights = asked.join(df, "term").join(F.broadcast(stats), F.lit(True), "inner")
-    scores = terms.join(few(weights), "term").groupBy("query_id", *KEY).agg(F.round(F.sum(part), 9).alias("score"))
+    scores = wanted.join(weights, "term").groupBy("query_id", *KEY).agg(F.round(F.sum(part), 9).alias("score"))
     worded = _top_per_query(scores, [F.desc("score"), *map(F.col, KEY)], fetch).drop("score")
     return fuse([nearest.drop("distance"), worded], k, rrf_k, group=("query_id",))
 
 
 def _nearest_of_each(chunks: DataFrame, queries: DataFrame, fetch: int) -> DataFrame:
-    pairs = chunks.select(*KEY, "vector").join(F.broadcast(queries.select("query_id", F.col("vector").alias("asked"))), F.lit(True), "inner")
-    near = pairs.select("query_id", *KEY, pair_distance(F.col("vector"), F.col("asked")).alias("distance"))
-    return _top_per_query(near, [F.col("distance"), *map(F.col, KEY)], fetch)
+    asked = {r["query_id"]: r["vector"] for r in queries.select("query_id", "vector").where("vector IS NOT NULL").collect()}
+    return _top_per_query(batch_top_k(chunks, KEY, "vector", asked, fetch), [F.col("distance"), *map(F.col, KEY)], fetch)
 
 
 def _top_per_query(rows: DataFrame, order: list[Column], fetch: int) -> DataFrame:

@@ -9,6 +9,9 @@ from tessera.functions import text as tx
 from tessera.functions.vectors import HashingBackend, embed_query
 from tessera.operators import catalog, chunking, retrieval
 from tessera.operators.retrieval import SearchConfig, SearchFilter
+from tessera.operators.scratch import scratch
+from tessera.operators.vector_index import build_vector_index
+from tessera.operators.word_index import WordIndex
 from tessera.plans.tables import CHUNKS, DIRECTORIES, Registry, chunk_rows, registrations, table
 
 registry = Registry()
@@ -122,6 +125,44 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"), F.sum("length").alias("lengths"))
 
 
+@registry.add(search_sql(20, 20) + " SELECT document_name, page_number, chunk_index, round(1 - distance, 4) AS similarity FROM near")
+def vector_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vector_topk`` by an index of all rows, all of whose cells are read."""
+    _, vector = asked(spark, sf_dir)
+    index = build_vector_index(chunk_rows(spark, sf_dir), scratch(spark, "vector-index"))
+    found = index.search(vector, 20, exact_search=True)
+    return found.select(*KEY, retrieval.similarity(F.col("distance")).alias("similarity"))
+
+
+def changed_words(spark: SparkSession, sf_dir: str) -> WordIndex:
+    """Stored postings of all rows: a first segment in which every fourth document has another text, then one with its own
+    text that replaces it.
+    """
+    rows = chunk_rows(spark, sf_dir)
+    own = F.pmod(F.xxhash64("collection", "document_name"), F.lit(4)) == 0
+    index = WordIndex(spark, scratch(spark, "word-index"))
+    index.add(rows.withColumn("text", F.when(own, F.concat(F.lit("old "), "text")).otherwise(F.col("text"))))
+    changed = rows.where(own)
+    index.add(changed, changed.select("collection", "document_name"))
+    return index
+
+
+@registry.add(search_sql(30, 30) + " SELECT document_name, page_number, chunk_index, score FROM worded")
+def bm25_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bm25_topk`` by stored postings, of which a part was replaced, with blocks that are skipped by their bounds."""
+    words, _ = asked(spark, sf_dir)
+    return changed_words(spark, sf_dir).top_k(words, 30).hits
+
+
+@registry.add(search_sql(30, 30, "page_type = 'code'") + " SELECT document_name, page_number, chunk_index, score FROM worded")
+def bm25_topk_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bm25_topk_filtered`` by the segments merged into one."""
+    words, _ = asked(spark, sf_dir)
+    index = changed_words(spark, sf_dir)
+    index.merge()
+    return index.top_k(words, 30, SearchFilter(page_type="code")).hits
+
+
 @registry.add(search_sql(10, 30) + HITS)
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R14, J1, J16, W1, A9, K4, R5, R6, P2, P6."""
