@@ -22,7 +22,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-_CACHE: list = [_powers(1 << 16)]
+#: A text is looked at in pieces of about so many bytes, so that what a worker keeps doesn't grow with the longest one.
+PIECE = 1 << 18
+_POWERS = _powers(PIECE + 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -32,17 +34,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: bytes, lower: bool = True) -> np.ndarray:
-    """A hash of each word (run of bytes but space and 0x09-0x0D) of UTF-8 ``data``, A-Z lowered if asked."""
+def word_hashes(data: bytes, lower: bool = True, piece: int = PIECE) -> np.ndarray:
+    """A hash of each word (run of bytes but space and 0x09-0x0D) of UTF-8 ``data``, A-Z lowered if asked; the same however
+    the text is cut into pieces, which end at white space. A word longer than a piece has powers of its own.
+    """
     raw = np.frombuffer(data, np.uint8)
+    if len(raw) <= piece:
+        return _hashes(raw, lower)
+    parts, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + piece)
+        while end < len(raw) and not _SPACE[raw[end]]:  # on to the next white space, some bytes at a time
+            step = np.flatnonzero(_SPACE[raw[end : end + 4096]])
+            end = end + int(step[0]) if len(step) else min(len(raw), end + 4096)
+        parts.append(_hashes(raw[at:end], lower))
+        at = end
+    return np.concatenate(parts)
+
+
+def _hashes(raw: np.ndarray, lower: bool) -> np.ndarray:
     if not len(raw):
         return np.zeros(0, np.uint64)
     gap = np.concatenate([[True], _SPACE[raw], [True]])
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = edge[0::2], edge[1::2]
-    if len(_CACHE[0][0]) < len(raw) + 1:
-        _CACHE[0] = _powers(2 * len(raw) + 1)
-    up, down = _CACHE[0]
+    up, down = _POWERS if len(_POWERS[0]) > len(raw) else _powers(len(raw) + 1)
     codes = (_LOWER[raw] if lower else raw).astype(np.uint64) + np.uint64(1)
     total = np.concatenate([[np.uint64(0)], np.cumsum(codes * up[: len(raw)], dtype=np.uint64)])
     return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _ODD)

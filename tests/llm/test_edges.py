@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import _common, fingerprints, language_id, language_model, lattice_dedup, mixing, ngram_join, packing, sharding, toxicity
+from tessera.llm import _common, _words, fingerprints, language_id, language_model, lattice_dedup, mixing, ngram_join, packing, sharding, toxicity
 from tests.llm.test_operators import EDGES, docs, reachable, shingle_set
 
 LARGE = 1152921504606846977
@@ -46,7 +46,7 @@ def test_forest_finds_all_links_of_a_large_group(spark):
     texts += [" ".join(base[:60] + [f"y{k}-{j}" for j in range(60)]) for k in range(60)]
     sets = [shingle_set(t) for t in texts]
     links = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    rows = {r["id"]: r for r in ngram_join.link_documents(docs(spark, texts), rows_per_block=16, company=3).collect()}
+    rows = {r["id"]: r for r in ngram_join.link_documents(docs(spark, texts), rows_per_block=16).collect()}
     true = [0] * len(texts)
     for pair in links:
         for k in pair:
@@ -55,15 +55,37 @@ def test_forest_finds_all_links_of_a_large_group(spark):
     assert {k: r["class_id"] for k, r in rows.items()} == reachable(links, range(len(texts)))
 
 
-def test_prefixes_shorten_to_the_recall_and_on_where_few_meet(spark):
-    values = {1: [1, 2, 3, 4, 5, 6, 7, 8], 2: [1, 2, 3, 4, 5, 6, 9, 9], 3: [1, 2, 3, 4, 5, 0, 0, 0], 4: [1, 2, 3, 0, 0, 0, 0, 0], 5: [9] * 8, 6: [9] * 8, 7: [9] * 7 + [1], 8: [9] * 5 + [1] * 3}
-    entries = spark.createDataFrame([(0, bytearray(np.array(v, "<u2").tobytes()), k) for k, v in values.items()], "tree int, label binary, node long")
-    groups = {}
-    for r in ngram_join.trie_nodes(entries.coalesce(1), 8, 6, 4, 3).collect():
-        groups.setdefault(r["key"], set()).add(r["node"])
-    met = {frozenset(g) for g in groups.values() if len(g) > 1}
-    # At 6 values 1 and 2 meet, and 5, 6, 7; 3 joins 1 and 2 at 5, as three are no more than the company; 8 would make four.
-    assert met == {frozenset({1, 2}), frozenset({5, 6, 7}), frozenset({1, 2, 3})}
+def test_prefixes_are_shortened_to_the_recall_but_not_where_they_are_crowded(spark):
+    values = {1: [1, 2, 3, 4, 5, 6, 7, 8], 2: [1, 2, 3, 4, 5, 6, 9, 9], 3: [1, 2, 3, 4, 5, 0, 0, 0], 4: [1, 2, 3, 0, 0, 0, 0, 0]}
+    values |= {5: [9] * 8, 6: [9] * 8, 7: [9] * 7 + [1], 8: [9] * 5 + [1] * 3, 9: [9] * 6 + [1, 1], 10: [9] * 6 + [1, 2]}
+    entries = spark.createDataFrame([(t, bytearray(np.array(v, "<u2").tobytes()), k) for k, v in values.items() for t in (0, 1)], "tree int, label binary, node long")
+
+    def met(at_once, crowd, partitions):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", at_once)
+        try:
+            groups = {}
+            for r in ngram_join.shortened(ngram_join.trie_nodes(entries, 8, 6, at_once), 3, crowd).collect():
+                groups.setdefault(r["root"], []).append(r["id"])
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        return sorted(sorted(g) for g in groups.values())
+
+    # At 6 values 1 and 2 meet, and 5, 6, 7, 9, 10; five are a crowd, which 7 values part into 5, 6, 7 and 9, 10, and 8 into 5, 6.
+    for at_once, partitions in ((1 << 20, "8"), (3, "8"), (1, "1"), (4, "2")):
+        assert met(at_once, 5, partitions) == sorted([[1, 2], [5, 6, 7, 9, 10]] * 2)
+        assert met(at_once, 4, partitions) == sorted([[1, 2], [5, 6, 7], [9, 10]] * 2)
+        assert met(at_once, 2, partitions) == sorted([[1, 2], [5, 6], [9, 10]] * 2)
+
+
+def test_words_of_pieces_are_those_of_the_whole():
+    rng = random.Random(5)
+    data = "".join(rng.choice("ab \n\té" + "xyz" * 5) for _ in range(3000)).encode() + b"long" * 500 + b" end "
+    whole = _words.word_hashes(data)
+    assert len(whole) == len(data.split()) and len(set(whole.tolist())) == len(set(data.lower().split()))
+    for piece in (1, 2, 7, 100, 2999):
+        assert (_words.word_hashes(data, piece=piece) == whole).all()
 
 
 def test_windows_of_a_long_text_change_nothing():
