@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.store import without_documents
 from tessera.schema import migrate
+from tessera.sources.listing import deletions_safe
 
 INGEST, REFRESH, UNCHANGED, DELETE = "ingest", "refresh", "unchanged", "delete"
 #: What stands for the hash of a file that can't be read.
@@ -39,6 +40,12 @@ def plan(listing: DataFrame, files: DataFrame, deletions_safe: bool = True) -> D
     return both.withColumn("action", action).where(F.col("action").isNotNull())
 
 
+def without_unsure_deletes(planned: DataFrame, incomplete: DataFrame, root: str) -> DataFrame:
+    """The plan without deletes under folders of ``root`` that a listing couldn't read (``incomplete``); others stay."""
+    deletes = deletions_safe(planned.where(F.col("action") == DELETE), incomplete, root)
+    return planned.where(F.col("action") != DELETE).unionByName(deletes)
+
+
 def totals(planned: DataFrame, failed: bool = False) -> DataFrame:
     """Files by action, in one row; ``failed`` too of a plan that was carried out."""
     named = [(INGEST, "ingested"), (REFRESH, "refreshed"), (DELETE, "deleted"), (UNCHANGED, "skipped"), *([("failed", "failed")] if failed else [])]
@@ -116,6 +123,23 @@ def one_file(planned: DataFrame, path: str) -> DataFrame:
     return planned.where((F.col("path") == path) & F.col("action").isin(INGEST, REFRESH))
 
 
+def by_path(rows: DataFrame, folder: str, buckets: int = 64) -> None:
+    """``rows`` (a registry or a listing) stored for ``plan_one``: partitioned by a hash of the path, sorted by it."""
+    bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
+    told = rows.withColumn("bucket", bucket).repartition(buckets, "bucket").sortWithinPartitions("bucket", "path")
+    told.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+
+def plan_one(listing: DataFrame, files: DataFrame, path: str, buckets: int = 64) -> DataFrame:
+    """``plan`` of one path, of a listing and a registry that ``by_path`` stored: both scans read the path's bucket alone,
+    in it the row groups that may hold the path, before anything is joined.
+    """
+    bucket = F.pmod(F.xxhash64(F.lit(path)), F.lit(buckets)).cast("int")
+    at = listing.sparkSession.range(1).select(bucket.alias("b")).first()["b"]
+    near = [rows.where((F.col("bucket") == at) & (F.col("path") == path)).drop("bucket") for rows in (listing, files)]
+    return one_file(plan(*near), path)
+
+
 def sweep_finalizes(scans: DataFrame) -> DataFrame:
     """Of scans (database, collection, seq), one finalize for each database, carried by its first collection."""
     return scans.groupBy("database").agg(F.min_by("collection", F.struct("seq", "collection")).alias("collection"), F.count(F.lit(1)).alias("scans"))

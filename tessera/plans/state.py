@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import urls
 from tessera.operators import evaluation, registry as reg, retrieval, sitemap, store, sync, transcripts
+from tessera.operators.scratch import scratch
 from tessera.plans.tables import (
     ARCHIVED,
     CHUNKS,
@@ -21,6 +22,8 @@ from tessera.plans.tables import (
     table,
 )
 from tessera.schema import migrate
+from tessera.sources.backfill import Backfilled, backfill, read_transcripts
+from tessera.sources.text_files import write_text_files
 
 registry = Registry()
 NOW = "2026-03-01T00:00:00+00:00"
@@ -534,6 +537,46 @@ def backfill_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.backfill_totals(transcripts.backfill_run(planned, 20, errors), errors=True)
 
 
+def conversation_files(spark: SparkSession, sf_dir: str) -> str:
+    """Every conversation as a transcript file in the folder of one of six directories, the last not registered."""
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    lines = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"))
+    folder = F.concat(F.lit("-w-src"), (F.col("conv_id") % 6).cast("string"))
+    path = F.concat(folder, F.lit("/"), F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lit("-x.jsonl"))
+    root = scratch(spark, "transcripts")
+    write_text_files(lines.select(path.alias("path"), F.concat(F.array_join("lines.line", "\n"), F.lit("\nno json\n")).alias("content")), root)
+    return root
+
+
+@registry.add(f"""{ENTRIES}, {DIRECTORIES.strip().removeprefix("WITH ")}, lines AS (
+    SELECT conv_id, count(*) + 1 AS n_lines, coalesce(string_agg(entry, chr(10) || chr(10) ORDER BY turn), '') AS text FROM entries GROUP BY conv_id
+)
+SELECT '-w-src' || (conv_id % 6) AS folder, lpad(CAST(conv_id AS VARCHAR), 8, '0') || '-x' AS session_id, n_lines,
+       CASE WHEN x.collection IS NULL THEN 'skipped_unregistered' WHEN conv_id % 3 = 0 THEN 'skipped_existing' WHEN text = '' THEN 'skipped_empty' ELSE 'ingested' END AS outcome,
+       CASE WHEN x.collection IS NOT NULL THEN 'session-' || lpad(CAST(conv_id AS VARCHAR), 8, '0') END AS document_name
+FROM lines LEFT JOIN directories x ON replace(x.directory, '/', '-') = '-w-src' || (conv_id % 6)""")
+def backfill_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as transcript files by the sink, read again, and what becomes of each."""
+    found = backfilled(spark, sf_dir).outcomes
+    return found.select("folder", "session_id", "n_lines", "outcome", F.when(F.col("outcome") != "skipped_unregistered", F.col("document_name")).alias("document_name"))
+
+
+def backfilled(spark: SparkSession, sf_dir: str) -> Backfilled:
+    sessions = read_transcripts(spark, conversation_files(spark, sf_dir))
+    given = scratch(spark, "sessions")
+    sessions.write.parquet(given)
+    session = F.lpad(F.col("conv_id").cast("string"), 8, "0")
+    there = table(spark, sf_dir, "conversations").where("conv_id % 3 = 0").select("conv_id").distinct()
+    there = there.select(F.concat(F.lit("src"), F.col("conv_id") % 6, F.lit("-captures")).alias("collection"), transcripts.document_of_session(session).alias("document_name"))
+    return backfill(spark.read.parquet(given), registrations(spark, sf_dir), there, F.lit("2026-03-01 00:00:00"))
+
+
+@registry.add()
+def backfill_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that a backfill of all conversations puts in. Tested against its parts."""
+    return backfilled(spark, sf_dir).chunks.select("collection", "document_name", "page_number", "chunk_index", "text")
+
+
 @registry.add("""WITH a AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, 'p' || event_id DESC) AS n FROM events)
 SELECT 'p' || event_id AS path FROM a WHERE n > 1 OR epoch_us(TIMESTAMP '2024-04-10 00:00:00') // 1000000 - epoch_us(ts) // 1000000 > 90 * 86400""")
 def archives_to_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
