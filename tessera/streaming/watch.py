@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.window import Window
 
 BATCH = "database string, collection string, path string, deleted boolean, bulk boolean, flushed_ms long"
+BATCH_COLUMNS = [c.split()[0] for c in BATCH.split(", ")]
 STATE = "first_ms long, last_ms long, paths array<string>, deleted array<boolean>, seqs array<long>"
 
 
@@ -68,30 +68,45 @@ def debounced(events: DataFrame, quiet_ms: int = 1000, longest_ms: int = 5000, b
 
 
 def debounced_batch(events: DataFrame, quiet_ms: int = 1000, longest_ms: int = 5000, bulk: int = 50) -> DataFrame:
-    """The same batches of a finished table of events, to replay a log. A key's events are folded in order by an aggregate over
-    sessions: runs without a gap of ``quiet_ms``, found by a window, are cut at ``longest_ms`` inside only.
+    """The same batches of a finished table of events, to replay a log. Each key's events stream in order of (ts, seq) past the
+    batch that is open, of which a task holds at most ``bulk`` + 1 paths; no row has more than one event or path.
     """
-    by_key = Window.partitionBy("database", "collection").orderBy("ts", "seq")
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    rows = events.select("database", "collection", "path", "deleted", "seq", "ts", ms.alias("ms"))
-    fresh = F.coalesce((F.col("ms") - F.lag("ms").over(by_key) >= quiet_ms).cast("int"), F.lit(1))
-    runs = rows.withColumn("run", F.sum(fresh).over(by_key))
-    session = runs.groupBy("database", "collection", "run").agg(F.sort_array(F.collect_list(F.struct("ms", "seq", "path", "deleted"))).alias("events"))
-    start = F.struct(F.lit(None).cast("long").alias("first"), F.array().cast("array<struct<first:long,ms:long,seq:long,path:string,deleted:boolean>>").alias("out"))
-
-    def put(a, e):
-        first = F.when(a["first"].isNull() | (e["ms"] >= a["first"] + longest_ms), e["ms"]).otherwise(a["first"])
-        row = F.struct(first.alias("first"), e["ms"].alias("ms"), e["seq"].cast("long").alias("seq"), e["path"].alias("path"), e["deleted"].alias("deleted"))
-        return F.struct(first.alias("first"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    cut = session.select("database", "collection", F.explode(F.aggregate("events", start, put)["out"]).alias("e")).select("database", "collection", "e.*")
-    key = ["database", "collection", "first"]
-    last = cut.groupBy(*key, "path").agg(F.max_by("deleted", F.struct("ms", "seq")).alias("deleted"), F.max("ms").alias("ms"))
-    sizes = last.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("ms").alias("last"))
-    due = F.least(F.col("last") + quiet_ms, F.col("first") + longest_ms)
-    joined = last.drop("ms").join(sizes, key).withColumn("bulk", F.col("n") > bulk).withColumn("flushed_ms", due)
-    wide = joined.where("bulk").select("database", "collection", F.lit(None).cast("string").alias("path"), F.lit(False).alias("deleted"), "bulk", "flushed_ms").distinct()
-    return joined.where("NOT bulk").select(*wide.columns).unionByName(wide)
+
+    def fold(batches):
+        key = None
+        first = last = 0
+        paths: dict[str, bool] = {}
+        out: list[tuple] = []
+
+        def close() -> None:
+            if key is not None:
+                at, many = min(last + quiet_ms, first + longest_ms), len(paths) > bulk
+                out.extend([(*key, None, False, True, at)] if many else [(*key, path, gone, False, at) for path, gone in paths.items()])
+                paths.clear()
+
+        def told() -> pa.RecordBatch:
+            types = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int64()]
+            made = pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], t) for n, t in enumerate(types)], names=BATCH_COLUMNS)
+            out.clear()
+            return made
+
+        for batch in batches:
+            for database, collection, path, gone, ms in zip(*(c.to_pylist() for c in batch.columns)):
+                own = (database, collection)
+                if own != key or ms >= min(last + quiet_ms, first + longest_ms):
+                    close()
+                    key, first = own, ms
+                last = ms
+                if path in paths or len(paths) <= bulk:
+                    paths[path] = bool(gone)
+            yield told()
+        close()
+        yield told()
+
+    ms = F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")
+    rows = events.select("database", "collection", "path", "deleted", ms, "seq")
+    ordered = rows.repartition("database", "collection").sortWithinPartitions("database", "collection", "ms", "seq")
+    return ordered.select("database", "collection", "path", "deleted", "ms").mapInArrow(fold, BATCH)
 
 
 def last_event_wins(events: DataFrame) -> DataFrame:
