@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ from tessera.plans.tables import (
 )
 from tessera.schema import migrate
 from tessera.sources.backfill import Backfilled, backfill, read_transcripts
+from tessera.sources.crawl import crawl, discovery_starts, fetched_from, ingest_urls
 from tessera.sources.text_files import write_text_files
 
 registry = Registry()
@@ -447,6 +450,51 @@ def sitemap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitemap.entries(rows.select(F.concat(F.lit("s"), F.col("order").cast("string")).alias("url"), whole.alias("xml"), "order")).select("loc", "lastmod")
 
 
+def stored_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of one host (url, html) with its robots.txt, an index of indexes that also names itself, and sitemaps of forty pages
+    each, the last pages of one being the first of the next.
+    """
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("https://site.test/p"), F.col("page_id").cast("string")).alias("url"), "html", F.col("page_id").alias("at"))
+    part, over = F.floor(F.col("at") / 40), F.when((F.col("at") % 40 < 3) & (F.col("at") >= 40), F.floor(F.col("at") / 40) - 1)
+    listed = pages.select("url", "at", F.explode(F.array_compact(F.array(part, over))).alias("part"))
+    nodes = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "url"))), lambda n: F.concat(F.lit("<url><loc>"), n["url"], F.lit("</loc></url>"))), "")
+    wrapped = lambda kind, inner: F.concat(F.lit(f"<{kind} xmlns=\"http://www.sitemaps.org/schemas/sitemap/0.9\">"), inner, F.lit(f"</{kind}>"))
+    place = lambda name, n: F.concat(F.lit(f"https://site.test/{name}"), n.cast("string"), F.lit(".xml"))
+    maps = listed.groupBy("part").agg(nodes.alias("nodes")).select(place("map", F.col("part")).alias("url"), wrapped("urlset", F.col("nodes")).alias("html"), "part")
+    named = lambda url: F.concat(F.lit("<sitemap><loc>"), url, F.lit("</loc></sitemap>"))
+    many = lambda rows: F.array_join(F.transform(F.sort_array(rows), lambda r: named(r["url"])), "")
+    groups = maps.groupBy(F.floor(F.col("part") / 5).alias("group")).agg(many(F.collect_list(F.struct("part", "url"))).alias("nodes"))
+    groups = groups.select(place("group", F.col("group")).alias("url"), wrapped("sitemapindex", F.concat("nodes", named(F.lit("https://site.test/index.xml")))).alias("html"), "group")
+    index = groups.agg(many(F.collect_list(F.struct("group", "url"))).alias("nodes"))
+    index = index.select(F.lit("https://site.test/index.xml").alias("url"), wrapped("sitemapindex", F.concat(named(F.lit("https://site.test/gone.xml")), "nodes")).alias("html"))
+    robots = spark.createDataFrame([("https://site.test/robots.txt", "User-agent: *\nSitemap: https://site.test/index.xml\n")], "url string, html string")
+    return reduce(DataFrame.unionByName, [rows.select("url", "html") for rows in (pages, maps, groups, index, robots)])
+
+
+@registry.add("""WITH p AS (SELECT page_id, page_id // 40 - CASE WHEN page_id % 40 < 3 AND page_id >= 40 THEN 1 ELSE 0 END AS part FROM pages)
+SELECT 'https://site.test/p' || page_id AS loc, CAST(part // 5 AS BIGINT) AS grp, CAST(part % 5 AS BIGINT) AS map FROM p""")
+def crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of a site found from its robots.txt through three levels of sitemaps with a cycle; where each is first listed."""
+    start = discovery_starts(spark.createDataFrame([("https://site.test/somewhere",)], "url string"))
+    found = crawl(start, fetched_from(stored_site(spark, sf_dir)))
+    # A place is that of robots.txt, of the index in it, of the group in the index behind one that is gone, and of the map in the group.
+    return found.select("loc", (F.col("place")[2] - 1).alias("grp"), F.col("place")[3].alias("map"))
+
+
+@registry.add("""WITH p AS (SELECT page_id, 'https://site.test/p' || page_id AS loc FROM pages)
+SELECT loc, page_id % 3 <> 0 AS kept, page_id % 4 = 0 AS skip FROM p""")
+def ingested_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each page of a stored site whose catalog has every fourth."""
+    web = stored_site(spark, sf_dir)
+    at = F.expr("try_cast(regexp_extract(loc, 'p([0-9]+)$', 1) AS BIGINT)")
+    found = crawl(discovery_starts(spark.createDataFrame([("https://site.test/",)], "url string")), fetched_from(web))
+    pages = found.withColumn("lastmod", F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    known = found.where(at % 4 == 0).select(F.col("loc").alias("document_name"), F.lit("web").alias("collection"), F.lit("2026-02-01 00:00:00").alias("ingestion_timestamp"))
+    rows = sitemap.freshness(pages, known, "web").select("loc", (at % 3 != 0).alias("kept"), "skip")
+    site = ingest_urls(rows, fetched_from(web), F.lit("2026-03-01 00:00:00"))
+    return site.outcomes.where("error IS NULL").select("loc", "kept", "skip")
+
+
 # transcripts
 
 

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.code import BRACED, CHARACTERS, brace_sections
 from tessera.functions import text as tx
 from tessera.functions.html import html_sections, html_to_markdown
 from tessera.functions.latex import escape, tables, tabular
@@ -201,7 +202,7 @@ def no_recognition(content: bytes) -> list[str]:
 def extract_pages(found: DataFrame, recognize: Callable[[bytes], list[str]] = no_recognition, more: dict[str, tuple[Extractor, str]] | None = None) -> DataFrame:
     """Pages of files (path, content); the suffix says how a file is read, unknown ones are left out.
 
-    Plain, Markdown, LaTeX and HTML texts are only decoded in Python and split in the JVM. ``recognize`` gives the texts
+    Plain, Markdown, LaTeX and HTML texts, and code of languages with braces, are only decoded in Python and split in the JVM. ``recognize`` gives the texts
     of an image's pages; ``more`` adds or replaces handlers by suffix. A file that can't be parsed has no pages and its
     reason in ``error``. Columns: document_name, document_path, page_number, total_pages, text, page_type, source_format, error.
     """
@@ -220,6 +221,8 @@ def extract_pages(found: DataFrame, recognize: Callable[[bytes], list[str]] = no
                     if kind in handlers:
                         make, page_type = handlers[kind]
                         sections = make(path, content)
+                    elif handler == "code" and kind in BRACED:
+                        whole, page_type = decoded(content), "code"
                     elif handler == "code":
                         sections, page_type = code_sections(path, content), "code"
                     elif handler == "image":
@@ -236,12 +239,14 @@ def extract_pages(found: DataFrame, recognize: Callable[[bytes], list[str]] = no
     markdown = html_to_markdown(F.col("whole"))
     is_html, is_text = F.col("handler") == "html", F.col("whole").isNotNull()
     html = pages_of_sections(_named(made.where(is_html & is_text).withColumn("whole", markdown)), html_sections(F.col("whole")))
-    texts = pages_of_sections(_named(made.where(~is_html & is_text)), tx.sections(F.col("whole"), kind))
+    braced = F.col("handler") == "code"
+    texts = pages_of_sections(_named(made.where(~is_html & ~braced & is_text)), tx.sections(F.col("whole"), kind))
+    code = pages_of_sections(_named(made.where(braced & is_text)), brace_sections(F.col("whole"), F.col("source_format").isin(*CHARACTERS)), "code")
     other = made.where(~is_text)
     parts = pages_of_sections(_named(other), F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array(F.lit(""))))
     parts = parts.withColumns({"page_type": F.col("kept_type"), "total_pages": F.size("parts")}).where((F.col("text") != "") | F.col("error").isNotNull())
     columns = ["document_name", "document_path", "page_number", "total_pages", "text", "page_type", "source_format", "error"]
-    return html.select(columns).unionByName(texts.select(columns)).unionByName(parts.select(columns))
+    return html.select(columns).unionByName(texts.select(columns)).unionByName(code.select(columns)).unionByName(parts.select(columns))
 
 
 def _named(rows: DataFrame) -> DataFrame:

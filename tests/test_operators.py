@@ -172,7 +172,7 @@ def test_extract(spark, tmp_path):
         by.setdefault(row["document_name"], []).append(row["text"])
         assert row["page_number"] == len(by[row["document_name"]]) and (row["error"] or row["total_pages"] >= row["page_number"])
     assert by["a.docx"] == ["pre", "H\nbody"] and by["d.py"] == ["import os\n# c", "@dec\ndef f():\n    pass", "x = 1", "class A: pass"]
-    assert by["e.go"] == ["a", "b\n"] and by["g.txt"] == ["café"] and by["h.html"] == ["# A\n\nx"]
+    assert by["e.go"] == ["a\nb"] and by["g.txt"] == ["café"] and by["h.html"] == ["# A\n\nx"]
     assert r"x & y \\" in by["b.xlsx"][0] and r" & 3 \\" in by["b.xlsx"][0] and r"1 & 2 \\" in by["f.csv"][0]
     assert by["c.pptx"] == ["# T\n\nb\\_c"] and "i.exe" not in by
     assert [r["error"][:10] for r in rows if r["error"]] == ["BadZipFile"]
