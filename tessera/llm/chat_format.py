@@ -64,7 +64,7 @@ def render_dialogues(
 
     Turns are in order of turn, then of the MD5 of speaker and text; repeated rows are repeated turns. A null text is
     empty; a null speaker is a participant named ``unknown``; a null turn counts as turn -1; rows of a null conversation
-    are one dialogue. A dialogue of context turns only has no participant and gives no row; an empty table gives an
+    are one dialogue. Texts of any length are one turn's, whole. A dialogue of context turns only has no participant and gives no row; an empty table gives an
     empty one. Other columns aren't read. Returns conv_id, perspective, part, start, n_turns, n_target_turns, text,
     mask_spans, target_chars.
     """
@@ -96,65 +96,6 @@ def render_dialogues(
     return _told(views.select(F.col("conv.id").alias("conv_id"), "perspective", "part", "start", F.size("turns").alias("n_turns"), shown.alias("shown")))
 
 
-def rotate_dialogues(
-    turns: DataFrame,
-    conv_col: str = "conv_id",
-    turn_col: str = "turn",
-    speaker_col: str = "role",
-    text_col: str = "text",
-    context: tuple[str, ...] = ("system",),
-    rows_per_part: int = 64,
-    slots: int = 32,
-) -> DataFrame:
-    """As ``render_dialogues``, in windows that stand by themselves: parts of ``rows_per_part`` turns, each with its context,
-    whose ``mask_spans`` count its own characters. Texts and names aren't escaped.
-
-    Ties, null turns and a null conversation are cut like other rows. A later part starts with the context turns of all
-    earlier parts, each different one once; ``n_turns`` counts a part's own. A part has a rendering for each participant
-    who speaks in it. Turns of one number are dealt to parts by ``slots`` of a hash, and are in order of speaker and text
-    within a part; so positions come from counts, and no task ranks a whole dialogue.
-    """
-    rows = _said(turns, conv_col, turn_col, speaker_col, text_col).withColumn("slot", F.pmod(F.xxhash64("speaker", "said"), F.lit(slots)))
-    placed = _placed(rows, rows_per_part, ["speaker", "said"])
-    placed = placed.select("conv", "part", F.struct("turn", "speaker", F.col("said").alias("text")).alias("said"))
-
-    parts = placed.groupBy("conv", "part").agg(F.sort_array(F.collect_list("said")).alias("own"))
-    carried = placed.where(F.col("said.speaker").isin(*context)).groupBy("conv", "said.speaker", "said.text")
-    carried = carried.agg(F.min(F.struct("part", "said")).alias("seen")).select("conv", F.col("seen.part").alias("since"), "seen.said")
-    carried = carried.join(parts.where("part > 0").select("conv", "part"), "conv").where("since < part")
-    carried = carried.groupBy("conv", "part").agg(F.sort_array(F.collect_list("said")).alias("carried"))
-    whole = parts.join(carried, ["conv", "part"], "left")
-    speakers = F.filter(F.array_distinct(F.col("own.speaker")), lambda s: ~s.isin(*context))
-    views = whole.select(
-        F.col("conv.id").alias("conv_id"),
-        "part",
-        F.size("own").alias("n_turns"),
-        F.when(F.col("carried").isNull(), F.col("own")).otherwise(F.concat("carried", "own")).alias("turns"),
-        F.explode(speakers).alias("perspective"),
-    )
-    return _rendered(views, context)
-
-
-def _rendered(views: DataFrame, context: tuple[str, ...]) -> DataFrame:
-    """The text and mask of each (conv_id, perspective, part, n_turns, turns), each part by itself."""
-
-    def head(t):
-        return (
-            F.when(t["speaker"] == F.col("perspective"), F.lit(ASSISTANT))
-            .when(t["speaker"].isin(*context), F.lit("<|system|>\n"))
-            .otherwise(F.concat(F.lit("<|user name="), t["speaker"], F.lit("|>\n")))
-        )
-
-    end = F.lit("<|end|>")
-    shown = F.transform(
-        "turns",
-        lambda t: F.struct(
-            head(t).alias("head"), F.concat(t["text"], end).alias("body"), (t["speaker"] == F.col("perspective")).alias("target")
-        ),
-    )
-    return _told(views.withColumn("shown", shown).withColumn("start", F.lit(0).cast("long"))).drop("start")
-
-
 def _told(views: DataFrame) -> DataFrame:
     """The text and mask of each (conv_id, perspective, part, start, n_turns, shown), whose text begins at ``start``."""
     start = F.struct(F.col("start").alias("at"), F.array().cast("array<string>").alias("spans"), F.lit(0).cast("long").alias("chars"))

@@ -219,7 +219,9 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs`` whose language the model accepts, with their own columns."""
+    """The rows of ``docs`` whose language the model accepts, with their own columns. Null texts and those without letters go;
+    rows that repeat, and those of a null doc_id, stay or go like others; an empty table gives an empty one.
+    """
     return docs.where(model.column(F.col("text").cast("string"))["accepted"])
 
 

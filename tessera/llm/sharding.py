@@ -20,7 +20,8 @@ def shard_documents(
     Balance is exact up to one cell, about a ``1/cells`` part of the bytes or the largest set of copies.
 
     Returns doc_id, size, text_crc32, law, shard, slot (0, 1, ... within a shard, without gaps), grown_shard (null:
-    this law has none). A null text counts as an empty one. Rows that repeat keep a slot each. An empty table gives
+    this law has none). A null text counts as an empty one, one of any length as a row. Rows
+    that repeat, and those of a null id, keep a slot each. An empty table gives
     no rows. Other columns of ``docs`` are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

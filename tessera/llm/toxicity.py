@@ -221,15 +221,17 @@ def train_on_documents(docs: DataFrame, labels: DataFrame, max_documents: int =
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
     """doc_id, score, predicted for each row of ``docs``. A null or empty text has no hits and gets the score of that;
-    rows that repeat get the same score, null ids too; an empty table gives an empty one. Texts are measured whole. Of
-    ``docs`` only doc_id and text are read.
+    rows that repeat get the same score, null ids too; a score of just ``threshold`` is predicted 1. An empty table gives an
+    empty one. Texts of any length are measured whole. Of ``docs`` only doc_id and text are read.
     """
     scored = docs.select("doc_id", model.column(F.col("text").cast("string")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score under ``threshold``, with their own columns."""
+    """The rows of ``docs`` that score under ``threshold``, with their own columns: those at it go. A null text is measured as
+    an empty one; rows that repeat, and those of a null doc_id, stay or go like others; an empty table gives an empty one.
+    """
     return docs.where(model.column(F.col("text").cast("string")) < threshold)
 
 

@@ -410,21 +410,3 @@ def test_pipeline_packs_token_ids(spark):
     rows = corpus_pipeline.pack(spark, docs(spark, texts), "").collect()
     assert all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
     assert {r["doc_id"] for r in rows} == {0, 1, 2}
-
-
-def test_long_dialogues(spark):
-    names = ("ann", "bob")
-    rows = [(1, 0, "system", "S")] + [(1, k, names[k % 2] if k < 64 else "ann", f"t{k:03}") for k in range(1, 150)]
-    rows += [(2, None, names[k % 2], f"n{k}") for k in range(200)] + [(3, 5, "ann", "same")] * 130 + [(None, k, "ann", f"z{k}") for k in range(70)]
-    rows += [(4, 0, "system", "A"), (4, 70, "ann", "x"), (5, 0, "system", "only")]
-    found = chat_format.rotate_dialogues(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    by = {(r["conv_id"], r["perspective"], r["part"]): r for r in found}
-    assert {k for k in by if k[0] == 1} == {(1, "ann", 0), (1, "bob", 0), (1, "ann", 1), (1, "ann", 2)}
-    assert by[1, "ann", 1]["text"].startswith("<|system|>\nS<|end|>\n<|assistant|>\nt064<|end|>\n") and by[1, "ann", 2]["text"].startswith("<|system|>\nS<|end|>\n<|assistant|>\nt128")
-    assert [by[1, "ann", p]["n_turns"] for p in range(3)] == [64, 64, 22] and by[4, "ann", 0]["text"] == "<|system|>\nA<|end|>\n<|assistant|>\nx<|end|>\n"
-    targets = {c: sum(r["n_target_turns"] for r in found if r["conv_id"] == c) for c in (1, 2, 3, 4, 5, None)}
-    assert targets == {1: 149, 2: 200, 3: 130, 4: 1, 5: 0, None: 70} and max(r["n_turns"] for r in found) == 64 and min(r["n_target_turns"] for r in found) > 0
-    for r in found:
-        spans = [tuple(map(int, s.split("-"))) for s in r["mask_spans"].split(",")]
-        assert all(r["text"][a:b].endswith("<|end|>") and r["text"][:a].endswith("<|assistant|>\n") for a, b in spans)
-    assert chat_format.rotate_dialogues(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
