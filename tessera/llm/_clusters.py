@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import written
+from tessera.llm._common import written, written_and_told
 
 
 def star_edges(members: DataFrame) -> DataFrame:
@@ -26,15 +26,16 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     Rounds of large-star and small-star steps, each a grouped minimum and a join, so that a hub is never gathered in
     one task; every round is written to the shared folder, which cuts lineage. It ends when a round changes nothing.
     """
-    now = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    state = _fingerprint(now)
+    told = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")
+    edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now, state = written_and_told(edges, name, *told)
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_lowest(both).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where(F.col("a") != F.col("b"))
-        now = written(small.unionByName(least.select("a", F.col("low").alias("b"))).distinct(), name)
-        before, state = state, _fingerprint(now)
+        before = state
+        now, state = written_and_told(small.unionByName(least.select("a", F.col("low").alias("b"))).distinct(), name, *told)
         if state == before:
             break
     else:
@@ -74,11 +75,6 @@ def told(marked: DataFrame, classes: DataFrame, counts: DataFrame, found: DataFr
     )
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-    return row["n"], row["x"]
-
-
 def blocks(members: DataFrame, rows_per_block: int, weight_per_block: int, salts: int = 64) -> DataFrame:
     """``members`` (id, root, weight, ...) with n_blocks and block: a group is cut into blocks by a hash of id.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,6 +40,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_and_told(df: DataFrame, name: str, *told: Column) -> tuple[DataFrame, dict]:
+    """``written``, and aggregates of its rows, which are taken while they are written, without a job of their own."""
+    seen = Observation()
+    return written(df.observe(seen, *told), name), seen.get
+
+
 def numbered(df: DataFrame, group: str, order: list[Column], name: str, salts: int = 1024) -> DataFrame:
     """``df`` with ``name``: 0, 1, 2 ... within each value of ``group``, however many rows a value has.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._clusters import blocks, components, linked, paired, told
-from tessera.llm._common import documents, written
+from tessera.llm._common import documents, written, written_and_told
 from tessera.llm._words import batches, mixed, shingles, word_hashes
 
 
@@ -97,7 +97,9 @@ def shortened(under: DataFrame, levels: int, crowd: int) -> DataFrame:
         last = level == levels - 1
         out.append((met if last else met.where(F.col("rows") <= crowd)).select("root", F.col("node").alias("id")))
         if not last:
-            rest = written(met.where(F.col("rows") > crowd).select("keys", "node"), "forest-crowded")
+            rest, told = written_and_told(met.where(F.col("rows") > crowd).select("keys", "node"), "forest-crowded", F.count(F.lit(1)).alias("n"))
+            if not told["n"]:
+                break
     return reduce(DataFrame.unionByName, out)
 
 
