@@ -29,6 +29,7 @@ LINE_RULES = {
     "jwt": r"(?Ud)\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
     "slack-token": r"(?Ud)\bxox[baprs]-[A-Za-z0-9-]{10,}\b",
 }
+#: Fixed value: what must be in a text for the secret key's rule to be searched.
 AWS_HINT = r"(?i)aws_secret_access_key"
 #: What each match of a rule contains, one of these at least. A text without any needs no search by the rule.
 WITHIN = {
@@ -45,12 +46,16 @@ WITHIN = {
     "path": ("/Users/", "/home/"),
     "email": ("@",),
 }
+#: Fixed value: a home folder.
 PATH_RULE = r"(?Ud)(?<!\w)(?<!:/)(?:/Users|/home)/[^/\s]+"
+#: Fixed value: an address of mail.
 EMAIL_RULE = r"(?Ud)(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?!\w)"
+#: The words of the profanity rule, in order.
 PROFANITY = (
     "fuck", "shit", "asshole", "damn", "dick", "jerk", "ass", "moron", "idiot", "stupid", "dumb", "imbecile", "cretin",
     "bastard", "bitch", "crap", "piss", "hell", "douche",
 )
+#: What looks like a form of such a word and is none.
 NOT_PROFANE = frozenset({"dicker", "dickers", "heller", "hellers", "jerker", "jerkers", "craps"})
 
 

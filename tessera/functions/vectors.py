@@ -65,21 +65,24 @@ class Backend(Protocol):
 
 
 class HashingBackend:
-    """Deterministic default: signed hashed word unigrams and bigrams. No model file is needed."""
+    """Deterministic default: signed hashed word unigrams and bigrams of a text's first ``max_tokens`` words, the limit that
+    models of sentences have. No model file is needed.
+    """
 
-    def __init__(self, dimension: int = 256):
-        self.dimension = dimension
+    def __init__(self, dimension: int = 256, max_tokens: int = 512):
+        self.dimension, self.max_tokens = dimension, max_tokens
 
     def load(self) -> Callable[[list[str]], np.ndarray]:
         import re
         import zlib
+        from itertools import islice
 
         word = re.compile(r"[^\W_]+")
 
         def embed(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), self.dimension), np.float32)
             for row, text in enumerate(texts):
-                words = word.findall(text.lower())
+                words = [m[0] for m in islice(word.finditer(text.lower()), self.max_tokens)]
                 for gram in (*words, *map(" ".join, zip(words, words[1:]))):
                     h = zlib.crc32(gram.encode())
                     out[row, h % self.dimension] += 1 if h & 0x80000000 else -1

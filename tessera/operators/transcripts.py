@@ -15,10 +15,10 @@ SHA_PATTERNS = [r"(?Ud)\bcommit\s+([0-9a-f]{7,12})\b", r"(?Ud)\[[^\]]+\s+([0-9a-
 PR_PATTERNS = [
     r"(?Uiud)\bPR\s*#(\d{1,5})\b", r"(?Uiud)\bpull\s+(?:request\s+)?#(\d{1,5})\b", r"(?Uiud)\bmerged\s+#(\d{1,5})\b", r"(?Uiud)\b(?:pr|pulls?)/(\d{1,5})\b",
 ]
-_KINDS = "(?:feat|fix|chore|release|bugfix|hotfix|perf|refactor|docs|test)"
 BRANCH_PATTERNS = [
     r"(?Ud)checkout\s+-b\s+([\w.-]+/[\w./-]+)", r"(?Ud)push\s+(?:-[^\s]+\s+)*\w+\s+([\w.-]+/[\w./-]+)",
-    rf"(?Ud)\bbranch\s+({_KINDS}/[\w./-]+)", rf"(?Ud)\((?:origin/)?({_KINDS}/[\w./-]+)\)",
+    r"(?Ud)\bbranch\s+((?:feat|fix|chore|release|bugfix|hotfix|perf|refactor|docs|test)/[\w./-]+)",
+    r"(?Ud)\((?:origin/)?((?:feat|fix|chore|release|bugfix|hotfix|perf|refactor|docs|test)/[\w./-]+)\)",
 ]
 BEAD_PATTERNS = [
     r"(?Ud)\bbd\s+\w+\s+([a-z]+-[a-z0-9]{2,6})\b", r"(?Ud)\bbeads?\s+([a-z]+-[a-z0-9]{2,6})\b",

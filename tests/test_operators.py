@@ -63,6 +63,12 @@ def test_cosine_edges(spark):
         one(spark, "2.5", lambda c: vectors.similarity(c.cast("double")))
 
 
+def test_embedding_takes_the_first_tokens_only():
+    make = vectors.HashingBackend(64, max_tokens=5).load()
+    one, more, other = make(["a b c d e", "a b c d e f g", "a b c d f"])
+    assert (one == more).all() and (one != other).any()
+
+
 def test_fusion(spark):
     schema = "document_name string, chunk_index int, page_number int, text string, rank int"
     a = spark.createDataFrame([("d", 0, 1, "a", 0), ("d", 1, 1, "b", 1)], schema)
