@@ -7,16 +7,14 @@ from functools import reduce
 from typing import Any, NamedTuple
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.tokens import counted_terms
 from tessera.operators.retrieval import B, K1, KEY, TOKEN, SearchFilter, query_terms
 from tessera.operators.snapshots import LostUpdate, Snapshots
 
 FILTERS = ("collection", "page_type", "source_format", "agent_handle", "memory_type")
-TERMS = "array<struct<term:string,tf:int>>"
 
 
 class Found(NamedTuple):
@@ -27,26 +25,6 @@ class Found(NamedTuple):
     read: int
 
 
-def counted_terms(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """``rows`` with ``terms``, (term, tf) of the array ``tokens``, in place of it: counted in the row, without a shuffle."""
-    others = [c for c in rows.columns if c != tokens]
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-
-    def counted(batches):
-        for batch in batches:
-            lists = batch.column(tokens)
-            words = lists.flatten().dictionary_encode()
-            row = np.repeat(np.arange(len(batch)), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-            code, width = words.indices.to_numpy(), max(1, len(words.dictionary))
-            both, tf = np.unique(row.astype(np.int64) * width + code, return_counts=True)
-            offsets = np.searchsorted(both, np.arange(len(batch) + 1, dtype=np.int64) * width).astype(np.int32)
-            terms = pa.StructArray.from_arrays([words.dictionary.take(pa.array(both % width)), pa.array(tf.astype(np.int32))], names=["term", "tf"])
-            arrays = [*(batch.column(c) for c in others), pa.ListArray.from_arrays(pa.array(offsets), terms)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*others, "terms"])
-
-    return rows.mapInArrow(counted, ", ".join([*(f"{c} {types[c]}" for c in others), f"terms {TERMS}"]))
-
-
 def part(tf: Column, length: Column, average: float) -> Column:
     """What a term of weight 1 adds to the score of a row."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(average)))
