@@ -244,6 +244,26 @@ def hybrid_search(
     return hit_columns(fused.orderBy(F.desc("rrf"), "seen"))
 
 
+class Retriever(Protocol):
+    """What evaluations and services ask for hits, so that one way of searching can take another's place."""
+
+    def retrieve(self, query: str, vector: list[float], k: int, where: SearchFilter = SearchFilter()) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class HybridRetriever:
+    """``hybrid_search`` over one table, with its indexes and its knobs held together."""
+
+    chunks: DataFrame
+    now: Column
+    config: SearchConfig = SearchConfig()
+    index: tuple[DataFrame, DataFrame] | None = None
+    vectors: VectorChannel | None = None
+
+    def retrieve(self, query: str, vector: list[float], k: int, where: SearchFilter = SearchFilter()) -> DataFrame:
+        return hybrid_search(self.chunks, query, vector, k, self.now, where, self.config, self.index, self.vectors)
+
+
 def batch_search(
     chunks: DataFrame,
     queries: DataFrame,

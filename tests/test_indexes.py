@@ -79,6 +79,9 @@ def test_hybrid_search_by_an_index(spark, tmp_path):
     exact = hits(SearchConfig())
     assert hits(SearchConfig(exact_search=True), index) == exact
     assert len(set(hits(SearchConfig(), index)) & set(exact)) >= 4
+    held: retrieval.Retriever = retrieval.HybridRetriever(chunks, now, SearchConfig(exact_search=True), vectors=index)
+    assert [tuple(r) for r in held.retrieve("w1 w39", query, 5).collect()] == exact
+    assert {r["collection"] for r in held.retrieve("w1", query, 5, SearchFilter(collection="c2")).collect()} == {"c2"}
     turned = hits(SearchConfig(rerank=lambda found: found.withColumn("seen", -F.col("seen")).withColumn("rrf", F.lit(0.0))))
     assert turned != exact and sorted(turned) == sorted(exact)
 
