@@ -156,7 +156,11 @@ def batch_top_k(rows: DataFrame, key: tuple[str, ...], vector: str, asked: dict,
             own = table.column(vector).combine_chunks()
             length = pa.compute.fill_null(pa.compute.list_value_length(own), -1).to_numpy()
             fit = np.flatnonzero(length == queries.shape[1])
-            x = own.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), -1)
+            if len(table) - len(fit) > k:  # of rows without a direction the first k by key are enough
+                few = np.sort(np.append(fit, np.flatnonzero(length != queries.shape[1])[:k]))
+                table, length = table.take(pa.array(few)), length[few]
+                own, fit = table.column(vector).combine_chunks(), np.flatnonzero(length == queries.shape[1])
+            x = own.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), queries.shape[1])
             lengths = np.sqrt(np.cumsum(x * x, axis=1)[:, -1]) if x.size else np.zeros(len(fit))
             for at in range(0, len(ids), 256):
                 part = slice(at, at + 256)

@@ -364,6 +364,54 @@ def test_batch_search_blocks(spark):
         assert [r["document_name"] for r in sorted(found, key=lambda r: r["position"]) if r["query_id"] == key] == best
 
 
+def test_batch_search_where_a_task_has_no_vector(spark):
+    kinds = "document_name string, page_number int, chunk_index int, text string, vector array<float>"
+    rows = [(f"d{k:02}", 1, 0, f"w{k % 3} all", [float(k), 1.0] if k == 5 else None) for k in range(12)]
+    chunks = spark.createDataFrame(rows, kinds)
+    queries = spark.createDataFrame([(k, f"w{k} all", [1.0, 2.0]) for k in range(3)], "query_id long, text string, vector array<float>")
+    key = ("document_name", "page_number", "chunk_index")
+    apart = chunks.where("vector IS NULL").coalesce(1)
+    near = vectors.batch_top_k(apart, key, "vector", {0: [1.0, 2.0]}, 3).collect()
+    assert [(r["document_name"], r["distance"]) for r in near] == [("d00", 2.0), ("d01", 2.0), ("d02", 2.0)]
+    found = retrieval.batch_search(chunks.coalesce(1).repartitionByRange(6, "document_name"), queries, 3, 4).collect()
+    stored = retrieval.batch_search(chunks, queries, 3, 4, index=retrieval.postings(chunks)).collect()
+    assert len(found) == 9 and sorted(map(str, found)) == sorted(map(str, stored))
+    near = ["d05", "d00", "d01", "d02"]
+    for n in range(3):
+        worded = [r[0] for r in sorted(rows, key=lambda r: (f"w{n}" not in r[3], r[0]))][:4]
+        score = {d: sum(1 / (60 + c.index(d)) for c in (near, worded) if d in c) for d in {*near, *worded}}
+        best = sorted(score, key=lambda d: (-round(score[d], 12), near.index(d) if d in near else 9 + worded.index(d)))[:3]
+        assert [r["document_name"] for r in sorted(found, key=lambda r: r["position"]) if r["query_id"] == n] == best
+
+
+def test_words_are_scored_in_parts(spark, monkeypatch):
+    from tessera.functions import tokens
+
+    rows = [(f"d{k:03}", " ".join(f"w{(k * 7 + j) % 11}" for j in range(k % 5 + 1))) for k in range(200)] + [("e", None)]
+    chunks = spark.createDataFrame(rows, "d string, text string").coalesce(1)
+    asked = {n: {f"w{n}": 1.0 + n, f"w{n + 3}": 0.5} for n in range(8)}
+
+    def taken(most):
+        monkeypatch.setattr(tokens, "MOST_PAIRS", most)
+        counted = tokens.counted_terms(retrieval._tokenized(chunks, ("d",)))
+        best = tokens.batch_best(counted, ("d",), asked, 3.0, 200, 1.2, 0.75)
+        return sorted(map(tuple, counted.select("d", "length", F.array_sort("terms").cast("string")).collect())), sorted(map(tuple, best.collect()))
+
+    def plain():
+        for n, terms in asked.items():
+            for d, text in rows:
+                words = (text or "").split()
+                tf = {t: words.count(t) for t in terms if t in words}
+                if tf:
+                    yield n, d, round(sum(terms[t] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(words) / 3.0)) for t, f in tf.items()), 9)
+
+    whole, parts = taken(1 << 20), taken(7)
+    assert whole == parts
+    assert parts[1] == sorted(plain())
+    named = tokens.counted_terms(retrieval._tokenized(chunks, ("d",)), only=["w3"]).select(F.explode("terms.term").alias("t"))
+    assert {r["t"] for r in named.collect()} == {"w3"} and named.count() == sum("w3" in (t or "").split() for _, t in rows)
+
+
 def test_queries_read_whole_texts(spark, tmp_path):
     from tessera.plans import QUERIES
 
