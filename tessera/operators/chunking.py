@@ -18,10 +18,15 @@ def stored_page_type(page_type: Column) -> Column:
 
 
 def pages_of_sections(df: DataFrame, sections: Column, page_type: str = "section") -> DataFrame:
-    """P5: a page for each section, numbered from 1, with the number of sections. Other columns stay."""
+    """P5: a page for each section, numbered from 1, with the number of sections. Other columns stay.
+
+    Texts without sections fall away behind the explosion: of a plain one Spark infers a filter below it, which makes the
+    sections, and what they are made of, twice.
+    """
     return (
         df.withColumn("_sections", sections)
-        .select("*", F.size("_sections").alias("total_pages"), F.posexplode("_sections").alias("_at", "text"))
+        .select("*", F.size("_sections").alias("total_pages"), F.posexplode_outer("_sections").alias("_at", "text"))
+        .where(F.col("_at").isNotNull())
         .withColumn("page_number", F.col("_at") + 1)
         .withColumn("page_type", F.lit(page_type))
         .drop("_sections", "_at")
@@ -64,8 +69,8 @@ def chunk_pages(
         source_format.alias("source_format"),
         now.cast("timestamp").alias("ingestion_timestamp"),
         *[extra(c).alias(c) for c in ("agent_handle", "memory_type", "summary")],
-        F.posexplode(tx.chunk(F.col("text"), max_chars, overlap_chars)).alias("_place", "text"),
-    )
+        F.posexplode_outer(tx.chunk(F.col("text"), max_chars, overlap_chars)).alias("_place", "text"),
+    ).where(F.col("_place").isNotNull())  # as in pages_of_sections
     if index == "page":
         rows = rows.withColumn("chunk_index", F.col("_place").cast("int"))
     else:

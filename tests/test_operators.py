@@ -412,6 +412,20 @@ def test_words_are_scored_in_parts(spark, monkeypatch):
     assert {r["t"] for r in named.collect()} == {"w3"} and named.count() == sum("w3" in (t or "").split() for _, t in rows)
 
 
+def test_pages_are_converted_once_and_in_parts(spark, monkeypatch):
+    from tessera.functions import html
+
+    given = [(f"u{k}", f"<h1>A</h1><p>x{k}</p><h2>B</h2><p>y</p>" if k % 3 else None) for k in range(20)]
+    pages = spark.createDataFrame(given, "url string, html string").coalesce(1)
+    made = html.html_pages(pages)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert sum(plan.count(node) for node in ("ArrowEvalPython", "MapInArrow")) == 1
+    rows = sorted(map(tuple, made.select("document_name", "document_path", "page_number", "total_pages", "text").collect()))
+    assert rows == sorted((u, u, n, 2, text) for u, h in given if h for n, text in ((1, f"# A\n\nx{u[1:]}\n\n"), (2, "## B\n\ny")))
+    monkeypatch.setattr(html, "MOST_HELD", 30)
+    assert sorted(map(tuple, html.with_markdown(pages, "html").collect())) == sorted((u, page_markdown(h)) for u, h in given)
+
+
 def test_queries_read_whole_texts(spark, tmp_path):
     from tessera.plans import QUERIES
 
