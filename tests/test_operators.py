@@ -426,6 +426,19 @@ def test_pages_are_converted_once_and_in_parts(spark, monkeypatch):
     assert sorted(map(tuple, html.with_markdown(pages, "html").collect())) == sorted((u, page_markdown(h)) for u, h in given)
 
 
+def test_tokens_held_at_once_are_bounded():
+    import numpy as np
+
+    from tessera.functions.tokens import parts
+
+    assert list(parts(np.array([3, 0, 4, 9, 1, 1]), 7)) == [(0, 3), (3, 4), (4, 6)]
+    assert list(parts(np.array([], np.int64), 7)) == []
+    sizes = np.random.default_rng(1).integers(0, 900, 10_000)
+    runs = list(parts(sizes, 5000))
+    assert [b for b, _ in runs[1:]] == [e for _, e in runs[:-1]] and runs[-1][1] == 10_000
+    assert all(sizes[b:e].sum() <= 5000 for b, e in runs)
+
+
 def test_queries_read_whole_texts(spark, tmp_path):
     from tessera.plans import QUERIES
 
