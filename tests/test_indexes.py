@@ -108,6 +108,24 @@ def test_word_index_gives_the_rows_of_scoring_everything(spark, tmp_path):
     assert 0 < rare.read < rare.blocks
 
 
+def test_word_index_makes_blocks_where_rows_lie(spark, tmp_path, monkeypatch):
+    from tessera.operators import word_index
+
+    index = WordIndex(spark, str(tmp_path / "w"), zone=8)
+    index.add(rows(spark))
+    stored = spark.read.parquet(f"{index.segments()[0]['folder']}/rows")
+    want = stored.select("row", "length", F.explode("terms").alias("t")).select("t.term", F.floor(F.col("row") / 8).alias("zone"), "row", "t.tf", "length")
+    blocks = spark.read.parquet(f"{index.segments()[0]['folder']}/blocks")
+    assert blocks.where("most_tf <> array_max(postings.tf) OR least_length <> array_min(postings.length) OR n <> size(postings)").count() == 0
+    told = blocks.select("term", "zone", F.explode("postings").alias("p")).select("term", "zone", "p.*")
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(word_index, "MOST_POSTINGS", 50)
+    made = word_index._blocks_of(stored, 8)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    zipped = made.select("term", "zone", *word_index._unpacked(8)).select("term", "zone", F.explode("postings").alias("p")).select("term", "zone", "p.*")
+    assert sorted(map(tuple, zipped.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_word_index_of_changed_documents(spark, tmp_path):
     chunks = rows(spark)
     index = WordIndex(spark, str(tmp_path / "w"), zone=16)
