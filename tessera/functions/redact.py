@@ -154,10 +154,17 @@ def _possible(text: Column, category: str, by_line: bool) -> Column:
 
 
 def redact(text: Column, config: Redaction = Redaction()) -> Column:
-    """The redacted text. One chain of replacements, which stays in the JVM."""
-    for _, pattern, replacement, by_line in _steps(config):
-        text = _apply(text, pattern, replacement, by_line)
-    return text
+    """The redacted text. One chain of replacements, which stays in the JVM. Each is bound by one lambda, so that a
+    plain search tells whether it is needed without the text before it being made again.
+    """
+    value = F.array(text)
+    for category, pattern, replacement, by_line in _steps(config):
+        value = F.transform(value, _step(category, pattern, replacement, by_line))
+    return value[0]
+
+
+def _step(category: str, pattern: str, replacement: str, by_line: bool) -> Callable[[Column], Column]:
+    return lambda s: F.when(_possible(s, category, by_line), _apply(s, pattern, replacement, by_line)).otherwise(s)
 
 
 def _counted_step(category: str, pattern: str, replacement: str, by_line: bool) -> Callable[[Column], Column]:

@@ -439,6 +439,16 @@ def test_tokens_held_at_once_are_bounded():
     assert all(sizes[b:e].sum() <= 5000 for b, e in runs)
 
 
+def test_ingest_redacts_once(spark):
+    pages = spark.createDataFrame([("d", 1, 1, "mail a@b.example. " * 200, "text"), ("e", 1, 1, None, "text"), ("f", 1, 1, " ", "text")], "document_name string, page_number int, total_pages int, text string, page_type string")
+    made = chunking.ingest(pages, F.lit("2026-01-01"), scrub=Redaction())
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate") :]
+    assert "Filter" not in below.split("Project", 1)[0] + below.split("Project", 1)[1]
+    rows = made.collect()
+    assert {r["document_name"] for r in rows} == {"d"} and all("a@b" not in r["text"] for r in rows)
+
+
 def test_queries_read_whole_texts(spark, tmp_path):
     from tessera.plans import QUERIES
 
