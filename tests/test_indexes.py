@@ -11,6 +11,8 @@ from tessera.operators import retrieval
 from tessera.operators.retrieval import SearchConfig, SearchFilter
 from tessera.operators.vector_index import build_vector_index
 from tessera.operators.word_index import WordIndex
+from tessera.plans import search
+from tessera.plans.tables import chunk_rows
 
 ROW = "document_name string, page_number int, chunk_index int, collection string, text string, vector array<float>"
 
@@ -148,3 +150,26 @@ def test_distances_of_batches_are_those_of_pairs(spark):
     queries = spark.createDataFrame([(k, v) for k, v in asked.items()], "query_id long, asked array<double>")
     pairs = chunks.where("document_name <> 'nan'").join(F.broadcast(queries), F.lit(True)).select("query_id", *retrieval.KEY, pair_distance(F.col("vector"), F.col("asked")).alias("distance"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+
+
+def test_only_texts_of_hits_meet_vectors(spark, sf_dir):
+    rows = chunk_rows(spark, sf_dir)
+    assert not [line for line in _plan(rows.select("text", "document_name")) if "Join" in line]
+    plan = _plan(search.registry.queries["hybrid_search"](spark, sf_dir))
+    scans = [k for k, line in enumerate(plan) if "Relation [doc_id" in line and "text#" in line]
+    assert len(scans) == 2 and all("INSET" in plan[k - 1] or " IN (" in plan[k - 1] for k in scans)
+
+
+def test_vectors_that_repeat_an_id_and_keys_that_are_null(spark, tmp_path):
+    docs = [(1, "a b", "en", "s", 3), (2, "a", "en", "s", 1), (None, "a c", "en", "s", 3)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    made = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [1.0, 1.0]), (None, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    made.write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = chunk_rows(spark, str(tmp_path))
+    assert rows.count() == rows.select("text", "vector").count() == 4 and rows.select("text").where("text = 'a b'").count() == 2
+    found = retrieval._nearest(rows, [1.0, 0.0], 4, retrieval.SearchFilter(), "cosine").collect()
+    assert [(r["text"], r["distance"]) for r in found] == [("a b", 0.0), ("a b", 1.0), ("a c", 2.0), ("a", 2.0)]
