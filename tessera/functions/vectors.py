@@ -74,19 +74,23 @@ class HashingBackend:
 
     def load(self) -> Callable[[list[str]], np.ndarray]:
         import re
-        import zlib
         from itertools import islice
+        from zlib import crc32
 
         word = re.compile(r"[^\W_]+")
 
         def embed(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), self.dimension), np.float32)
-            for row, text in enumerate(texts):
-                words = [m[0] for m in islice(word.finditer(text.lower()), self.max_tokens)]
-                for gram in (*words, *map(" ".join, zip(words, words[1:]))):
-                    h = zlib.crc32(gram.encode())
-                    out[row, h % self.dimension] += 1 if h & 0x80000000 else -1
-            return out
+            hashes, sizes = [], []
+            for text in texts:
+                words = [m[0].encode() for m in islice(word.finditer(text.lower()), self.max_tokens)]
+                own = list(map(crc32, words))
+                hashes += own
+                hashes += map(crc32, map(b" ".__add__, words[1:]), own)  # of "a b": the hash of "a" goes on over " b"
+                sizes.append(max(0, 2 * len(words) - 1))
+            h = np.array(hashes, np.int64)
+            place = np.repeat(np.arange(len(texts)), sizes) * self.dimension + h % self.dimension
+            signed = np.bincount(place, np.where(h & 0x80000000, 1.0, -1.0), len(texts) * self.dimension)
+            return signed.astype(np.float32).reshape(len(texts), self.dimension)
 
         return embed
 

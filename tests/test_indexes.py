@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import batch_top_k, distance, pair_distance
+from tessera.functions.vectors import HashingBackend, batch_top_k, distance, pair_distance
 from tessera.operators import retrieval
 from tessera.operators.retrieval import SearchConfig, SearchFilter
 from tessera.operators.vector_index import build_vector_index
@@ -173,3 +173,23 @@ def test_vectors_that_repeat_an_id_and_keys_that_are_null(spark, tmp_path):
     assert rows.count() == rows.select("text", "vector").count() == 4 and rows.select("text").where("text = 'a b'").count() == 2
     found = retrieval._nearest(rows, [1.0, 0.0], 4, retrieval.SearchFilter(), "cosine").collect()
     assert [(r["text"], r["distance"]) for r in found] == [("a b", 0.0), ("a b", 1.0), ("a c", 2.0), ("a", 2.0)]
+
+
+def test_embedded_chunks_are_made_once(spark, sf_dir):
+    plan = _plan(search.registry.queries["hashed_hybrid_search"](spark, sf_dir))
+    assert not [line for line in plan if "EvalPython" in line or "Generate" in line]
+
+
+def test_hashed_vectors_are_those_of_a_plain_loop():
+    import re
+    import zlib
+
+    texts = ["", "One two, one TWO three_four Été", "a", "b c " * 9]
+    want = np.zeros((4, 16), np.float32)
+    for row, text in enumerate(texts):
+        words = re.findall(r"[^\W_]+", text.lower())[:7]
+        for gram in (*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))):
+            h = zlib.crc32(gram.encode())
+            want[row, h % 16] += 1 if h & 0x80000000 else -1
+    made = HashingBackend(16, max_tokens=7).load()
+    assert (made(texts) == want).all() and made([]).shape == (0, 16)
