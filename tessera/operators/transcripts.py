@@ -70,6 +70,17 @@ def session_texts(entries: DataFrame, session: str, order: str, text: str = "ent
     return rows.select(session, F.array_join(F.col(f"rows.{text}"), "\n\n").alias("text"))
 
 
+def counted_texts(entries: DataFrame, session: str, order: str, text: str = "entry", budget: int = MAX_CHARS) -> DataFrame:
+    """(session, n_lines, text): how many rows each session has, null entries too, and ``session_texts``, null where that has no
+    row; ``entries`` are read once for both.
+    """
+    rest = Window.partitionBy(session).orderBy(F.col(order)).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    summed = entries.withColumn("_sum", F.sum(F.length(text)).over(rest))
+    kept = F.when(F.col(text).isNotNull() & (F.col("_sum") <= budget), F.struct(F.col(order), F.col(text)))
+    rows = summed.groupBy(session).agg(F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list(kept)).alias("rows"))
+    return rows.select(session, "n_lines", F.when(F.size("rows") > 0, F.array_join(F.col(f"rows.{text}"), "\n\n")).alias("text"))
+
+
 def artifacts(text: Column) -> Column:
     """Commit SHAs, pull request numbers, branches and bead ids, each once in the order of patterns."""
     found = lambda patterns: F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns]))

@@ -31,10 +31,9 @@ def read_transcripts(spark: SparkSession, root: str, budget: int = transcripts.M
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     lines = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), transcripts.message_text(F.col("value")).alias("entry"))
     lines = lines.select(F.struct(folder.alias("folder"), session.alias("session_id")).alias("session"), "place", "entry")
-    counted = lines.groupBy("session").agg(F.count(F.lit(1)).alias("n_lines")).select("session.*", "n_lines")
-    texts = transcripts.session_texts(lines, "session", "place", budget=budget).select("session.*", "text")
+    read = transcripts.counted_texts(lines, "session", "place", budget=budget).select("session.*", "n_lines", "text")
     key = ["folder", "session_id"]
-    return listed.join(counted, key, "left").join(texts, key, "left").select(*key, "modified", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "text")
+    return listed.join(read, key, "left").select(*key, "modified", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "text")
 
 
 class Backfilled(NamedTuple):

@@ -89,3 +89,17 @@ def test_sink_commits_all_or_nothing(spark, tmp_path):
     writer.write(iter([{"path": "late.md", "content": "x"}]))
     writer.commit([lost, None])
     assert sorted(os.listdir(root)) == ["a", "b"]
+
+
+def test_transcripts_are_read_once(spark, root):
+    plan = read_transcripts(spark, root)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [value" in line for line in plan.splitlines()) == 1
+
+
+@pytest.mark.parametrize("budget", [0, 3, 5, 100])
+def test_counted_texts_are_those_of_sessions(spark, budget):
+    rows = [("a", 2, "xx"), ("a", 1, "yyy"), ("a", 3, None), ("b", 1, None), ("c", 1, "z" * 9), ("c", 2, None), ("d", 1, "")]
+    entries = spark.createDataFrame(rows, "session string, at int, entry string")
+    texts = {r["session"]: r["text"] for r in transcripts.session_texts(entries, "session", "at", budget=budget).collect()}
+    found = {r["session"]: (r["n_lines"], r["text"]) for r in transcripts.counted_texts(entries, "session", "at", budget=budget).collect()}
+    assert found == {s: (n, texts.get(s)) for s, n in (("a", 3), ("b", 1), ("c", 2), ("d", 1))}
