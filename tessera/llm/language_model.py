@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, replace
-from itertools import repeat
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +20,25 @@ END = b""
 LOG10 = float(np.log(10.0))
 
 
-def words(text: str | None) -> list[bytes]:
-    """Runs of anything but space and U+0009 to U+000D, with A-Z in lower case; ``bytes`` knows just this white space."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+def slices(texts: pa.Array, most_bytes: int = 1 << 23):
+    """(from, to) of slices of ``texts`` of about ``most_bytes`` at most, or of one text."""
+    at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(at):
+        until = max(first + 1, int(np.searchsorted(at, (at[first - 1] if first else 0) + most_bytes, side="right")))
+        yield first, until
+        first = until
+
+
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Runs of anything but space and U+0009 to U+000D, with A-Z in lower case, of all texts one after another, and how
+    many each has. Arrow's ASCII functions know just this white space and these letters.
+    """
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found, real = parts.flatten(), pc.greater(pc.binary_length(parts.flatten()), 0)
+    before = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    edges = np.append(0, np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)))
+    return found.filter(real).cast(pa.binary()), np.diff(before[edges])
 
 
 def count_words(docs: DataFrame, most_held: int = 400_000) -> DataFrame:
@@ -38,9 +55,12 @@ def count_words(docs: DataFrame, most_held: int = 400_000) -> DataFrame:
             return made
 
         for batch in batches:
-            for text in batch.column(0):
-                held.update(words(text.as_py()))
-                held[END] += 1
+            for a, b in slices(batch.column(0)):
+                found, _ = words(batch.column(0).slice(a, b - a))
+                values, counts = pc.value_counts(found).flatten()
+                for token, n in zip(values.to_numpy(zero_copy_only=False).tolist(), counts.to_numpy().tolist()):
+                    held[token] += n
+                held[END] += b - a
                 if len(held) > most_held:
                     yield out()
         if held:
@@ -57,8 +77,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 WEIGHTS = ("table", "into", "shift", "gates", "change", "classes", "class_bias", "inner", "inner_bias")
-#: Rows of a softmax taken at once, so that they stay in the processor's cache.
-CACHED = 512
+#: Numbers of a softmax taken at once, so that they stay in the processor's cache and BLAS takes its kernels for small matrices.
+CACHED = 60_000
 
 
 @dataclass
@@ -114,39 +134,63 @@ class Network:
     def end(self) -> int:
         return self.n_words + 1
 
+    @cached_property
+    def kinds(self) -> np.ndarray:
+        """The class of each id, in a type that numpy sorts by radix where it can."""
+        sizes = np.append(np.diff(self.edges), [1, 1])
+        return np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) < 1 << 16 else np.int64), sizes)
+
     def by_class(self, ids: np.ndarray):
-        """An order of ``ids`` by class, their classes and places in it in that order, and (class, from, to) of the runs
-        of each class of several words, ``CACHED`` rows at most.
+        """An order of ``ids`` by class, their classes and places in it in that order, and runs (class, from, to) of all of
+        them (for the softmax of classes) and of each class of several words, ``CACHED`` numbers of the softmax at most.
         """
-        n_classes = len(self.edges) - 1
-        kinds = np.repeat(np.arange(n_classes + 2), np.append(np.diff(self.edges), [1, 1]))
-        order = np.argsort(kinds[ids], kind="stable")
-        kind = kinds[ids][order]
+        kind = self.kinds[ids]
+        order = np.argsort(kind, kind="stable")
+        kind = kind[order]
         place = ids[order] - np.append(self.edges, self.end)[kind]
-        edge = np.searchsorted(kind, np.arange(n_classes + 1))
-        return order, kind, place, [(c, a, min(a + CACHED, edge[c + 1])) for c in range(n_classes) for a in range(edge[c], edge[c + 1], CACHED)]
+        sizes, n = np.diff(self.edges), len(ids)
+        edge = np.append(0, np.cumsum(np.bincount(kind, minlength=len(sizes))))
+
+        def cut(c: int, a: int, b: int, width: int):
+            rows = max(1, CACHED // width)
+            return [(c, k, min(k + rows, b)) for k in range(a, b, rows)]
+
+        words_of = [run for c, (a, b, width) in enumerate(zip(edge.tolist(), edge[1:].tolist(), sizes.tolist())) for run in cut(c, a, b, width)]
+        return order, kind, place, cut(-1, 0, n, len(sizes) + 2), words_of
 
     def step(self, ids: np.ndarray, state: np.ndarray):
-        return self.turn(self.table[ids] @ self.into + self.shift, state)
+        """The next state of each row, and what is inside (see ``_turn``)."""
+        room = np.empty((4 * state.shape[1], len(ids)), np.float32)
+        return _turn((self.table[ids] @ self.into + self.shift).T, state.T, self.recurrent(), room).T, room
 
-    def turn(self, x: np.ndarray, state: np.ndarray):
-        """The next state, from what a token adds to the gates, and what the slopes need of the inside."""
-        h = state.shape[1]
-        both = _sigmoid(x[:, : 2 * h] + state @ self.gates)
-        keep, reset = both[:, :h], both[:, h:]
-        past = state @ self.change
-        new = np.tanh(x[:, 2 * h :] + reset * past)
-        return new + keep * (state - new), (keep, reset, past, new)
+    def recurrent(self) -> np.ndarray:
+        """What a state adds to the two gates and to the change, as one matrix from the left."""
+        return np.ascontiguousarray(np.concatenate([self.gates, self.change], axis=1).T)
+
+    def outputs(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Weights of classes and of words, a row for each with its bias at the end, less the greatest of its softmax; and
+        whether what ``states`` add to biases is so little that exponentials need no shift of their own.
+        """
+        inner_bias = self.inner_bias
+        if len(self.edges) > 1:
+            inner_bias = inner_bias - np.repeat(np.maximum.reduceat(inner_bias, self.edges[:-1]), np.diff(self.edges))
+        classes = np.concatenate([self.classes, [self.class_bias - self.class_bias.max()]]).T
+        inner = np.concatenate([self.inner, inner_bias[:, None]], axis=1)
+        ones, most = np.ones(self.inner.shape[1], np.float32), max(1.0, float(np.abs(states).max(initial=0)))
+        added = [(np.abs(w[:, :-1]) @ ones).max(initial=0) * most for w in (classes, inner)]
+        return np.ascontiguousarray(classes), inner, max(added) < 60
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target; a word's is that of its class and, there, its own."""
-        order, kind, place, runs = self.by_class(targets)
-        states, found = states[order], np.empty(len(states), np.float32)
-        for a in range(0, len(states), CACHED):
-            found[a : a + CACHED] = _log_shares(states[a : a + CACHED], self.classes, self.class_bias, kind[a : a + CACHED])
+        order, kind, place, all_runs, runs = self.by_class(targets)
+        classes, inner, near = self.outputs(states)
+        states = _with_ones(states.T, order)
+        found = np.empty(len(order), np.float32)
+        at, at_word = _flat(kind, all_runs), _flat(place, runs)
+        for _, a, b in all_runs:
+            found[a:b] = _log_shares(states[:, a:b], classes, at[a:b], near)
         for c, a, b in runs:
-            own = slice(self.edges[c], self.edges[c + 1])
-            found[a:b] += _log_shares(states[a:b], self.inner[own].T, self.inner_bias[own], place[a:b])
+            found[a:b] += _log_shares(states[:, a:b], inner[self.edges[c] : self.edges[c + 1]], at_word[a:b], near)
         out = np.empty_like(found)
         out[order] = found
         return out
@@ -155,14 +199,14 @@ class Network:
         """Log10 probability of each whole sequence of ids. The longest come first, so that those still running are a
         prefix; the state goes on from one window of steps to the next until a sequence ends.
         """
-        total = np.zeros(len(texts))
-        adds = self.table @ self.into + self.shift
+        total, hidden, weights = np.zeros(len(texts)), len(self.change), self.recurrent()
+        table, into = np.concatenate([self.table, np.ones((len(self.table), 1), np.float32)], axis=1), np.concatenate([self.into, [self.shift]]).T.copy()
         order = np.argsort([-len(t) for t in texts], kind="stable")
         for first in range(0, len(order), 1 << 14):
             part = order[first : first + (1 << 14)]
             lengths = np.array([len(texts[i]) for i in part])
             tokens, starts = np.concatenate([texts[i] for i in part]), np.cumsum(lengths) - lengths
-            state = np.zeros((len(part), len(self.change)), np.float32)
+            state = np.zeros((hidden, len(part)), np.float32)
             before, at = np.full(len(part), self.end), 0
             while live := int((lengths > at).sum()):
                 steps = max(1, min(at_once // live, int(lengths[0]) - at))
@@ -170,36 +214,57 @@ class Network:
                 running = np.arange(live) < lives[:, None]
                 window = tokens[np.minimum(starts[:live] + at + np.arange(steps)[:, None], len(tokens) - 1)]
                 ends = np.cumsum(lives)
-                states = np.empty((ends[-1], state.shape[1]), np.float32)
+                states = np.empty((hidden, ends[-1]), np.float32)
                 for target, m, end in zip(window, lives, ends):
-                    state, _ = self.turn(adds[before[:m]], state[:m])
+                    state = _turn(into @ np.take(table, before[:m], axis=0).T, state[:, :m], weights, np.empty((4 * hidden, m), np.float32))
                     before = target[:m]
-                    states[end - m : end] = state
-                log_p = self.log_probabilities(states, window[running])
+                    states[:, end - m : end] = state
+                log_p = self.log_probabilities(states.T, window[running])
                 total += np.bincount(np.broadcast_to(part[:live], running.shape)[running], log_p, len(total))
                 at += steps
         return total / LOG10
 
 
-def _exponentials(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray | None = None):
-    """The exponentials of a softmax, their sum in each row and the logits of the targets ``at``, all less one shift, the
-    greatest logit; if a row's sum comes near the least numbers under that, less the greatest of each row.
+def _turn(x: np.ndarray, state: np.ndarray, weights: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The next state, from what a token adds to the gates and from the weights of ``recurrent``. A column is a row's
+    state, so that all of a gate lies together. ``room`` takes what the slopes need: keep, reset, past and new.
     """
-    for by_row in (False, True):
-        z = states @ weights
-        z += bias
-        z -= z.max(axis=1, keepdims=True) if by_row else z.max()
-        chosen = None if at is None else z[np.arange(len(z)), at]
-        np.exp(z, out=z)
-        total = z @ np.ones(z.shape[1], z.dtype)
-        if total.min() > 1e-25:
-            break
-    return z, total, chosen
-
-
-def _log_shares(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    _, total, chosen = _exponentials(states, weights, bias, at)
-    return chosen - np.log(total)
+    h = len(state)
+    keep, reset, past, new = (room[k : k + h] for k in range(0, 4 * h, h))
+    np.matmul(weights, state, out=room[: 3 * h])
+    room[: 2 * h] += x[: 2 * h]
+    _sigmoid(room[: 2 * h])
+    np.multiply(reset, past, out=new)
+    new += x[2 * h :]
+    np.tanh(new, out=new)
+    state = state - new
+    state *= keep
+    state += new
+    return state
+
+
+def _with_ones(states: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Columns of ``states`` in that order, and a row of ones that meets the biases."""
+    made = np.ones((len(states) + 1, len(order)), np.float32)
+    np.take(states, order, axis=1, out=made[:-1], mode="clip")
+    return made
+
+
+def _flat(place: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+    """Where each target lies among the numbers of its run's softmax, a column for each target."""
+    long = np.array([b - a for _, a, b in runs], np.int64)
+    n = int(long.sum())
+    return place[:n] * np.repeat(long, long) + np.arange(n) - np.repeat(np.cumsum(long) - long, long)
+
+
+def _log_shares(states: np.ndarray, weights: np.ndarray, at: np.ndarray, near: bool) -> np.ndarray:
+    z = weights @ states
+    if not near:
+        z -= z.max(axis=0)
+    chosen = z.reshape(-1)[at]
+    np.exp(z, out=z)
+    chosen -= np.log(np.ones(len(z), np.float32) @ z)
+    return chosen
 
 
 class Fitter:
@@ -229,10 +294,13 @@ class Fitter:
 
     def _move(self, slope: dict[str, np.ndarray], seen: np.ndarray, rate: float) -> None:
         norm = np.sqrt(sum(float(np.vdot(g, g)) for g in slope.values()))
+        clipped = np.float32(min(1.0, 5.0 / (norm + 1e-9)))
         for k, g in slope.items():
-            g *= np.float32(min(1.0, 5.0 / (norm + 1e-9)))
+            if clipped < 1:
+                g *= clipped
             rows = seen if k == "table" else slice(None)
-            total = self.net.sums[k][rows] + g * g
+            total = g * g
+            total += self.net.sums[k][rows]
             self.net.sums[k][rows] = total
             g /= np.sqrt(total, out=total)
             g *= np.float32(rate)
@@ -315,62 +383,82 @@ def train(ids: DataFrame, net: Network, n_blocks: int, passes: int, rate: float
 
 def _slopes(net: Network, before: np.ndarray, state: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """Gradients of the mean loss of one window, the tokens whose rows of the table ``table`` has, and the state after it."""
-    h, width = state.shape[1], target.shape[1]
+    h, width, n = state.shape[1], target.shape[1], len(before)
     seen = np.ascontiguousarray(np.concatenate([before[:, None], target[:, :-1]], axis=1).T)
-    vectors = net.table[seen.ravel()]
-    adds = (vectors @ net.into + net.shift).reshape(width, len(before), 3 * h)
-    ended = seen == net.end
-    states, kept = np.empty((width, len(before), h), np.float32), []
+    vectors, weights = np.take(net.table, seen, axis=0), net.recurrent()
+    adds = net.into.T @ vectors.transpose(0, 2, 1)
+    adds += net.shift[:, None]
+    goes_on = (seen != net.end).astype(np.float32)
+    state, states = np.ascontiguousarray(state.T), np.empty((h, width, n), np.float32)
+    pasts, inside = np.empty((width, h, n), np.float32), np.empty((width, 4 * h, n), np.float32)
     for t in range(width):
-        past_state = np.where(ended[t][:, None], np.float32(0), state)
-        state, inside = net.turn(adds[t], past_state)
-        states[t] = state
-        kept.append((past_state, *inside))
+        np.multiply(state, goes_on[t], out=pasts[t])
+        states[:, t] = state = _turn(adds[t], pasts[t], weights, inside[t])
     goal = target.T.ravel()
-    order, kind, place, runs = net.by_class(goal)
-    chosen = states.reshape(-1, h)[order]
-    back = np.empty_like(chosen)
-    slope = {k: np.zeros(getattr(net, k).shape, np.float32) for k in WEIGHTS if k != "table"}
+    order, kind, place, all_runs, runs = net.by_class(goal)
+    classes, inner, near = net.outputs(states)
+    chosen, at, at_word = _with_ones(states.reshape(h, -1), order), _flat(kind, all_runs), _flat(place, runs)
     share = np.float32(1.0 / max(1, len(goal)))
-    for a in range(0, len(goal), CACHED):
-        rows = slice(a, a + CACHED)
-        back[rows] = _softmax_slopes(chosen[rows], net.classes, net.class_bias, kind[rows], share, slope["classes"], slope["class_bias"])
+    back, of_classes, of_words = np.zeros((h, len(goal)), np.float32), np.zeros_like(classes), np.zeros_like(inner)
+    total = np.ones(len(goal), np.float32)
+    for _, a, b in all_runs:
+        of_classes += _softmax_slopes(chosen[:, a:b], classes, at[a:b], near, total[a:b], back[:, a:b])
+    back /= total
+    back_words = np.zeros_like(back)
     for c, a, b in runs:
         own = slice(net.edges[c], net.edges[c + 1])
-        back[a:b] += _softmax_slopes(chosen[a:b], net.inner[own].T, net.inner_bias[own], place[a:b], share, slope["inner"][own].T, slope["inner_bias"][own])
-    down = np.empty_like(back)
-    down[order] = back
-    down = down.reshape(states.shape)
-    carry, moved = np.zeros_like(state), np.empty_like(adds)
+        of_words[own] += _softmax_slopes(chosen[:, a:b], inner[own], at_word[a:b], near, total[a:b], back_words[:, a:b])
+    back_words /= total
+    back += back_words
+    for made in (back, of_classes, of_words):
+        made *= share
+    slope = {"classes": of_classes[:, :-1].T.copy(), "class_bias": of_classes[:, -1].copy()}
+    slope |= {"inner": of_words[:, :-1].copy(), "inner_bias": of_words[:, -1].copy()}
+    came = np.empty_like(order)
+    came[order] = np.arange(len(order))
+    down = np.take(back, came, axis=1).reshape(h, width, n)
+    keep, reset, past, new = (inside[:, k : k + h] for k in range(0, 4 * h, h))
+    # What a state's slope gives those of new, keep and reset before their squashing, and of past.
+    parts = np.empty((width, 4, h, n), np.float32)
+    parts[:, 0] = (1 - keep) * (1 - new * new)
+    parts[:, 1] = (pasts - new) * keep * (1 - keep)
+    np.multiply(parts[:, 0], reset, out=parts[:, 3])
+    parts[:, 2] = parts[:, 3] * past * (1 - reset)
+    carry, from_past = np.zeros_like(state), np.ascontiguousarray(weights.T)
+    moved = parts.reshape(width, 4 * h, n)
     for t in range(width - 1, -1, -1):
-        past_state, keep, reset, past, new = kept[t]
-        d = down[t] + carry
-        d_new = d * (1 - keep) * (1 - new * new)
-        moved[t, :, :h] = d * (past_state - new) * keep * (1 - keep)
-        moved[t, :, h : 2 * h] = d_new * past * reset * (1 - reset)
-        moved[t, :, 2 * h :] = d_new
-        d_both, d_past = moved[t, :, : 2 * h], d_new * reset
-        slope["gates"] += past_state.T @ d_both
-        slope["change"] += past_state.T @ d_past
-        carry = d * keep + d_both @ net.gates.T + d_past @ net.change.T
-        carry[ended[t]] = 0
-    moved = moved.reshape(-1, 3 * h)
-    slope["into"], slope["shift"] = vectors.T @ moved, moved.sum(axis=0)
-    by_token = np.argsort(seen.ravel(), kind="stable")
+        d = down[:, t]
+        d += carry
+        parts[t] *= d
+        carry = from_past @ moved[t, h:]
+        d *= keep[t]
+        carry += d
+        carry *= goes_on[t]
+    recurrent = (pasts @ moved[:, h:].transpose(0, 2, 1)).sum(axis=0)
+    slope["gates"], slope["change"] = recurrent[:, : 2 * h].copy(), recurrent[:, 2 * h :].copy()
+    moved = moved[:, : 3 * h]
+    slope["into"] = np.roll((vectors.transpose(0, 2, 1) @ moved.transpose(0, 2, 1)).sum(axis=0), -h, axis=1)
+    slope["shift"] = np.roll(moved.sum(axis=2).sum(axis=0), -h)
+    by_vector = (moved.transpose(0, 2, 1) @ np.roll(net.into, h, axis=1).T).reshape(-1, h)
+    by_token = np.argsort(seen.ravel().astype(np.uint16 if net.end < 1 << 16 else np.int64), kind="stable")
     token = seen.ravel()[by_token]
     first = np.flatnonzero(np.diff(token, prepend=-1))
-    slope["table"] = np.add.reduceat((moved @ net.into.T)[by_token], first, axis=0)
-    return slope, token[first], state
+    slope["table"] = np.add.reduceat(np.take(by_vector, by_token, axis=0), first, axis=0)
+    return slope, token[first], np.ascontiguousarray(state.T)
 
 
-def _softmax_slopes(states, weights, bias, at, share, weight_slope, bias_slope) -> np.ndarray:
-    """Adds the slopes of the weights and biases of a softmax whose targets are ``at``; returns those of ``states``."""
-    z, total, _ = _exponentials(states, weights, bias)
-    z[np.arange(len(z)), at] -= total
-    scale = share / total
-    weight_slope += (states * scale[:, None]).T @ z
-    bias_slope += scale @ z
-    return (z @ weights.T) * scale[:, None]
+def _softmax_slopes(states: np.ndarray, weights: np.ndarray, at: np.ndarray, near: bool, total: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """The slopes of the weights (biases at the end) of a softmax whose targets are ``at``. ``back`` takes the states'
+    slopes times ``total``, and ``total`` the sums of exponentials.
+    """
+    z = weights @ states
+    if not near:
+        z -= z.max(axis=0)
+    np.exp(z, out=z)
+    np.matmul(np.ones(len(z), np.float32), z, out=total)
+    z.reshape(-1)[at] -= total
+    np.matmul(weights[:, :-1].T, z, out=back)
+    return z @ (states / total).T
 
 
 @dataclass
@@ -382,9 +470,6 @@ class Lexicon:
     neural: int
     least: int
 
-    def places(self) -> dict[bytes, int]:
-        return {t: k for k, t in enumerate(self.tokens)}
-
 
 def frequent(counts: DataFrame, most: int, neural: int, neural_least: int) -> Lexicon:
     """The words from that count on from which there are at most ``most``: no more reach the driver or a worker. The
@@ -418,28 +503,31 @@ def as_ids(rows: DataFrame, known: Lexicon, ends: int) -> DataFrame:
     """
     logs, end_log = np.log10(known.counts + 1.0), float(np.log10(ends + 1.0))
     unknown = known.neural
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), *[pa.int64()] * 3, *[pa.float64()] * 2, pa.int64(), pa.list_(pa.binary()), pa.binary()]
     names = [c.split()[0] for c in AS_IDS.split(", ")]
 
     def told(batches):
         from pyspark import TaskContext
 
-        uid, place = TaskContext.get().partitionId() << 40, known.places().get
+        uid, frequent_words = TaskContext.get().partitionId() << 40, pa.array(known.tokens, pa.binary())
         for batch in batches:
-            made = []
-            for key, held, block, order, text in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4)):
-                own = words(text.as_py())
-                at = np.fromiter(map(place, own, repeat(-1)), np.int32, len(own))
-                rare = np.flatnonzero(at < 0)
-                beyond = at[at >= known.neural]
-                at_end = np.append(np.where((at >= 0) & (at < known.neural), at, unknown), unknown + 1).astype(np.int32)
-                made.append((
-                    uid, key, held, block, order, len(own) + 1, len(own) - len(rare) + (ends > 0), float(logs[at[at >= 0]].sum()) + end_log,
-                    float(logs[beyond].sum()), len(rare) + len(beyond), [own[k] for k in rare], at_end.tobytes(),
-                ))
-                uid += 1
-            columns = zip(*made) if made else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            for a, b in slices(batch.column(4)):
+                part = batch.slice(a, b - a)
+                own, n = words(part.column(4))
+                text = np.repeat(np.arange(b - a), n)
+                at = pc.fill_null(pc.index_in(own, value_set=frequent_words), -1).to_numpy()
+                rare, beyond = at < 0, at >= known.neural
+                total = lambda of, weights=None: np.bincount(text[of], weights, b - a)
+                n_rare, n_beyond = total(rare), total(beyond)
+                frequent_log, unknown_log = total(~rare, logs[at[~rare]]) + end_log, total(beyond, logs[at[beyond]])
+                ids, edges = np.full(len(at) + b - a, unknown + 1, np.int32), np.append(0, np.cumsum(n + 1))
+                ids[np.arange(len(at)) + text] = np.where(rare | beyond, unknown, at)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.arange(uid, uid + b - a)), *part.columns[:4], pa.array(n + 1), pa.array(n - n_rare + (ends > 0)),
+                    pa.array(frequent_log, pa.float64()), pa.array(unknown_log, pa.float64()), pa.array(n_rare + n_beyond),
+                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_rare)), pa.int32()), own.filter(pa.array(rare))),
+                    pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((4 * edges).astype(np.int32)), pa.py_buffer(ids)]),
+                ], names=names)
+                uid += b - a
 
     return rows.mapInArrow(told, AS_IDS)
 

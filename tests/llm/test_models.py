@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,77 @@ def test_a_text_scores_what_its_tokens_score_one_by_one():
         assert net.score([np.array(text)])[0] == pytest.approx(total / np.log(10), rel=1e-4)
 
 
+def test_words_of_slices_are_those_of_whole_texts(spark):
+    texts = [None, "", " \x0b\x0c\t", "  A b\x0b\x0cC\x1cd\r\n", "É é Z\u0085q İ\u00a0K ", "x" * 50, None, "the The tHE", "É" * 40 + " \n a"]
+    plain = [(t or "").encode().lower().split() for t in texts]
+    for most in (1, 60, 1 << 20):
+        cuts = list(language_model.slices(pa.array(texts), most))
+        assert [k for a, b in cuts for k in range(a, b)] == list(range(len(texts))) and (most > 1 or len(cuts) > 4)
+        for a, b in cuts:
+            found, n = language_model.words(pa.array(texts).slice(a, b - a))
+            assert found.to_pylist() == [w for t in plain[a:b] for w in t] and n.tolist() == [len(t) for t in plain[a:b]]
+    assert not list(language_model.slices(pa.array([], pa.string())))
+    known = language_model.Lexicon([b"the", b"a", b"x"], np.array([9, 4, 1]), 2, 1)
+    rows = docs(spark, texts).select("doc_id", F.lit(False).alias("held_out"), F.lit(0).alias("block"), F.lit(1).cast("long").alias("key"), "text")
+    made = {r["doc_id"]: r for r in language_model.as_ids(rows, known, 5).collect()}
+    assert len({r["uid"] for r in made.values()}) == len(texts)
+    for k, own in enumerate(plain):
+        row, rare = made[k], [w for w in own if w not in known.tokens]
+        assert np.frombuffer(row["ids"], np.int32).tolist() == [{b"the": 0, b"a": 1}.get(w, 2) for w in own] + [3]
+        assert [bytes(w) for w in row["rare"]] == rare and row["n_tokens"] == len(own) + 1 and row["n_known"] == len(own) - len(rare) + 1
+        assert row["n_unknown"] == len(rare) + own.count(b"x") and row["unknown_log"] == pytest.approx(own.count(b"x") * np.log10(2))
+        assert row["frequent_log"] == pytest.approx(sum(np.log10({b"the": 10, b"a": 5, b"x": 2}[w]) for w in own if w not in rare) + np.log10(6))
+
+
+@pytest.mark.parametrize("scale", [1, 400])
+def test_slopes_of_all_weights_are_those_of_differences(scale):
+    """Over two windows and an end, where exponentials need no shift (1) and where they do (400)."""
+    rng = np.random.default_rng(4)
+    net = language_model.Network.new(np.log([9.0, 7.0, 5.0, 3.0, 2.0, 1.0, 1.0]), 3, 4, rng, 2.0, 3.0)
+    net.inner *= scale
+    before, target = np.array([0, net.end, 3]), rng.integers(0, net.n_words + 2, (3, 8))
+    target[1, 3] = net.end
+    start = rng.uniform(-0.9, 0.9, (3, 4)).astype(np.float32)
+    assert net.outputs(start)[2] == (scale == 1)
+    slope, seen, after = language_model._slopes(net, before, start, target)
+    values = {k: getattr(net, k).astype(float) for k in language_model.WEIGHTS}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def loss():
+        total, ends = 0.0, []
+        for token, state, row in zip(before, start.astype(float), target):
+            for goal in row:
+                state = state * (token != net.end)
+                x = values["table"][token] @ values["into"] + values["shift"]
+                keep, reset = sigmoid(x[:4] + state @ values["gates"][:, :4]), sigmoid(x[4:8] + state @ values["gates"][:, 4:])
+                new = np.tanh(x[8:] + reset * (state @ values["change"]))
+                state = new + keep * (state - new)
+                kind = int(net.kinds[goal])
+                logits = [(state @ values["classes"] + values["class_bias"], kind)]
+                if goal < net.n_words:
+                    own = slice(net.edges[kind], net.edges[kind + 1])
+                    logits.append((values["inner"][own] @ state + values["inner_bias"][own], goal - net.edges[kind]))
+                total -= sum(z[at] - z.max() - np.log(np.exp(z - z.max()).sum()) for z, at in logits)
+                token = goal
+            ends.append(state)
+        return total / target.size, ends
+
+    assert np.allclose(after, loss()[1], atol=1e-5)
+    for name in language_model.WEIGHTS:
+        found = slope[name]
+        if name == "table":
+            found = np.zeros(net.table.shape)
+            found[seen] = slope[name]
+        for place in np.ndindex(found.shape):
+            old = values[name][place]
+            sides = []
+            for move in (1e-5, -1e-5):
+                values[name][place] = old + move
+                sides.append(loss()[0])
+            values[name][place] = old
+            assert found[place] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=2e-3, abs=2e-5 * scale), (name, place)
+
+
 def test_shards_and_dialogues_of_long_texts_and_null_ids(spark):
     long = "word " * 400_000
     rows = docs(spark, [long, "a", "b", None]).withColumn("doc_id", F.when(F.col("doc_id") > 1, F.col("doc_id")))
